@@ -70,28 +70,25 @@ def clock_carry(stamp: Column | str) -> Column:
 
 
 def caption_start(sec: Column | str) -> Column:
-    return seconds_to_clock(F.floor(_col(sec) + F.lit(1e-9)))
+    return seconds_to_clock(F.greatest(F.floor(_col(sec) + F.lit(1e-9)), F.lit(0)))
 
 
 def caption_end(sec: Column | str) -> Column:
-    return seconds_to_clock(F.ceil(_col(sec) - F.lit(1e-9)))
+    return seconds_to_clock(F.greatest(F.ceil(_col(sec) - F.lit(1e-9)), F.lit(0)))
 
 
-def clock_text(sec: Column | str, millis: bool = False) -> Column:
-    """`HH:MM:SS`, or `HH:MM:SS.mmm`."""
-    s = _col(sec)
-    whole = F.floor(s)
+def clock_text(sec: Column | str) -> Column:
+    """`HH:MM:SS`, with `.mmm` behind it only when the rounded milliseconds are not zero."""
+    ms = F.greatest(F.bround(_col(sec) * 1000).cast("bigint"), F.lit(0))
+    whole, rest = F.floor(ms / 1000), ms % 1000
     base = F.concat_ws(":", _two(F.floor(whole / 3600)), _two(F.floor(whole % 3600 / 60)), _two(whole % 60))
-    if not millis:
-        return base
-    ms = F.lpad(F.floor((s - whole) * 1000 + F.lit(0.5)).cast("string"), 3, "0")
-    return F.concat(base, F.lit("."), ms)
+    return F.when(rest == 0, base).otherwise(F.concat(base, F.lit("."), F.lpad(rest.cast("string"), 3, "0")))
 
 
 #: The stamp shapes that occur in query texts and annotations.
 RANGE_STAMP = r"(?i)DAY\s*(\d+)\s+(\d{1,2}:\d{2}:\d{2})"
 RANGE_TEXT = r"(?i)DAY\s*\d+\s+\d{1,2}:\d{2}:\d{2}\s*-\s*DAY\s*\d+\s+\d{1,2}:\d{2}:\d{2}"
-WINDOW_TEXT = r"(?i)^\s*DAY\s*(\d+)\s+(\d{2}:\d{2}:\d{2})\s*-\s*(\d{2}:\d{2}:\d{2})"
+WINDOW_TEXT = r"^DAY(\d+)\s+(\d{2}:\d{2}:\d{2})-(\d{2}:\d{2}:\d{2})"
 CHAIN_STAMP = r"(?i)DAY(\d)_(\d{6,8})"
 
 
@@ -153,3 +150,15 @@ def target_span_legacy(date: Column | str, time: Column | str) -> Column:
 def gap_bin(query_day: Column | str, target_day: Column | str) -> Column:
     gap = _col(query_day) - _col(target_day)
     return (F.when(gap.isNull(), "na").when(gap <= 0, "0").when(gap == 1, "1").otherwise("2+"))
+
+
+#: Fixed value: a reminder about something less than two minutes old counts as "just before".
+NEAR_SECONDS = 120
+
+
+def link_group(kind: Column | str, gap_sec: Column | str, source: Column | str) -> Column:
+    """Nature of the past moment a linked event asks for."""
+    return (F.when(_col(kind) == "long_term_link", "long_ago")
+            .when((_col(kind) == "task_reminder") & (_col(gap_sec) < NEAR_SECONDS), "just_before")
+            .when(_col(kind) == "task_reminder", "minutes_before")
+            .when(_col(source) == "i_do_steps", "own_action").otherwise("heard_speech"))
