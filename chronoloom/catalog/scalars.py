@@ -211,14 +211,14 @@ END_WORD = r"($|[^\p{L}\p{M}\p{N}_])"
 
 @query("first_person_rewrite", rf"""
 WITH d AS (SELECT doc_id, regexp_extract(text, '^[\p{{L}}\p{{N}}]+') AS name, text FROM documents),
-a AS (SELECT doc_id, name, name || ': ' || upper(name) || '''s ' || text || ' ' || name AS said FROM d WHERE name <> ''),
+a AS (SELECT doc_id, name, name || ': ' || lower(name) || '''s ' || text || ' ' || name AS said FROM d WHERE name <> ''),
 b AS (SELECT doc_id, name, regexp_replace(said, '{NOT_WORD}' || name || ':\s*', '\1', 'gi') AS said FROM a),
 c AS (SELECT doc_id, name, regexp_replace(said, '{NOT_WORD}' || name || '''s{END_WORD}', '\1my\2', 'gi') AS said FROM b),
 e AS (SELECT doc_id, name, regexp_replace(said, '{NOT_WORD}' || name || '{END_WORD}', '\1I\2', 'gi') AS said FROM c)
 SELECT doc_id, md5(regexp_replace(said, '{NOT_WORD}' || name || '{END_WORD}', '\1I\2', 'gi')) AS said FROM e""")
 def first_person_rewrite(t: Tables) -> DataFrame:
     d = t.documents.select("doc_id", "text", F.regexp_extract("text", r"^[\p{L}\p{N}]+", 0).alias("name"))
-    said = F.concat(F.col("name"), F.lit(": "), F.upper("name"), F.lit("'s "), F.col("text"), F.lit(" "), F.col("name"))
+    said = F.concat(F.col("name"), F.lit(": "), F.lower("name"), F.lit("'s "), F.col("text"), F.lit(" "), F.col("name"))
     return d.where("name <> ''").select("doc_id", F.md5(X.first_person(said, "name")).alias("said"))
 
 
@@ -437,7 +437,10 @@ def openie_clean(t: Tables) -> DataFrame:
     return good.select("doc", "s", "p", "o")
 
 
-@query("response_repair")
+@query("response_repair", V.with_views("triples") + """
+, d AS (SELECT doc, max(p) AS flag, count(*) AS n FROM triples GROUP BY doc)
+SELECT CASE WHEN flag = 'R' THEN 'repaired' ELSE 'clean' END AS outcome, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_triples
+FROM d GROUP BY 1""")
 def response_repair(t: Tables) -> DataFrame:
     """Responses of every order, those of returned items cut off half way; outcome counts."""
     from ..operators.extraction import repaired

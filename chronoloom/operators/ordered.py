@@ -103,24 +103,35 @@ def island_ids(df: DataFrame, by: Sequence[str], order: Sequence[str],
     return running_over(rows, by, order, {name: ("sum", starts.cast("int"))}).drop(CHUNK)
 
 
+def _value_counts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """(by, value, _n, _upto, _total): equal values folded first, then counted in order."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
+        F.count(F.lit(1)).alias("_n"))
+    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    return running(counts, by, [value], {"_upto": ("sum", F.col("_n"))}).join(totals, list(by))
+
+
+def _value_at(value: str, pos: Column) -> Column:
+    """The value at a zero-based position of the sorted group."""
+    here = (F.col("_upto") > pos) & (F.col("_upto") - F.col("_n") <= pos)
+    return F.max(F.when(here, F.col(value).cast("double")))
+
+
 def exact_percentile(df: DataFrame, by: Sequence[str], value: str, share: float,
                      name: str) -> DataFrame:
-    """Interpolated percentile per group from value counts, so equal values are folded first."""
+    """Interpolated percentile per group; a large group never sits in one task."""
     if not by:
         whole = exact_percentile(df.withColumn("_all", F.lit(0)), ["_all"], value, share, name)
         return whole.drop("_all")
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(
-        F.count(F.lit(1)).alias("_n"))
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    run = running(counts, by, [value], {"_upto": ("sum", F.col("_n"))})
-    joined = run.join(totals, list(by))
     pos = F.lit(float(share)) * (F.col("_total") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
+    lo = F.floor(pos)
+    picked = _value_counts(df, by, value).groupBy(*by).agg(
+        _value_at(value, lo).alias("_lo"), _value_at(value, F.ceil(pos)).alias("_hi"),
+        F.max(pos - lo).alias("_f"))
+    return picked.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))
 
-    def at(p):
-        return F.max(F.when((F.col("_upto") > p) & (F.col("_upto") - F.col("_n") <= p),
-                            F.col(value).cast("double")))
 
-    picked = joined.groupBy(*by).agg(at(lo).alias("_lo"), at(hi).alias("_hi"),
-                                     F.max(pos - lo).alias("_f"))
-    return picked.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))
+def upper_median(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """The sorted group's element at floor(n / 2); no interpolation."""
+    return _value_counts(df, by, value).groupBy(*by).agg(
+        _value_at(value, F.floor(F.col("_total") / 2)).alias(name))
