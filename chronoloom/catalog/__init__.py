@@ -1,6 +1,6 @@
 """Importing this package registers all queries."""
 
-from . import joins, scalars, study  # noqa: F401
+from . import aggregates, joins, scalars, study  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
