@@ -57,7 +57,7 @@ def shard_merge(t: Tables) -> DataFrame:
 
 
 @query("split_contiguous", """
-SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // ceil(count(*) OVER () / 7) AS BIGINT) AS chunk FROM documents""")
+SELECT doc_id, CAST(floor((row_number() OVER (ORDER BY doc_id) - 1) / ceil(count(*) OVER () / 7)) AS BIGINT) AS chunk FROM documents""")
 def split_contiguous(t: Tables) -> DataFrame:
     return I.contiguous(t.documents.select("doc_id"), ["doc_id"], 7)
 

@@ -30,16 +30,17 @@ def consolidate(triples: DataFrame, decide: Callable[[DataFrame], DataFrame] = s
 
     Time stamps are taken in string order, as one driver loop over distinct stamps; the rows never leave
     the executors. A new triple takes over the evidence of what it replaces. Every equal copy goes.
+    Equal new triples of one stamp enter once, with the smallest of their evidence lists.
     """
     stamps = [r[0] for r in triples.select("ts").distinct().orderBy("ts").toLocalIterator()]
     state, snapshots = None, None
     text = F.concat_ws(" ", "s", "p", "o")
     for ts in stamps:
-        fresh = triples.where(F.col("ts") == ts).select(*KEY).dropDuplicates(["s", "p", "o"])
+        fresh = triples.where(F.col("ts") == ts).groupBy("s", "p", "o").agg(F.min("evidence").alias("evidence"))
         if state is None:
             state = cut(fresh)
         else:
-            new = hooks.encode(fresh.withColumn("new_id", text), "new_id", "qvec", encoder)
+            new = cut(hooks.encode(fresh.withColumn("new_id", text), "new_id", "qvec", encoder))
             old = cut(state.withColumn("old_id", F.md5(text)))
             vectors = hooks.encode(old.select("old_id", text.alias("_t")).dropDuplicates(["old_id"]), "_t", "vec", encoder)
             near = relevant_pairs(new, vectors, "new_id", "old_id", top, least).select("new_id", "old_id")

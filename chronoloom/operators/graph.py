@@ -18,7 +18,7 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float, st
     edges: src, dst, weight, every undirected edge in both directions (parallel rows add up).
     reset: qid, node, mass; null, NaN and negative masses count as 0, the rest is scaled to sum 1.
     A node without edges sends its mass back to the reset vector. Power iteration from the reset vector;
-    it stops when no query moved more than `tol` in total, or after `steps`.
+    it stops when no query moved more than `tol` in total between two cuts, or after `steps`.
     """
     mass = F.when(F.col("mass").isNull() | F.isnan(F.col("mass").cast("double")) | (F.col("mass") < 0), 0.0
                   ).otherwise(F.col("mass").cast("double"))
@@ -28,25 +28,29 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float, st
     out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
     links = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(out, "src").where("_out > 0")
                 .select(F.col("src").alias("node"), "dst", (F.col("w") / F.col("_out")).alias("share")))
-    connected = links.select("node").distinct()
-    state = seeds.select("qid", "node", F.col("r").alias("p"))
+    # Mass only travels along edges, so a node without edges can hold mass only as a seed. What it sends
+    # back is one number per query with a simple recurrence; the loop never has to look for such nodes.
+    lonely = (seeds.join(links.select("node").distinct(), "node", "left_anti").groupBy("qid")
+              .agg(F.sum("r").alias("lone")))
+    seeds = cut(seeds.join(lonely, "qid", "left").fillna(0.0, ["lone"]))
+    state, checked = seeds.select("qid", "node", F.col("r").alias("p")), None
+    sent_back = F.col("lone")
     for i in range(1, steps + 1):
-        moved = (state.join(links, "node").groupBy("qid", F.col("dst").alias("node"))
-                 .agg(F.sum(F.col("p") * F.col("share")).alias("x")))
-        stuck = (state.join(connected, "node", "left_anti").groupBy("qid").agg(F.sum("p").alias("d")))
-        back = seeds.join(stuck, "qid", "left").select(
-            "qid", "node", (F.col("r") * (F.lit(1 - damping) + F.lit(damping) * F.coalesce("d", F.lit(0.0)))).alias("x"))
-        new = (moved.withColumn("x", F.col("x") * damping).unionByName(back)
-               .groupBy("qid", "node").agg(F.sum("x").alias("p")))
+        kept = F.lit(1 - damping) + F.lit(damping) * sent_back
+        back = seeds.select("qid", "node", (F.col("r") * kept).alias("x"))
+        sent_back = F.col("lone") * kept
+        moved = state.join(links, "node").select("qid", F.col("dst").alias("node"),
+                                                 (F.col("p") * F.col("share") * damping).alias("x"))
+        state = moved.unionByName(back).groupBy("qid", "node").agg(F.sum("x").alias("p"))
         if i % cut_every == 0 or i == steps:
-            new = cut(new)
-            if tol > 0 and i >= 2 * cut_every:
-                moved_by = (new.join(state.withColumnRenamed("p", "o"), ["qid", "node"], "full")
-                            .groupBy("qid").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("o", F.lit(0.0)))).alias("d"))
-                            .agg(F.max("d")).first()[0])
-                if moved_by is None or moved_by < tol:
-                    return new.withColumnRenamed("p", "score")
-        state = new
+            state = cut(state)
+            if tol > 0 and checked is not None:
+                change = F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))
+                most = (state.join(checked.withColumnRenamed("p", "old"), ["qid", "node"], "full")
+                        .groupBy("qid").agg(F.sum(change).alias("d")).agg(F.max("d")).first()[0])
+                if most is None or most < tol:
+                    break
+            checked = state
     return state.withColumnRenamed("p", "score")
 
 

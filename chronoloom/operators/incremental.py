@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import hooks
 from ..functions.text import hash_id
@@ -126,7 +127,7 @@ class TimedIndex:
 
     def __init__(self, spark: SparkSession, path: str, like: DataFrame, key: str, end: str):
         self.spark, self.path, self.key, self.end = spark, path, key, end
-        self.schema = like.schema.add("_call", "bigint")
+        self.schema = T.StructType([*like.schema.fields, T.StructField("_call", T.LongType())])
         spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{path}/entries")
         spark.createDataFrame([], "mark bigint").write.mode("ignore").parquet(f"{path}/marks")
 
