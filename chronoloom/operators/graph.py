@@ -23,11 +23,18 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float, st
     mass = F.when(F.col("mass").isNull() | F.isnan(F.col("mass").cast("double")) | (F.col("mass") < 0), 0.0
                   ).otherwise(F.col("mass").cast("double"))
     seeds = reset.groupBy("qid", "node").agg(F.sum(mass).alias("m")).where("m > 0")
+    pairs = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
+    # The loop runs on numbers instead of node names.
+    named = seeds.select("node").union(pairs.select("src")).union(pairs.select("dst")).distinct()
+    named = cut(named.withColumn("id", F.monotonically_increasing_id()))
     totals = seeds.groupBy("qid").agg(F.sum("m").alias("_t"))
-    seeds = cut(seeds.join(totals, "qid").select("qid", "node", (F.col("m") / F.col("_t")).alias("r")))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("_out"))
-    links = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")).join(out, "src").where("_out > 0")
-                .select(F.col("src").alias("node"), "dst", (F.col("w") / F.col("_out")).alias("share")))
+    seeds = (seeds.join(totals, "qid").join(named, "node")
+             .select("qid", F.col("id").alias("node"), (F.col("m") / F.col("_t")).alias("r")))
+    out = pairs.groupBy("src").agg(F.sum("w").alias("_out"))
+    links = cut(pairs.join(out, "src").where("_out > 0")
+                .join(named.select(F.col("node").alias("src"), F.col("id").alias("_s")), "src")
+                .join(named.select(F.col("node").alias("dst"), F.col("id").alias("_d")), "dst")
+                .select(F.col("_s").alias("node"), F.col("_d").alias("dst"), (F.col("w") / F.col("_out")).alias("share")))
     # Mass only travels along edges, so a node without edges can hold mass only as a seed. What it sends
     # back is one number per query with a simple recurrence; the loop never has to look for such nodes.
     lonely = (seeds.join(links.select("node").distinct(), "node", "left_anti").groupBy("qid")
@@ -51,7 +58,7 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float, st
                 if most is None or most < tol:
                     break
             checked = state
-    return state.withColumnRenamed("p", "score")
+    return state.withColumnRenamed("node", "id").join(named, "id").select("qid", "node", F.col("p").alias("score"))
 
 
 def passages_by_ppr(edges: DataFrame, phrases: DataFrame, passages: DataFrame, passage_weight: float,

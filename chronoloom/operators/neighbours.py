@@ -63,8 +63,8 @@ def maxsim(query_tokens: DataFrame, passage_tokens: DataFrame, k: int, qid: str
             return pd.DataFrame(columns=columns)
         r = r.sort_values(passage, kind="stable").reset_index(drop=True)
         names, starts = np.unique(r[passage].to_numpy(), return_index=True)
-        s = np.round(V._matrix(q["qvec"], False) @ V._matrix(r["vec"], False).T, V.DIGITS) + 0.0
-        best = np.maximum.reduceat(s, starts, axis=1)
+        best = np.concatenate([np.maximum.reduceat(s, starts, axis=1)
+                               for _, s, _ in V._score_slices(q, r, "qvec", "vec", False, None)])
         return pd.DataFrame({qid: np.repeat(q[qid].to_numpy(), len(names)),
                              token: np.repeat(q[token].to_numpy(), len(names)),
                              passage: np.tile(names, len(q)), "best": best.ravel()})[columns]

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 QUERY_BLOCK = 1024
 ROW_BLOCK = 32768
+SLICE = 256   # queries multiplied at once inside a task, which bounds its memory
 DIGITS = 9
 
 
@@ -61,12 +62,30 @@ def _paired_blocks(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str]
     return q.groupBy(*keys).cogroup(r.groupBy(*keys))
 
 
-def _masked(q, r, query_vec, row_vec, unit, before):
-    s = np.round(_matrix(q[query_vec], unit) @ _matrix(r[row_vec], unit).T, DIGITS) + 0.0
-    if before is None:
-        return s, np.ones(s.shape, dtype=bool)
-    at, end = before
-    return s, r[end].to_numpy()[None, :] <= q[at].to_numpy()[:, None]
+def _score_slices(q: pd.DataFrame, r: pd.DataFrame, query_vec: str, row_vec: str, unit: bool,
+                  before: tuple[str, str] | None):
+    """(first query, scores, eligible) per slice of queries against all rows of a block."""
+    left, right = _matrix(q[query_vec], unit), _matrix(r[row_vec], unit).T
+    for i in range(0, len(q), SLICE):
+        s = np.round(left[i:i + SLICE] @ right, DIGITS) + 0.0
+        if before is None:
+            yield i, s, np.ones(s.shape, dtype=bool)
+        else:
+            at, end = before
+            yield i, s, r[end].to_numpy()[None, :] <= q[at].to_numpy()[i:i + SLICE, None]
+
+
+def _best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest entries per row above -inf; ties go to the smaller column."""
+    if s.shape[1] > k:
+        floor = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        row, col = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+    else:
+        row, col = np.nonzero(s > -np.inf)
+    order = np.lexsort((col, -s[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
+    return row[place < k], col[place < k]
 
 
 def _types(df: DataFrame, names: Sequence[str]) -> str:
@@ -94,23 +113,15 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, query_ids: Sequence[str],
         if not len(q) or not len(r):
             return pd.DataFrame(columns=columns)
         r = r.sort_values(row_id, kind="stable").reset_index(drop=True)
-        s, ok = _masked(q, r, query_vec, row_vec, unit, before)
-        keys = r[row_id].to_numpy()
-        if not_same is not None:
-            ok &= keys[None, :] != q[not_same].to_numpy()[:, None]
-        s = np.where(ok, s, -np.inf)
-        out = []
-        for i in range(len(q)):
-            line = s[i]
-            if len(line) > k:
-                line = np.where(line >= np.partition(line, -k)[-k], line, -np.inf)
-            live = np.flatnonzero(line > -np.inf)
-            live = live[np.argsort(-line[live], kind="stable")][:k]
-            part = pd.DataFrame({row_id: keys[live], "score": s[i][live]})
-            for c in ids:
-                part[c] = q[c].iloc[i]
+        keys, out = r[row_id].to_numpy(), []
+        for i, s, ok in _score_slices(q, r, query_vec, row_vec, unit, before):
+            if not_same is not None:
+                ok &= keys[None, :] != q[not_same].to_numpy()[i:i + SLICE, None]
+            row, col = _best_columns(np.where(ok, s, -np.inf), k)
+            part = q[ids].iloc[i + row].reset_index(drop=True)
+            part[row_id], part["score"] = keys[col], s[row, col]
             out.append(part)
-        return pd.concat(out)[columns] if out else pd.DataFrame(columns=columns)
+        return pd.concat(out)[columns]
 
     partial = _paired_blocks(q0, r0, query_ids, row_id, by).applyInPandas(best, schema)
     w = Window.partitionBy(*ids).orderBy(F.desc("score"), row_id)
@@ -135,12 +146,16 @@ def count_better(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str],
     def tally(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame(columns=columns)
-        s, ok = _masked(q, r, query_vec, row_vec, unit, before)
         at = q[cut_score].to_numpy(dtype=np.float64)[:, None]
-        ahead = r[row_id].to_numpy()[None, :] < q[cut_id].to_numpy()[:, None]
+        keys, own = r[row_id].to_numpy()[None, :], q[cut_id].to_numpy()[:, None]
+        better, seen = [], []
+        for i, s, ok in _score_slices(q, r, query_vec, row_vec, unit, before):
+            cut = at[i:i + SLICE]
+            ahead = (s > cut) | ((s == cut) & (keys < own[i:i + SLICE]))
+            better.append((ok & ahead).sum(axis=1))
+            seen.append(ok.sum(axis=1))
         out = q[ids].copy()
-        out["n_better"] = (ok & ((s > at) | ((s == at) & ahead))).sum(axis=1)
-        out["n_seen"] = ok.sum(axis=1)
+        out["n_better"], out["n_seen"] = np.concatenate(better), np.concatenate(seen)
         return out[columns]
 
     partial = _paired_blocks(q0, r0, query_ids, row_id, by).applyInPandas(
@@ -158,9 +173,10 @@ def score_range(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str], r
     def ends(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
             return pd.DataFrame(columns=columns)
-        s, _ = _masked(q, r, query_vec, row_vec, unit, None)
+        ends_of = [(s.min(axis=1), s.max(axis=1)) for _, s, _ in _score_slices(q, r, query_vec, row_vec, unit, None)]
         out = q[list(query_ids)].copy()
-        out["lo"], out["hi"] = s.min(axis=1), s.max(axis=1)
+        out["lo"] = np.concatenate([lo for lo, _ in ends_of])
+        out["hi"] = np.concatenate([hi for _, hi in ends_of])
         return out[columns]
 
     partial = _paired_blocks(q0, r0, query_ids, row_id, ()).applyInPandas(
