@@ -53,7 +53,7 @@ best AS (SELECT clip, episode, obj FROM oc QUALIFY row_number() OVER (PARTITION
 u AS (SELECT clip, episode, a, fixation_id, unnest(others) AS name, unnest(range(0, 2)) AS pos FROM i),
 u1 AS (SELECT clip, episode, name, min((a, fixation_id, pos)) AS first FROM u GROUP BY clip, episode, name),
 oth AS (SELECT clip, episode, string_agg(name, ',' ORDER BY first) AS others FROM u1 GROUP BY clip, episode)
-SELECT base.clip, CAST(base.episode AS BIGINT) AS episode, round(s, 6) AS "start", round(e, 6) AS "end", ids, obj AS object, oth.others
+SELECT base.clip, CAST(base.episode AS BIGINT) AS episode, s AS "start", e AS "end", ids, obj AS object, oth.others
 FROM base LEFT JOIN best ON best.clip = base.clip AND best.episode = base.episode LEFT JOIN oth ON oth.clip = base.clip AND oth.episode = base.episode""")
 def episode_islands(t: Tables) -> DataFrame:
     sid = F.col("sid")
@@ -64,7 +64,7 @@ def episode_islands(t: Tables) -> DataFrame:
         F.array(F.concat(F.lit("o"), (sid % 3).cast("string")), F.concat(F.lit("o"), (sid % 7).cast("string"))).alias("others"),
         F.lit("").alias("caption"))
     e = Q.episodes(f, "clip", 50.0, 2.0)
-    return e.select("clip", F.col("episode").cast("bigint").alias("episode"), F.round("start", 6).alias("start"), F.round("end", 6).alias("end"),
+    return e.select("clip", F.col("episode").cast("bigint").alias("episode"), "start", "end",
                     F.array_join("fixation_ids", ",").alias("ids"), "object", F.array_join("others", ",").alias("others"))
 
 
