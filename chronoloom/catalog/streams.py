@@ -20,7 +20,7 @@ class StreamTables(Tables):
         if name.startswith("_"):
             raise AttributeError(name)
         path = f"{self.root}/{name}.parquet"
-        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(path)
+        return self.spark.readStream.schema(self.spark.read.parquet(path).schema).parquet(f"{path}*")
 
 
 @query("watermark_index_stream", V.with_views("captions", "clips") + """
