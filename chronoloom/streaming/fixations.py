@@ -42,7 +42,8 @@ def fixation_stream(samples: DataFrame, by: str = "clip", radius: float = 0.05,
             state.update(walker.state())
             due = int((walker.seen + dropout) * 1000) + 1
             state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=columns)
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     timed = samples.select(by, "t", "x", "y", F.timestamp_millis((F.col("t") * 1000).cast("bigint")).alias("_event"))
     return (timed.withWatermark("_event", delay).groupBy(by)
