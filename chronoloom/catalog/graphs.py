@@ -46,26 +46,26 @@ def dense_passage_retrieval(t: Tables) -> DataFrame:
 
 
 @query("fact_scores", DOT + """
-, e AS (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM s WHERE ql < 5 AND rl >= 5),
+, e AS (SELECT *, min(score) OVER (PARTITION BY qid) AS lo, max(score) OVER (PARTITION BY qid) AS hi FROM s),
 top AS (SELECT qid, rid, round((score - lo) / (hi - lo), 6) AS scaled, score FROM e QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) <= 5),
-kept AS (SELECT * FROM top WHERE round(score, 6) >= 0.3)
+kept AS (SELECT * FROM top WHERE round(score, 6) >= 0.3 AND rid <> qid)
 SELECT qid, rid, scaled, 'facts' AS route FROM kept
-UNION ALL SELECT vec_id, NULL, NULL, 'passages' FROM v WHERE label < 5 AND vec_id NOT IN (SELECT qid FROM kept)""")
+UNION ALL SELECT vec_id, NULL, NULL, 'passages' FROM v WHERE vec_id NOT IN (SELECT qid FROM kept)""")
 def fact_scores(t: Tables) -> DataFrame:
     q, r = both_sides(t)
-    kept, rest = N.fact_links(q.where("ql < 5"), r.where("rl >= 5"), 5, F.round("score", 6) >= 0.3, fact_id="rid")
+    kept, rest = N.fact_links(q, r, 5, (F.round("score", 6) >= 0.3) & (F.col("rid") != F.col("qid")), fact_id="rid")
     kept = kept.select("qid", "rid", F.round("scaled", 6).alias("scaled"), F.lit("facts").alias("route"))
     return kept.unionByName(rest.select("qid", F.lit(None).cast("bigint").alias("rid"), F.lit(None).cast("double").alias("scaled"),
                                         F.lit("passages").alias("route")))
 
 
-@query("relevant_pairs", COS + """
-, top AS (SELECT * FROM s WHERE ql % 2 = 0 AND rl % 2 = 1 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) <= 20)
+@query("relevant_pairs", COS.replace("v a JOIN v b ON a.vec_id <> b.vec_id", "v a CROSS JOIN v b") + """
+, top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) <= 20)
 SELECT qid, rid, round(score, 6) AS score FROM top WHERE score >= 0.2""")
 def relevant_pairs(t: Tables) -> DataFrame:
-    """Even labels are the new rows, odd labels the existing ones."""
+    """Every vector is a new row once, and an existing row; it counts among its own relevant rows."""
     q, r = both_sides(t)
-    pairs = N.relevant_pairs(q.where("ql % 2 = 0"), r.where("rl % 2 = 1"), "qid", "rid", least=0.2)
+    pairs = N.relevant_pairs(q, r, "qid", "rid", least=0.2)
     return pairs.select("qid", "rid", F.round("score", 6).alias("score"))
 
 

@@ -37,7 +37,8 @@ def encode(df: DataFrame, text: str, into: str = "vec", encoder: Encoder = hashe
         for b in batches:
             yield pd.Series(list(encoder(b)))
 
-    return df.withColumn(into, run(F.col(text)))
+    # Marked so that the optimizer never calls a model twice for one row.
+    return df.withColumn(into, run.asNondeterministic()(F.col(text)))
 
 
 def by_modality(df: DataFrame, modality: str, encoders: dict[str, Encoder], payload: str, into: str = "vec"

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut
+from ..session import cut, spread
 from .graph import connected_components
 
 # --- Fixed values: tokens, hash ranges and bands for a Jaccard threshold of 0.7 --------------------
@@ -41,13 +41,24 @@ def token_hashes(text: str, size: int) -> np.ndarray:
                     dtype=np.uint64)
 
 
-def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 4096) -> np.ndarray:
-    """Minimum permuted hash per permutation (64-bit products wrap), in blocks of bounded memory."""
+def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 128) -> np.ndarray:
+    """Minimum permuted hash per permutation; 64-bit products wrap.
+
+    Blocks are small enough for the processor cache, and the remainder by 2^61 - 1 is taken by folding the
+    high bits onto the low ones.
+    """
     low = np.full(len(a), TOP, dtype=np.uint64)
+    shift = np.uint64(61)
     with np.errstate(over="ignore"):
         for i in range(0, len(hashes), block):
-            part = ((hashes[i:i + block, None] * a + b) % PRIME) & TOP
-            low = np.minimum(low, part.min(axis=0))
+            x = hashes[i:i + block, None] * a
+            x += b
+            high = x >> shift
+            x &= PRIME
+            x += high
+            np.subtract(x, PRIME, out=x, where=x >= PRIME)
+            x &= TOP
+            np.minimum(low, x.min(axis=0), out=low)
     return low
 
 
@@ -66,7 +77,8 @@ def band_keys(text_column, ngram: int = NGRAM, bands: int = BANDS, rows: int = B
             return [hashlib.md5(low[i * rows:(i + 1) * rows].tobytes()).hexdigest() for i in range(bands)]
         return texts.map(one)
 
-    return keys(text_column)
+    # The mark keeps the optimizer from evaluating the function once per use of its result.
+    return keys.asNondeterministic()(text_column)
 
 
 def duplicate_edges(docs: DataFrame, key: str, text: str, **bands) -> DataFrame:
@@ -75,7 +87,8 @@ def duplicate_edges(docs: DataFrame, key: str, text: str, **bands) -> DataFrame:
     Equal signatures are folded first, so a crowd of copies enters the bands as one row; in a band every
     member links to the smallest id only, never to all others.
     """
-    signed = cut(docs.select(F.col(key).alias("id"), band_keys(F.col(text), **bands).alias("keys"))
+    texts = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("_text")))
+    signed = cut(texts.select("id", band_keys(F.col("_text"), **bands).alias("keys"))
                  .where(F.size("keys") > 0).withColumn("sig", F.md5(F.array_join("keys", ""))))
     heads = cut(signed.groupBy("sig").agg(F.min("id").alias("head"), F.first("keys").alias("keys")))
     same = signed.select("id", "sig").join(heads.select("sig", "head"), "sig").where("id <> head").select(

@@ -127,6 +127,7 @@ def mixture(rows: DataFrame, source: str, key: str, weights: Mapping[str, float]
     """
     spark = rows.sparkSession
     total = sum(weights.values())
+    rows = rows.where(F.col(source).isin(list(weights)))   # so the size table has one row per weight at most
     sizes = rows.groupBy(source).agg(F.count(F.lit(1)).alias("size"))
     n_rows, smallest = sizes.agg(F.sum("size"), F.max("size")).first()
 

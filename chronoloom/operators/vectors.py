@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 8192
 ROW_BLOCK = 32768
 SLICE = 256   # queries multiplied at once inside a task, which bounds its memory
 DIGITS = 9

@@ -46,3 +46,13 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
     """Mark `df` for broadcast if a bounded count shows it fits; otherwise leave it to shuffle joins."""
     most = max(1, limit // row_bytes)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row when a scan has fewer splits than there are cores.
+
+    Large inputs have splits enough and pass through without a shuffle. Meant for scans, not for plans with
+    a shuffle of their own.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
