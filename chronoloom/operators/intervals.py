@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import chunked, running_over, CHUNK
+from .ordered import chunked, running_over
 
 
 def _buckets(lo: Column, hi: Column, width: float) -> Column:
@@ -44,14 +44,6 @@ def tolerance_join(points: DataFrame, spans: DataFrame, at: str | tuple[str, str
     return overlap_join(wide, spans, ("_wlo", "_whi"), span, width, by).drop("_wlo", "_whi")
 
 
-def first_match(pairs: DataFrame, point_id: Sequence[str], best: Sequence[Column],
-                keep: Sequence[str]) -> DataFrame:
-    """Best candidate per point by ascending `best`; a map-side-combined aggregate, not a window."""
-    packed = pairs.groupBy(*point_id).agg(
-        F.min_by(F.struct(*keep), F.struct(*[c.alias(f"o{i}") for i, c in enumerate(best)])).alias("_m"))
-    return packed.select(*point_id, *[F.col(f"_m.{k}").alias(k) for k in keep])
-
-
 def span_distance(at: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(lo - at, at - hi, F.lit(0))
 

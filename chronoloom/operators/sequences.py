@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import _value_counts, chunked, island_ids, lag_over, row_numbers, running, running_over, CHUNK
+from .ordered import _value_counts, chunked, island_ids, lag_over, row_numbers, running, running_over
 
 
 def minmax(rows: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:

@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="chronoloom-")
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext.getCheckpointDir()

@@ -19,9 +19,10 @@ def index_stream(stream: DataFrame, index: TimedIndex, checkpoint: str) -> Strea
     A repeated batch finds its keys already stored.
     """
     def add(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.dropDuplicates([index.key])
+        rows = batch.dropDuplicates([index.key]).persist()
         top = rows.agg(F.max(index.end)).first()[0]
         if top is None:
+            rows.unpersist()
             return
         mark = index.mark()
         fresh = rows.join(index.entries().select(index.key), index.key, "left_anti")
@@ -29,6 +30,7 @@ def index_stream(stream: DataFrame, index: TimedIndex, checkpoint: str) -> Strea
         fresh.select(*rows.columns).withColumn("_call", F.lit(until).cast("bigint")).write.mode("append").parquet(f"{index.path}/entries")
         if mark is None or until > mark:
             index.spark.createDataFrame([(until,)], "mark bigint").write.mode("append").parquet(f"{index.path}/marks")
+        rows.unpersist()
 
     return (stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())

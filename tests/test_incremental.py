@@ -214,3 +214,11 @@ def test_srt_rules(spark, tmp_path):
     assert last == [(70005, "hello there"), (71000, "two"), (80008, "")]
     joined = sorted((r["start_sec"], r["text"]) for r in SC.srt_joined(blocks).collect())
     assert joined == [(5.12, "中文 hello there"), (600.0, "one two")]
+
+
+def test_hooks(spark):
+    from chronoloom import hooks
+    df = spark.createDataFrame([(1, "text", "a b"), (2, "image", "p.jpg"), (3, "sound", "x")], "id int, m string, payload string")
+    got = {r["id"]: r["vec"] for r in hooks.by_modality(df, "m", {"text": hooks.hashed_words, "image": lambda s: [[1.0, 2.0]] * len(s)}, "payload").collect()}
+    assert len(got[1]) == hooks.DIMENSIONS and got[2] == [1.0, 2.0] and got[3] is None
+    assert df.select(hooks.prompt("Q {id}: {text}!", id="id", text="payload").alias("p")).first()["p"] == "Q 1: a b!"
