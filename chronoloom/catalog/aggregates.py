@@ -13,6 +13,7 @@ from ..operators import metrics as M
 from ..operators import results as R
 from ..operators import windows as W
 from ..operators.intervals import tolerance_join
+from ..operators.ordered import row_numbers
 from ..operators.vectors import topk
 from . import views as V
 from .registry import Tables, query
@@ -153,11 +154,23 @@ def neighbours(t: Tables, k: int) -> DataFrame:
                 v.select(F.col("vec_id").alias("rid"), "vec"), k, ["qid"], "rid", not_same="qid")
 
 
+def ring(t: Tables, n: int) -> DataFrame:
+    """(qid, rid, step): the n vectors that follow a vector inside its label, in id order, as in a circle.
+
+    Relevance lists stay of fixed length however large a label is.
+    """
+    placed = row_numbers(t.embeddings.select("vec_id", "label"), ["label"], ["vec_id"])
+    sizes = placed.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    steps = placed.join(sizes, "label").where("size > 1").select(
+        F.col("vec_id").alias("qid"), "label", "rn", "size",
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(n), F.col("size") - 1))).alias("step"))
+    steps = steps.select("qid", "label", "step", ((F.col("rn") - 1 + F.col("step")) % F.col("size") + 1).alias("rn"))
+    return steps.join(placed.withColumnRenamed("vec_id", "rid"), ["label", "rn"]).select("qid", "rid", "step", "label")
+
+
 def same_label(t: Tables) -> DataFrame:
-    """Gold: other vectors of the query's label; labels 8 and 9 have none on purpose."""
-    e = t.embeddings.where("label < 8")
-    return (e.select(F.col("vec_id").alias("qid"), "label")
-            .join(e.select(F.col("vec_id").alias("rid"), "label"), "label").where("qid <> rid").drop("label"))
+    """Gold: the next eight vectors of the query's label; labels 8 and 9 have none on purpose."""
+    return ring(t, 8).where("label < 8").select("qid", "rid")
 
 
 RANKED = """
@@ -166,7 +179,9 @@ s AS (SELECT a.vec_id AS qid, b.vec_id AS rid, round(list_cosine_similarity(a.ve
       FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 hits AS (SELECT qid, rid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) AS rank FROM s
          QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, rid) <= 50),
-gold AS (SELECT a.vec_id AS qid, b.vec_id AS rid, 1 + b.vec_id % 3 AS rel FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.label < 8)
+r AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS size FROM embeddings),
+gold AS (SELECT a.vec_id AS qid, b.vec_id AS rid, 1 + b.vec_id % 3 AS rel FROM r a JOIN r b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.label < 8
+         AND (b.rn - a.rn + a.size) % a.size <= 8)
 """
 
 

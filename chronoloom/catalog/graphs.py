@@ -11,6 +11,7 @@ from ..operators import graph_build as B
 from ..operators import neighbours as N
 from ..operators import vectors as X
 from . import views as V
+from .aggregates import ring
 from .registry import Tables, query
 
 VEC = "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)\n"
@@ -160,16 +161,17 @@ def maxsim(t: Tables) -> DataFrame:
 
 
 @query("eval_rank", VEC + """
-, g AS (SELECT a.vec_id AS qid, min(b.vec_id) AS gold FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id GROUP BY a.vec_id),
-s AS (SELECT a.vec_id AS qid, b.vec_id AS rid, a.label = b.label AS own, round(list_cosine_similarity(a.vec, b.vec), 9) AS score FROM v a CROSS JOIN v b),
+, r AS (SELECT vec_id, label, vec, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn, count(*) OVER (PARTITION BY label) AS size FROM v),
+g AS (SELECT a.vec_id AS qid, b.vec_id AS gold FROM r a JOIN r b ON a.label = b.label AND a.vec_id <> b.vec_id AND (b.rn - a.rn + a.size) % a.size = 1),
+s AS (SELECT a.vec_id AS qid, b.vec_id AS rid, a.label = b.label AND a.vec_id <> b.vec_id AND (b.rn - a.rn + a.size) % a.size <= 20 AS own, round(list_cosine_similarity(a.vec, b.vec), 9) AS score FROM r a CROSS JOIN r b),
 c AS (SELECT g.qid, s.score AS cut, g.gold FROM g JOIN s ON s.qid = g.qid AND s.rid = g.gold)
 SELECT c.qid, count(CASE WHEN score > cut OR (score = cut AND rid < gold) THEN 1 END) + 1 AS rank_all,
   count(CASE WHEN own AND (score > cut OR (score = cut AND rid < gold)) THEN 1 END) + 1 AS rank_own, count(CASE WHEN own THEN 1 END) AS n_own
 FROM c JOIN s ON s.qid = c.qid GROUP BY c.qid""")
 def eval_rank(t: Tables) -> DataFrame:
     q, r = both_sides(t)
-    own = q.select("qid", F.col("ql").alias("l")).join(r.select("rid", F.col("rl").alias("l")), "l").select("qid", "rid")
-    gold = own.where("qid <> rid").groupBy("qid").agg(F.min("rid").alias("rid"))
+    own = ring(t, 20)
+    gold, own = own.where("step = 1").select("qid", "rid"), own.select("qid", "rid")
     queries, rows = q.select("qid", "qvec"), r.select("rid", "vec")
     everyone = N.rank_among_all(queries, rows, gold).select("qid", F.col("rank").alias("rank_all"))
     mine = N.rank_among_own(own, queries, rows, gold).select("qid", F.col("rank").alias("rank_own"), F.col("n_seen").alias("n_own"))
