@@ -73,7 +73,7 @@ def _quoted(name: Column) -> Column:
 
 
 def speaker_name(person: Column | str) -> Column:
-    """`A1_JAKE` -> `Jake`; an id without an underscore is its own name."""
+    """`P1_ANNA` -> `Anna`; an id without an underscore is its own name."""
     p = _col(person)
     tail = F.regexp_replace(p, "^[^_]*_", "")
     return F.initcap(F.replace(F.when(tail == "", p).otherwise(tail), F.lit("_"), F.lit(" ")))

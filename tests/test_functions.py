@@ -48,13 +48,13 @@ def test_gap_bins(spark):
 def test_text(spark):
     r = one(spark, e=X.entity_normalize(F.lit("  Café-Bar #2 ")), a=X.answer_normalize(F.lit("The  cat, a (big) one.")),
             u=X.unicode_normalize(F.lit("“a”—b″ … c­\u000bd\u0001")), t=X.title_text(F.lit("Title. "), F.lit("body")),
-            t0=X.title_text(F.lit(""), F.lit("body")), n=X.speaker_name(F.lit("A1_JAKE")),
-            f=X.first_person(F.lit("Jake: I saw Jake's cup. JAKE left, Jakes did not"), F.lit("Jake")),
+            t0=X.title_text(F.lit(""), F.lit("body")), n=X.speaker_name(F.lit("P1_ANNA")),
+            f=X.first_person(F.lit("Anna: I saw Anna's cup. ANNA left, Annas did not"), F.lit("Anna")),
             q=X.nfkc_squeeze(F.lit("ﬁne　 \n x")), p=X.file_stem(F.lit("/a/b.c/DAY1_X_11343000.mp4")), s=X.clip_start_seconds(F.lit("x_11343019.mp4")))
     assert r["e"] == "caf  bar  2" and r["a"] == "cat big one"
     assert r["u"] == "\"a\"-b'' ... c d"
-    assert (r["t"], r["t0"], r["n"]) == ("Title. body", "body", "Jake")
-    assert r["f"] == "I saw my cup. I left, Jakes did not"
+    assert (r["t"], r["t0"], r["n"]) == ("Title. body", "body", "Anna")
+    assert r["f"] == "I saw my cup. I left, Annas did not"
     assert r["q"] == " ".join(unicodedata.normalize("NFKC", "ﬁne　 \n x").split())
     assert (r["p"], r["s"]) == ("DAY1_X_11343000", 41670.19)
 
