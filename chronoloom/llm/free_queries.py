@@ -2,15 +2,65 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe, language, secrets
 from .near_dup import near_duplicates
 from .registry import query, table
-from .text import hex16
+from .suffix_dedup import remove_repeats
+from .text import hex16, text_or_empty
 
 
 @query("op4_simhash_near_dedup")
 def op4(spark: SparkSession, root: str) -> DataFrame:
     found = near_duplicates(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text")
     return found.select("doc_id", hex16(F.col("fingerprint")).alias("fingerprint"), "component_id")
+
+
+@query("op3_secret_scans")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    """n_strong: assigned values whose guess cost reaches the method's limit; n_guess: spans that the method adds."""
+    found = secrets.scan(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text")
+    base = F.filter("spans", lambda s: s["kind"] != "guess")
+
+    def shown(s):
+        return F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+
+    def number(test):
+        return F.size(F.filter("spans", test)).cast("bigint")
+
+    def of_kind(kind):
+        return number(lambda s: s["kind"] == kind).alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *[of_kind(kind) for kind in secrets.KINDS],
+        F.sha2(F.array_join(F.transform(base, shown), ",").cast("binary"), 256).alias("base_sha256"),
+        F.array_join(F.transform("spans", shown), ",").alias("spans"), of_kind("guess"),
+        number(lambda s: (s["kind"] == "assign") & (s["bits"] >= secrets.MIN_BITS)).alias("n_strong"))
+
+
+@query("op8_byte_bpe")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    ids = table(spark, root, "documents").select("doc_id", bpe.encode(text_or_empty("text"), path, pattern).alias("ids"))
+    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                      F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                      F.sha2(bpe.decode(F.col("ids"), path, pattern), 256).alias("decoded_sha256"))
+
+
+@query("op10_language_id")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    model = language.fit(docs.where(~held_out), "text", "lang", public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), "text", model).drop("text")
+
+
+@query("op9_suffix_array_dedup")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    out = remove_repeats(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text")
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
+    return out.select("doc_id", (F.octet_length("kept") + removed).cast("bigint").alias("n_bytes"), removed.alias("n_removed"),
+                      F.size("spans").cast("bigint").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
