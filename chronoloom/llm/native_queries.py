@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.ordered import chunked, lag_over
 from ..session import cut
 from . import fingerprints as fp
-from . import quality
+from . import pii, quality
 from .mixing import cyclic_weights, repetition_plan, size_in_words, taken_words
 from .registry import query, table
 from .text import text_or_empty
@@ -120,17 +120,6 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
     return plan.select("doc.doc_id", "size", "source_size", "target", taken_words().alias("taken"))
 
 
-def judged(spark: SparkSession, docs: DataFrame, root: str) -> DataFrame:
-    """`docs` with the statistics, base_failed and the number of the learned rule that rejects it (null: none)."""
-    base = table(spark, root, "documents").select("doc_id", "text")
-    labels = table(spark, root, "labels")
-    labelled = base.join(labels.where("quality is not null").select("doc_id").distinct(), "doc_id", "left_semi")
-    statistics = quality.with_statistics(labelled, "text").select("doc_id", *_statistics())
-    rules = quality.learn_decision_list(statistics.where(~quality.base_failed()), "doc_id", labels)
-    return quality.with_statistics(docs, "text").withColumn("base_failed", quality.base_failed()).withColumn(
-        "rule", quality.as_case(rules))
-
-
 def _statistics() -> list[str]:
     return [*quality.BASE_COLUMNS, "n_lines", "n_capitals", "n_marks"]
 
@@ -145,3 +134,18 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
     out = statistics.withColumn("base_failed", quality.base_failed()).withColumn("rule", quality.as_case(rules))
     return out.select("doc_id", *quality.BASE_COLUMNS, "base_failed",
                       (~F.col("base_failed") & F.col("rule").isNull()).alias("kept"), "rule")
+
+
+@query("op6_pii")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    found = pii.find_personal(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text")
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+            ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of_kind(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[of_kind(k) for k in pii.KINDS], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+                        joined(F.concat("base", "context")).alias("spans"), F.size("context").cast("bigint").alias("n_context"))

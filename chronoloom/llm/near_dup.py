@@ -46,7 +46,7 @@ TRIPLES = covering_triples()
 
 
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, fingerprint bigint), a row per row of `docs`."""
+    """(key, _h, fingerprint bigint), a row per row of `docs`; _h is a hash of the lower-cased text."""
     rows = docs.select(F.col(key), F.translate(text_or_empty(text), UPPER, LOWER).alias("_t"))
     rows = rows.select(key, F.xxhash64("_t").alias("_h"), words(F.col("_t")).alias("_w"))
     n = F.size("_w")
@@ -59,8 +59,8 @@ def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     counts = hashed.groupBy(key, "_h").agg(
         *bit_counts(F.col("_x"), F.col("_one"), "_b"), F.sum("_one").cast("bigint").alias("_n"),
         F.sum((F.col("_i") == 0).cast("int")).cast("int").alias("_rows"))
-    return counts.select(key, majority("_b", F.col("_n")).alias("fingerprint"), "_rows").select(
-        key, "fingerprint", F.explode(F.array_repeat(F.lit(0), F.col("_rows"))).alias("_r")).drop("_r")
+    return counts.select(key, "_h", majority("_b", F.col("_n")).alias("fingerprint"), "_rows").select(
+        key, "_h", "fingerprint", F.explode(F.array_repeat(F.lit(0), F.col("_rows"))).alias("_r")).drop("_r")
 
 
 def byte_mask(places) -> int:
@@ -99,7 +99,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str, text: str, radius: int = RADIUS) -> DataFrame:
-    """(key, fingerprint, component_id, root): component_id is the smallest key reachable over links, root the
+    """(key, _h, fingerprint, component_id, root): component_id is the smallest key reachable over links, root the
     smallest fingerprint of the component."""
     prints = cut(fingerprints(docs, key, text))
     heads = cut(prints.groupBy("fingerprint").agg(F.min(key).alias("head")))
@@ -108,4 +108,16 @@ def near_duplicates(docs: DataFrame, key: str, text: str, radius: int = RADIUS)
         "fingerprint", "head", F.coalesce("component", "fingerprint").alias("root"))
     lowest = named.groupBy("root").agg(F.min("head").alias("component_id"))
     return prints.join(named.select("fingerprint", "root"), "fingerprint").join(lowest, "root").select(
-        key, "fingerprint", "component_id", "root")
+        key, "_h", "fingerprint", "component_id", "root")
+
+
+def keep_one(docs: DataFrame, key: str, text: str, radius: int = RADIUS) -> DataFrame:
+    """One row of every component of near duplicates: the one with the smallest key, nulls last, and of equal keys the
+    smallest text hash. All columns of `docs` stay."""
+    name = [F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull().cast("string"), F.col("_h").cast("string")]
+    order = F.struct(F.col(key).isNull(), F.col(key), F.col("_h"))
+    kept = (near_duplicates(docs.select(key, text), key, text, radius).groupBy("root").agg(F.min(order).alias("best"))
+            .select(F.col(f"best.{key}").alias(key), "best._h").select(F.concat_ws("|", *name).alias("row")))
+    lowered = F.xxhash64(F.translate(text_or_empty(text), UPPER, LOWER)).alias("_h")
+    rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias(key), lowered).select(F.concat_ws("|", *name).alias("row"), "doc")
+    return rows.join(kept, "row").dropDuplicates(["row"]).select("doc.*")

@@ -171,3 +171,14 @@ def as_case(rules) -> Column:
 
 def describe(rules) -> list[str]:
     return [" and ".join(f"{n} {'>=' if up else '<'} {GRID[n][i]}" for n, up, i in rule) for rule in rules]
+
+
+def keep_good(docs: DataFrame, key: str, text: str, labels: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` that pass the base rules and a list learned from their labels, with all their columns.
+
+    The statistics are computed twice, once to learn and once to judge, so that no text is shuffled."""
+    rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias("key"), F.col(text).alias("text"))
+    counted = with_statistics(rows, "text").where(~base_failed())
+    counts = [*BASE_COLUMNS, "n_lines", "n_capitals", "n_marks"]
+    rules = learn_decision_list(counted.select("key", *counts), "key", labels, **options)
+    return counted.where(as_case(rules).isNull()).select("doc.*")
