@@ -52,11 +52,11 @@ def with_statistics(rows: DataFrame, text: str) -> DataFrame:
     Windows of eight words are compared by a 64-bit hash of the words."""
     t = text_or_empty(text)
     w = rows.withColumn("_w", words(t)).withColumn("n_words", F.size("_w").cast("bigint"))
-    hashes = F.when(F.col("n_words") >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.col("n_words").cast("int") - WINDOW + 1),
-        lambda i: F.xxhash64(F.slice("_w", i, WINDOW))))
+    # Bound by `let`, so that no optimizer rule can move the split into the loop over the windows.
+    hashes = let(F.col("_w"), lambda ws: F.when(F.size(ws) >= WINDOW, F.transform(
+        F.sequence(F.lit(1), F.size(ws) - WINDOW + 1), lambda i: F.xxhash64(F.slice(ws, i, WINDOW)))))
     h = w.withColumn("_h", hashes)
-    repeats = F.when(F.size(F.array_distinct("_h")) < F.size("_h"), _covered(F.col("_h"))).otherwise(F.lit(0))
+    repeats = let(F.col("_h"), lambda hs: F.when(F.size(F.array_distinct(hs)) < F.size(hs), _covered(hs)).otherwise(F.lit(0)))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     return h.select(
         *rows.columns, "n_words", F.length(F.array_join("_w", "")).cast("bigint").alias("word_chars"),
@@ -178,7 +178,9 @@ def keep_good(docs: DataFrame, key: str, text: str, labels: DataFrame, **options
 
     The statistics are computed twice, once to learn and once to judge, so that no text is shuffled."""
     rows = docs.select(F.struct("*").alias("doc"), F.col(key).alias("key"), F.col(text).alias("text"))
-    counted = with_statistics(rows, "text").where(~base_failed())
-    counts = [*BASE_COLUMNS, "n_lines", "n_capitals", "n_marks"]
-    rules = learn_decision_list(counted.select("key", *counts), "key", labels, **options)
-    return counted.where(as_case(rules).isNull()).select("doc.*")
+    counted = with_statistics(rows, "text")
+    learned_from = cut(counted.select("key", *BASE_COLUMNS, "n_lines", "n_capitals", "n_marks")).where(~base_failed())
+    rules = learn_decision_list(learned_from, "key", labels, **options)
+    # A filter would be pushed below the statistics and compute them once per use; a generator is not.
+    kept = F.when(~base_failed() & as_case(rules).isNull(), F.array("doc"))
+    return counted.select(F.explode(kept).alias("doc")).select("doc.*")
