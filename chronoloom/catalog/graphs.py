@@ -106,8 +106,8 @@ r0 AS (SELECT n_regionkey AS qid, 'supplier  ' || s_suppkey AS node, CASE WHEN s
   UNION ALL SELECT n_regionkey, 'chunk-' || o_orderkey, 0.05::DOUBLE * (o_totalprice / 100000) FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey),
 r1 AS (SELECT qid, node, sum(m) AS m FROM r0 GROUP BY ALL HAVING sum(m) > 0),
 seeds AS MATERIALIZED (SELECT qid, node, m / sum(m) OVER (PARTITION BY qid) AS r FROM r1),
-""" + _ppr_sql(20, 0.5) + """
-SELECT CAST(qid AS BIGINT) AS qid, node, round(p, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(p, 9) DESC, node) AS rank FROM p20 WHERE node LIKE 'chunk-%'
+""" + _ppr_sql(45, 0.5) + """
+SELECT CAST(qid AS BIGINT) AS qid, node, round(p, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(p, 9) DESC, node) AS rank FROM p45 WHERE node LIKE 'chunk-%'
 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(p, 9) DESC, node) <= 20""")
 def fact_graph_ppr(t: Tables) -> DataFrame:
     """One query per region: its suppliers are the phrases, its customers' orders the passages."""
@@ -120,7 +120,7 @@ def fact_graph_ppr(t: Tables) -> DataFrame:
         "qid", F.concat(F.lit("supplier  "), F.col("s_suppkey").cast("string")).alias("node"), (F.col("s_acctbal") / 1000).alias("weight"))
     passages = (t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("n_nationkey") == F.col("c_nationkey"))
                 .select("qid", F.concat(F.lit("chunk-"), F.col("o_orderkey").cast("string")).alias("node"), (F.col("o_totalprice") / 100000).alias("score")))
-    top = P.passages_by_ppr(edges, phrases, passages, 0.05, 20, steps=20, tol=0)
+    top = P.passages_by_ppr(edges, phrases, passages, 0.05, 20, tol=1e-9)
     return top.withColumn("score", F.round("score", 6))
 
 
@@ -130,9 +130,9 @@ links AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS sh
 sim AS (SELECT o_custkey % 25 AS qid, tid FROM triples JOIN orders ON o_orderkey = doc WHERE p = 'R' QUALIFY row_number() OVER (PARTITION BY o_custkey % 25 ORDER BY tid * 37 % 1009 DESC, tid, s, o) <= 10),
 r1 AS (SELECT DISTINCT qid, unnest([s, o]) AS node FROM sim JOIN (SELECT DISTINCT tid, s, o FROM triples) t ON t.tid = sim.tid),
 seeds AS MATERIALIZED (SELECT qid, node, 1.0::DOUBLE / count(*) OVER (PARTITION BY qid) AS r FROM r1),
-""" + _ppr_sql(30, 0.85) + """
+""" + _ppr_sql(150, 0.85) + """
 , pr AS (SELECT DISTINCT s, o FROM triples),
-sc AS (SELECT a.qid, pr.s, pr.o, a.p + b.p AS score FROM pr JOIN p30 a ON a.node = pr.s JOIN p30 b ON b.node = pr.o AND b.qid = a.qid)
+sc AS (SELECT a.qid, pr.s, pr.o, a.p + b.p AS score FROM pr JOIN p150 a ON a.node = pr.s JOIN p150 b ON b.node = pr.o AND b.qid = a.qid)
 SELECT CAST(qid AS BIGINT) AS qid, tid, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, tid) AS rank
 FROM sc JOIN triples t ON t.s = sc.s AND t.o = sc.o QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, tid) <= 10""")
 def triple_graph_ppr(t: Tables) -> DataFrame:
@@ -143,7 +143,7 @@ def triple_graph_ppr(t: Tables) -> DataFrame:
     w = Window.partitionBy("qid").orderBy(F.desc("score"), "tid", "s", "o")
     sim = (tri.where("p = 'R'").join(owner, "doc").withColumn("score", score.cast("double"))
            .withColumn("r", F.row_number().over(w)).where("r <= 10").select("qid", "tid", "score"))
-    top = P.triples_by_ppr(tri.select("tid", "s", "o"), sim, 10, steps=30, tol=0)
+    top = P.triples_by_ppr(tri.select("tid", "s", "o"), sim, 10, tol=1e-9)
     return top.select("qid", "tid", F.round("score", 6).alias("score"), "rank")
 
 

@@ -103,7 +103,7 @@ def parse_window(t: Tables) -> DataFrame:
 
 POINTS = V.with_views("points") + """
 , marks AS (SELECT qid, status, target, 1 + target // 86400 AS tday, target % 86400 AS ts,
-                   least(9, 1 + (target + cust * 10) // 86400) AS t2day, (target + cust * 10) % 86400 AS ts2 FROM points)
+                   1 + (target + cust * 10) // 86400 AS t2day, (target + cust * 10) % 86400 AS ts2 FROM points)
 """
 
 
@@ -113,7 +113,7 @@ def annotated(t: Tables) -> DataFrame:
     second = F.col("target") + F.col("cust") * 10
     stamp1, stamp2 = K.seconds_to_clock(F.col("target") % 86400), K.seconds_to_clock(second % 86400)
     day1 = (F.floor(F.col("target") / 86400) + 1).cast("bigint")
-    day2 = F.least(F.lit(9), F.floor(second / 86400) + 1).cast("bigint")
+    day2 = (F.floor(second / 86400) + 1).cast("bigint")
     chain = F.concat(stamp1, F.lit("DAY"), day2.cast("string"), F.lit("_"), stamp2)
     return p.select(
         "qid", "status", F.concat(F.lit("DAY"), day1.cast("string")).alias("date"),

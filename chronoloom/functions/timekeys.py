@@ -89,7 +89,7 @@ def clock_text(sec: Column | str) -> Column:
 RANGE_STAMP = r"(?i)DAY\s*(\d+)\s+(\d{1,2}:\d{2}:\d{2})"
 RANGE_TEXT = r"(?i)DAY\s*\d+\s+\d{1,2}:\d{2}:\d{2}\s*-\s*DAY\s*\d+\s+\d{1,2}:\d{2}:\d{2}"
 WINDOW_TEXT = r"^DAY(\d+)\s+(\d{2}:\d{2}:\d{2})-(\d{2}:\d{2}:\d{2})"
-CHAIN_STAMP = r"(?i)DAY(\d)_(\d{6,8})"
+CHAIN_STAMP = r"(?i)DAY(\d+)_(\d{6,8})"
 
 
 def is_time_range(text: Column | str) -> Column:

@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 
-def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float, steps: int = 60,
+def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float, steps: int = 1000,
                           tol: float = 1e-9, cut_every: int = 5) -> DataFrame:
     """(qid, node, score) for all queries at once.
 
     edges: src, dst, weight, every undirected edge in both directions (parallel rows add up).
     reset: qid, node, mass; null, NaN and negative masses count as 0, the rest is scaled to sum 1.
     A node without edges sends its mass back to the reset vector. Power iteration from the reset vector;
-    it stops when no query moved more than `tol` in total between two cuts, or after `steps`.
+    it stops when no query moved more than `tol` in total between two cuts. If that is not reached in `steps`
+    steps it raises; with `tol` 0 exactly `steps` steps are taken.
     """
     mass = F.when(F.col("mass").isNull() | F.isnan(F.col("mass").cast("double")) | (F.col("mass") < 0), 0.0
                   ).otherwise(F.col("mass").cast("double"))
@@ -58,6 +59,9 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float, st
                 if most is None or most < tol:
                     break
             checked = state
+    else:
+        if tol > 0:
+            raise RuntimeError(f"the ranks still moved by more than {tol} after {steps} steps")
     return state.withColumnRenamed("node", "id").join(named, "id").select("qid", "node", F.col("p").alias("score"))
 
 
@@ -104,7 +108,7 @@ def triples_by_ppr(triples: DataFrame, similar: DataFrame, k: int, damping: floa
     return walked.unionByName(plain.select("qid", "tid", "score", "rank", F.lit("similar").alias("source")))
 
 
-def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node id reachable.
 
     Alternating large-star and small-star steps; each is one group minimum and one join, and a hot node
@@ -118,7 +122,7 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
 
     before = mark(e)
-    for _ in range(max_steps):
+    while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         e = (both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -130,7 +134,5 @@ def connected_components(edges: DataFrame, max_steps: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("connected components did not settle")
     roots = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
     return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))

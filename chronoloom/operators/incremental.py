@@ -43,7 +43,8 @@ def remove(spark: SparkSession, path: str, new_path: str, ids: DataFrame) -> Non
 
 
 def lookup(store: DataFrame, ids: DataFrame) -> DataFrame:
-    return ids.select("hash_id").join(store, "hash_id")
+    """Stored rows of the ids; a text that two runs appended at once is one row."""
+    return ids.select("hash_id").join(store.join(ids.select("hash_id"), "hash_id", "left_semi").dropDuplicates(["hash_id"]), "hash_id")
 
 
 def merge_shards(shards: DataFrame, key: str, shard: str) -> DataFrame:
@@ -101,14 +102,15 @@ def cached_inference(spark: SparkSession, rows: DataFrame, prompt: str, cache_pa
             yield pd.DataFrame({"key": b["key"], "response": responses, "error": errors})
 
     from ..session import cut, scratch
-    hits_before = cut(keyed.select("key").distinct().join(known, "key"))
+    hits_before = cut(keyed.select("key").distinct().join(known, "key", "left_semi").withColumn("hit", F.lit(True)))
     failed_path = scratch(spark, "failed-calls")
     for wave in range(waves):
         part = missing.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == wave)
         done = cut(part.mapInPandas(call, "key string, response string, error string"))
         done.where("error IS NULL").select("key", "response").write.mode("append").parquet(cache_path)
         done.where("error IS NOT NULL").select("key", "error").write.mode("append").parquet(failed_path)
-    cache = spark.read.schema(CACHE).parquet(cache_path)
+    # Two runs that answer the same prompt at once both append it; one answer per key is taken, always the same.
+    cache = spark.read.schema(CACHE).parquet(cache_path).groupBy("key").agg(F.min("response").alias("response"))
     failed = spark.read.schema("key string, error string").parquet(failed_path)
     return (keyed.join(hits_before, "key", "left").join(cache, "key", "left").join(failed, "key", "left")
             .withColumn("hit", F.coalesce("hit", F.lit(False)))
@@ -135,7 +137,8 @@ class TimedIndex:
         return self.spark.read.schema("mark bigint").parquet(f"{self.path}/marks").agg(F.max("mark")).first()[0]
 
     def entries(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/entries")
+        """One row per key, also where two calls appended it at once."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/entries").dropDuplicates([self.key])
 
     def advance(self, rows: DataFrame, until: int) -> bool:
         mark = self.mark()

@@ -13,6 +13,11 @@ CAPTION = "text string, start_time string, end_time string, date string, video_p
 SCALES = ("30sec", "3min", "10min", "1h")
 
 
+def _parsed(kind: str) -> Column:
+    """The file's JSON; a malformed or cut-off file fails the read and is named, instead of giving no rows."""
+    return F.coalesce(F.from_json("value", kind), F.raise_error(F.concat(F.lit("malformed JSON in "), F.col("_metadata.file_path"))))
+
+
 def read_captions(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """JSON arrays of captions, one file per recording and scale; unknown scales are skipped.
 
@@ -22,8 +27,9 @@ def read_captions(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     for scale, path in paths.items():
         if scale not in SCALES:
             continue
-        files = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-        items = files.select("file", F.posexplode(F.from_json("value", f"array<struct<{_inline(CAPTION)}>>")).alias("pos", "c"))
+        files = spark.read.option("wholetext", True).text(path).select(
+            _parsed(f"array<struct<{_inline(CAPTION)}>>").alias("items"), F.col("_metadata.file_path").alias("file"))
+        items = files.select("file", F.posexplode("items").alias("pos", "c"))
         parts.append(items.select("file", F.lit(scale).alias("granularity"), "pos",
                                   F.concat(F.lit(scale + "_"), F.col("pos").cast("string")).alias("id"), "c.*"))
     return reduce(DataFrame.unionByName, parts)
@@ -39,7 +45,7 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     The id keeps the position before the drop.
     """
     kind = "map<string, struct<consolidated_semantic_triples: array<array<string>>>>"
-    maps = spark.read.option("wholetext", True).text(path).select(F.from_json("value", kind).alias("m"))
+    maps = spark.read.option("wholetext", True).text(path).select(_parsed(kind).alias("m"))
     rows = maps.select(F.explode("m").alias("ts", "v")).select(
         "ts", F.posexplode("v.consolidated_semantic_triples").alias("pos", "t"))
     rows = rows.where(F.size("t") >= 3)
@@ -65,8 +71,14 @@ def _srt_seconds(value: Column, first: int) -> Column:
 
 
 def read_srt(spark: SparkSession, path: str) -> DataFrame:
-    """Subtitle blocks as rows: file, start_sec, end_sec, lines. Files are split at blank lines, in parallel."""
-    blocks = spark.read.option("lineSep", "\n\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    """Subtitle blocks as rows: file, start_sec, end_sec, lines. Files are split at blank lines, in parallel.
+
+    A file with Windows line ends has no such split, so it is read as a whole and split where it is. Byte order
+    marks are dropped.
+    """
+    pieces = spark.read.option("lineSep", "\n\n").text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    blocks = pieces.select("file", F.explode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n[ \t]*\r?\n")).alias("value"))
+    blocks = blocks.withColumn("value", F.regexp_replace("value", "\r(\n|$)", "$1"))
     blocks = blocks.where(F.col("value").rlike(BLOCK_TIME))
     lines = F.split(F.regexp_replace("value", r"(?s)^.*?-->[^\n]*\n?", ""), "\n")
     return blocks.select("file", _srt_seconds(F.col("value"), 1).alias("start_sec"), _srt_seconds(F.col("value"), 5).alias("end_sec"), lines.alias("lines"))
