@@ -107,7 +107,9 @@ def near_duplicates(docs: DataFrame, key: str, text: str, radius: int = RADIUS)
     named = heads.join(groups.select(F.col("node").alias("fingerprint"), "component"), "fingerprint", "left").select(
         "fingerprint", "head", F.coalesce("component", "fingerprint").alias("root"))
     lowest = named.groupBy("root").agg(F.min("head").alias("component_id"))
-    return prints.join(named.select("fingerprint", "root"), "fingerprint").join(lowest, "root").select(
+    # Joined per distinct fingerprint first: the rows of a large component never meet under one key.
+    told = named.select("fingerprint", "root").join(lowest, "root")
+    return prints.join(told, "fingerprint").select(
         key, "_h", "fingerprint", "component_id", "root")
 
 
