@@ -14,16 +14,34 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import regex
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-LEAF = 32                        # bytes that are merged without a tree
-REMEMBERED = 300_000             # matches whose ids a task keeps
+LEAF = 8                         # bytes that are merged without a tree
+SHORT = 128                      # bytes up to which plain merging looks at all pairs; beyond, it keeps a heap
+REMEMBERED = 350_000             # matches whose ids a worker keeps, twice: the latest and those before
+SLICE = 256                      # texts of one result batch, which bounds a worker's memory
+
+
+#: Letters below U+0250 in which both regular expression libraries agree on letters, digits and white space.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+OUTSIDE = re.compile(f"[^\\t-\\r -~{LETTERS}]")
+
+
+def plain_form(pattern: str) -> re.Pattern | None:
+    """The pattern with letters and digits spelled out, for the faster library; None if it cannot be had that way."""
+    for name, chars in ((r"\p{L}", LETTERS), (r"\p{N}", "0-9")):
+        pattern = pattern.replace(f"?{name}+", f"?[{chars}]+").replace(name, chars)
+    return re.compile(pattern) if r"\p" not in pattern and "++" not in pattern else None
 
 
 class Codec:
@@ -32,29 +50,40 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, list[int]] = {}
+        self.plain = plain_form(pattern)
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.leaves: dict[bytes, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
 
     def merged(self, piece: bytes) -> list[int]:
         """Plain merging: the pair with the lowest rank first, the leftmost of equal ones."""
-        return self._merged_short(piece) if len(piece) <= 4 * LEAF else self._merged_long(piece)
+        if len(piece) > 2 * LEAF:
+            return self._merged_short(piece) if len(piece) <= SHORT else self._merged_long(piece)
+        ids = self.leaves.get(piece)
+        if ids is None:
+            if len(self.leaves) >= REMEMBERED:
+                self.leaves.clear()
+            ids = self.leaves[piece] = self._merged_short(piece)
+        return ids
 
     def _merged_short(self, piece: bytes) -> list[int]:
+        """By the positions where parts begin, and the rank of every part joined with the next."""
         rank, none = self.ranks.get, 1 << 62
-        parts = [piece[i:i + 1] for i in range(len(piece))]
-        joins = [rank(parts[i] + parts[i + 1], none) for i in range(len(parts) - 1)]
+        n = len(piece)
+        cuts = list(range(n + 1))
+        joins = [rank(piece[i:i + 2], none) for i in range(n - 1)]
         while joins:
             low = min(joins)
             if low == none:
                 break
             i = joins.index(low)
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            del joins[i]
+            del cuts[i + 1], joins[i]
             if i < len(joins):
-                joins[i] = rank(parts[i] + parts[i + 1], none)
+                joins[i] = rank(piece[cuts[i]:cuts[i + 2]], none)
             if i:
-                joins[i - 1] = rank(parts[i - 1] + parts[i], none)
-        return [self.ranks[p] for p in parts]
+                joins[i - 1] = rank(piece[cuts[i - 1]:cuts[i + 1]], none)
+        return [self.ranks[piece[a:b]] for a, b in zip(cuts, cuts[1:])]
 
     def _merged_long(self, piece: bytes) -> list[int]:
         """The same by a heap of pairs over linked positions."""
@@ -117,20 +146,26 @@ class Codec:
         return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.known
-        for match in self.pattern.findall(text):
-            ids = known.get(match)
-            if ids is None:
-                piece = match.encode("utf-8")
-                own = self.ranks.get(piece)
-                ids = self.tree(piece) if own is None else [own]
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(match) <= 64:
-                    known[match] = ids
-            out += ids
-        return out
+        simple = self.plain is not None and not OUTSIDE.search(text)
+        matches = (self.plain if simple else self.pattern).findall(text)
+        parts = list(map(self.known.get, matches))
+        if None in parts:
+            for i, ids in enumerate(parts):
+                if ids is None:
+                    parts[i] = self._learn(matches[i])
+        return list(chain.from_iterable(parts))
+
+    def _learn(self, match: str) -> tuple[int, ...]:
+        ids = self.known.get(match) or self.older.get(match)
+        if ids is None:
+            piece = match.encode("utf-8")
+            own = self.ranks.get(piece)
+            ids = tuple(self.tree(piece)) if own is None else (own,)
+        if len(match) <= 64:
+            if len(self.known) >= REMEMBERED:
+                self.older, self.known = self.known, {}
+            self.known[match] = ids
+        return ids
 
     def decode(self, ids: list[int]) -> bytes:
         if len(ids) <= 4096:
@@ -145,23 +180,35 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
-    """Column of token ids."""
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = codec(path, pattern)
-        for texts in batches:
-            yield pd.Series([own.encode(t) if t else [] for t in texts], dtype=object)
+def _sliced(docs: DataFrame, name: str, kind: T.DataType, convert) -> DataFrame:
+    """`docs` with one more column `name`; `convert` makes its values for a slice of a batch."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns, convert(part)], names=[*batch.schema.names, name])
+
+    return docs.mapInArrow(run, schema)
+
+
+def encode(docs: DataFrame, text: str, path: str, pattern: str, name: str = "ids") -> DataFrame:
+    """`docs` with a column of token ids; `name` must not be one of its columns."""
+    def ids(part: pa.RecordBatch) -> pa.Array:
+        own, flat, ends = codec(path, pattern), array("i"), [0]
+        for t in part.column(text):
+            flat.extend(own.encode(t.as_py() or ""))
+            ends.append(len(flat))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
 
-    return ids.asNondeterministic()(text)
+    return _sliced(docs, name, T.ArrayType(T.IntegerType()), ids)
 
 
-def decode(ids: Column, path: str, pattern: str) -> Column:
-    """Column of the bytes that the ids stand for."""
-    @F.pandas_udf("binary")
-    def raw(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def decode(docs: DataFrame, ids: str, path: str, pattern: str, name: str = "decoded") -> DataFrame:
+    """`docs` with a column of the bytes that its token ids stand for; null ids stand for none."""
+    def raw(part: pa.RecordBatch) -> pa.Array:
         own = codec(path, pattern)
-        for lists in batches:
-            yield pd.Series([own.decode(x.tolist()) if x is not None else b"" for x in lists], dtype=object)
+        return pa.array([own.decode(x.values.to_pylist() if x.is_valid else []) for x in part.column(ids)], pa.binary())
 
-    return raw(ids)
+    return _sliced(docs, name, T.BinaryType(), raw)

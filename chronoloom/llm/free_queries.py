@@ -44,10 +44,12 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
 @query("op8_byte_bpe")
 def op8(spark: SparkSession, root: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    ids = table(spark, root, "documents").select("doc_id", bpe.encode(text_or_empty("text"), path, pattern).alias("ids"))
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+    docs = table(spark, root, "documents").select("doc_id", text_or_empty("text").alias("text"))
+    ids = bpe.encode(docs, "text", path, pattern).drop("text")
+    out = bpe.decode(ids, "ids", path, pattern)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
-                      F.sha2(bpe.decode(F.col("ids"), path, pattern), 256).alias("decoded_sha256"))
+                      F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
 @query("op10_language_id")

@@ -40,9 +40,10 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their number, and the text that they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = docs.select("doc_id", "lang", "source", "n_chars", bpe.encode(text_or_empty("text"), path, pattern).alias("ids"))
-    return coded.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
-                        bpe.decode(F.col("ids"), path, pattern).cast("string").alias("text"))
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", text_or_empty("text").alias("text")), "text", path, pattern)
+    back = bpe.decode(coded.drop("text"), "ids", path, pattern)
+    return back.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
+                       F.col("decoded").cast("string").alias("text"))
 
 
 STAGES = [("quality rules", good_documents), ("near duplicates", distinct_documents), ("secrets", without_secrets),

@@ -81,6 +81,8 @@ def test_bpe_equals_library():
     theirs, own, rnd = their_encoder(), bpe.codec(PATH, PATTERN), random.Random(1)
     texts = ["", " ", "<|endoftext|>", "a" * 30000, "ab" * 5000, "é" * 4000, "日本語テキスト" * 300, "\n \t x" * 50, "0123456789" * 900, "!?" * 3000]
     texts += ["".join(rnd.choice("abcdeé ñ\n12.,日🙂'") for _ in range(rnd.randint(1, 400))) for _ in range(300)]
+    texts += ["".join(rnd.choice("aZéßñ×÷_ \t\r\n\x0b\x0c09'ſ-!\u024f\u01c0") for _ in range(rnd.randint(1, 60))) for _ in range(500)]
+    texts += ["".join(chr(rnd.randint(0, 0x250)) for _ in range(rnd.randint(1, 60))) for _ in range(500)]
     texts += ["".join(rnd.choice(["th", "e", "ing", "tion", "er"]) for _ in range(rnd.randint(20, 200))) for _ in range(200)]
     for t in texts:
         ids = own.encode(t)
