@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 LEAF = 8                         # bytes that are merged without a tree
 SHORT = 128                      # bytes up to which plain merging looks at all pairs; beyond, it keeps a heap
-REMEMBERED = 350_000             # matches whose ids a worker keeps, twice: the latest and those before
+REMEMBERED = 350_000             # matches whose ids a worker keeps, twice: the latest and those before; about 0.5 KB each
 SLICE = 256                      # texts of one result batch, which bounds a worker's memory
 
 
@@ -45,7 +45,8 @@ def plain_form(pattern: str) -> re.Pattern | None:
 
 
 class Codec:
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         with open(path, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
@@ -62,7 +63,7 @@ class Codec:
             return self._merged_short(piece) if len(piece) <= SHORT else self._merged_long(piece)
         ids = self.leaves.get(piece)
         if ids is None:
-            if len(self.leaves) >= REMEMBERED:
+            if len(self.leaves) >= self.remembered:
                 self.leaves.clear()
             ids = self.leaves[piece] = self._merged_short(piece)
         return ids
@@ -120,7 +121,7 @@ class Codec:
         seen = self.pairs.get((a, b))
         if seen is None:
             seen = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            if len(self.pairs) > REMEMBERED:
+            if len(self.pairs) >= self.remembered:
                 self.pairs.clear()
             self.pairs[a, b] = seen
         return seen
@@ -162,7 +163,7 @@ class Codec:
             own = self.ranks.get(piece)
             ids = tuple(self.tree(piece)) if own is None else (own,)
         if len(match) <= 64:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= self.remembered:
                 self.older, self.known = self.known, {}
             self.known[match] = ids
         return ids
@@ -174,10 +175,10 @@ class Codec:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
+@lru_cache(maxsize=3)
+def codec(path: str, pattern: str, remembered: int = REMEMBERED) -> Codec:
     """One per Python worker."""
-    return Codec(path, pattern)
+    return Codec(path, pattern, remembered)
 
 
 def _sliced(docs: DataFrame, name: str, kind: T.DataType, convert) -> DataFrame:
@@ -193,10 +194,11 @@ def _sliced(docs: DataFrame, name: str, kind: T.DataType, convert) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def encode(docs: DataFrame, text: str, path: str, pattern: str, name: str = "ids") -> DataFrame:
-    """`docs` with a column of token ids; `name` must not be one of its columns."""
+def encode(docs: DataFrame, text: str, path: str, pattern: str, name: str = "ids", remembered: int = REMEMBERED) -> DataFrame:
+    """`docs` with a column of token ids; `name` must not be one of its columns. `remembered` weighs a worker's
+    memory against its time; workers keep what they remember between tasks."""
     def ids(part: pa.RecordBatch) -> pa.Array:
-        own, flat, ends = codec(path, pattern), array("i"), [0]
+        own, flat, ends = codec(path, pattern, remembered), array("i"), [0]
         for t in part.column(text):
             flat.extend(own.encode(t.as_py() or ""))
             ends.append(len(flat))
@@ -208,7 +210,7 @@ def encode(docs: DataFrame, text: str, path: str, pattern: str, name: str = "ids
 def decode(docs: DataFrame, ids: str, path: str, pattern: str, name: str = "decoded") -> DataFrame:
     """`docs` with a column of the bytes that its token ids stand for; null ids stand for none."""
     def raw(part: pa.RecordBatch) -> pa.Array:
-        own = codec(path, pattern)
+        own = codec(path, pattern, 0)
         return pa.array([own.decode(x.values.to_pylist() if x.is_valid else []) for x in part.column(ids)], pa.binary())
 
     return _sliced(docs, name, T.BinaryType(), raw)

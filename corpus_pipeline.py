@@ -14,6 +14,7 @@ from chronoloom.session import scratch
 SOURCE_WEIGHTS = [3, 1, 2]       # by the order of the sources, in turn
 EPOCHS = 2
 SHARE = "1.5 * sum(size)"
+REMEMBERED = 50_000              # the Python workers of an executor serve all stages and must not grow large in one
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +41,8 @@ def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their number, and the text that they decode to."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", text_or_empty("text").alias("text")), "text", path, pattern)
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", text_or_empty("text").alias("text")), "text", path, pattern,
+                       remembered=REMEMBERED)
     back = bpe.decode(coded.drop("text"), "ids", path, pattern)
     return back.select("doc_id", "lang", "source", "n_chars", F.size("ids").cast("bigint").alias("n_tokens"), "ids",
                        F.col("decoded").cast("string").alias("text"))
