@@ -44,9 +44,19 @@ def cached_inference_stream(t: Tables) -> DataFrame:
 
 @query("fixation_stream")
 def fixation_stream(t: Tables) -> DataFrame:
-    samples = V.gaze(StreamTables(t.spark, t.root)).select("clip", "t", "x", "y")
-    out = scratch(t.spark, "stream-fixations")
-    q = (fixations(samples, min_seconds=0.3).writeStream.format("parquet").option("path", out)
-         .option("checkpointLocation", scratch(t.spark, "stream-state")).trigger(availableNow=True).start())
-    q.awaitTermination()
+    """The samples, then a mark for the end of every clip, as two runs of one query."""
+    ends = V.gaze(t).select("clip").distinct().select(
+        "clip", *[F.lit(None).cast(k).alias(c) for c, k in (("sid", "bigint"), ("t", "double"), ("x", "double"), ("y", "double"))])
+    marks, out, state = (scratch(t.spark, f"stream-{n}") for n in ("ends", "fixations", "state"))
+    ends.limit(0).write.parquet(marks)
+    samples = V.gaze(StreamTables(t.spark, t.root)).select("clip", F.col("sid").cast("bigint").alias("sid"), "t", "x", "y")
+    both = fixations(samples.unionByName(t.spark.readStream.schema(ends.schema).parquet(marks)), min_seconds=0.3)
+
+    def run() -> None:
+        (both.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+         .trigger(availableNow=True).start().awaitTermination())
+
+    run()
+    ends.write.mode("append").parquet(marks)
+    run()
     return t.spark.read.parquet(out)

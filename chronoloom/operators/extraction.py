@@ -95,12 +95,41 @@ def strip_fences(text: Column | str) -> Column:
     return F.trim(F.regexp_replace(text, r"(?i)```(?:json)?\s*|```", ""))
 
 
+#: A JSON object that holds at most one level of objects.
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
+OBJECT = rf'(?s)\{{(?:[^{{}}"]++|{_STRING}|\{{(?:[^{{}}"]++|{_STRING})*+\}})*+\}}'
+DECISION = "decision string, memory string, query string, selected_memory struct<memory_type: string, search_query: string>"
+#: The memories that a decision cut off half way may name.
+MEMORIES = "episodic|semantic|visual"
+
+
 def decision(text: Column | str) -> Column:
-    """Agent decision struct; anything unreadable or unknown means `answer`."""
-    parsed = F.from_json(strip_fences(text), "decision string, memory string, query string")
-    known = parsed["decision"].isin("search", "answer")
-    return F.struct(F.when(known, parsed["decision"]).otherwise("answer").alias("decision"),
-                    parsed["memory"].alias("memory"), parsed["query"].alias("query"))
+    """Agent decision struct: of the first readable object in the text that has a decision, else of the fields that can
+    be read from broken JSON; anything else, or an unknown decision, means `answer`.
+
+    Memory and query belong to a search and may be flat or nested in `selected_memory`. Broken JSON gives them
+    only if both are whole.
+    """
+    plain = strip_fences(text)
+    objects = F.transform(F.regexp_extract_all(plain, F.lit(OBJECT), F.lit(0)), lambda o: F.from_json(o, DECISION))
+    read = F.try_element_at(F.filter(objects, lambda o: o["decision"].isNotNull()), F.lit(1))
+
+    def field(pattern: str) -> Column:
+        return F.nullif(F.trim(F.regexp_extract(plain, pattern, 1)), F.lit(""))
+
+    loose = field(r'(?i)"decision"\s*:\s*"(search|answer)"')
+    memory = field(rf'(?i)"memory(?:_type)?"\s*:\s*"({MEMORIES})"')
+    query = field(r'(?s)"(?:search_)?query"\s*:\s*"((?:[^"\\]++|\\.)*+)"')
+    both = memory.isNotNull() & query.isNotNull()
+    taken = F.coalesce(F.lower(F.trim(read["decision"])), F.lower(loose))
+    search = taken == "search"
+    nested = read["selected_memory"]
+    return F.struct(
+        F.when(taken.isin("search", "answer"), taken).otherwise("answer").alias("decision"),
+        F.when(search & read.isNotNull(), F.coalesce(F.lower(F.trim(nested["memory_type"])), read["memory"]))
+         .when(search & both, F.lower(memory)).alias("memory"),
+        F.when(search & read.isNotNull(), F.coalesce(F.trim(nested["search_query"]), read["query"]))
+         .when(search & both, query).alias("query"))
 
 
 def id_list(text: Column | str) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
 from .sequences import average_ranks
 
 #: Fixed value: width of a 95 % interval in standard errors.
@@ -99,31 +101,50 @@ def sign_flip_p(diffs: DataFrame, diff: str, n: int = 50000, seed: int = 0) -> D
     return hits.select(((F.col("hits") + 1) / F.lit(n + 1)).alias("p"))
 
 
+#: Replicates that one task draws for a chunk of values.
+REPLICATES = 500
+
+
 def bootstrap_interval(diffs: DataFrame, diff: str, draws: int = 10000, seed: int = 0, level: float = 0.95,
-                       most_values: int = 100000) -> DataFrame:
+                       chunk_values: int = 50000) -> DataFrame:
     """Mean difference with bootstrap percentile ends.
 
-    A resample of all questions is one multinomial draw over the distinct differences. Up to `most_values`
-    of them travel as one small row to every replicate; more raise, since then the interval of the mean is
-    better taken from its standard error.
+    A resample of all questions is one multinomial draw over the distinct differences. These are dealt into chunks
+    by hash; each replicate first draws how many questions fall into every chunk, then, chunk by chunk, into its
+    values, which is the same draw. A task holds one chunk; only the totals of the chunks, one number per
+    `chunk_values` distinct differences, go to every task.
     """
-    folded = _folded(diffs, diff)
-    if folded.limit(most_values + 1).count() > most_values:
-        raise ValueError(f"more than {most_values} distinct differences; round them first")
-    packed = folded.agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("v")).withColumn("_k", F.lit(1))
-
-    @F.pandas_udf(T.DoubleType())
-    def resample(rep: pd.Series, values: pd.Series, counts: pd.Series) -> pd.Series:
-        out = []
-        for r, v, c in zip(rep, values, counts):
-            v, c = np.asarray(v, dtype=float), np.asarray(c, dtype=float)
-            total = int(c.sum())
-            out.append(float((_seed(seed, r).multinomial(total, c / total) * v).sum() / total))
-        return pd.Series(out)
-
-    reps = folded.sparkSession.range(draws).select(F.col("id").alias("rep")).withColumn("_k", F.lit(1))
-    means = reps.join(F.broadcast(packed), "_k").select(resample(
-        "rep", F.transform("v", lambda x: x["value"]), F.transform("v", lambda x: x["n"])).alias("m"))
+    folded = cut(_folded(diffs, diff))
+    n_chunks = folded.count() // chunk_values + 1
+    n_blocks = -(-draws // REPLICATES)
+    dealt = folded.withColumn("chunk", F.pmod(F.xxhash64("value"), F.lit(n_chunks)))
+    held = (dealt.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("value", "n"))).alias("v"))
+            .select("chunk", F.col("v.value").alias("values"), F.col("v.n").alias("counts")))
+    held = held.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    totals = (dealt.groupBy("chunk").agg(F.sum("n").alias("n"))
+              .agg(F.array_sort(F.collect_list(F.struct("chunk", "n"))).alias("v")).where(F.size("v") > 0)
+              .select(F.col("v.chunk").alias("chunks"), F.col("v.n").alias("counts"), F.lit(1).alias("_k")))
+    blocks = folded.sparkSession.range(n_blocks).select(F.col("id").cast("int").alias("block"), F.lit(1).alias("_k"))
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for block, chunks, counts in zip(b["block"], b["chunks"], b["counts"]):
+                total = int(counts.sum())
+                for rep in range(block * REPLICATES, min(draws, (block + 1) * REPLICATES)):
+                    drawn = _seed(seed, rep).multinomial(total, counts / total)
+                    yield pd.DataFrame({"block": block, "chunk": chunks, "rep": rep, "drawn": drawn})
+
+    def resample(shares: pd.DataFrame, chunk: pd.DataFrame) -> pd.DataFrame:
+        values, counts = chunk["values"].iloc[0], chunk["counts"].iloc[0]
+        chances, c = counts / counts.sum(), int(chunk["chunk"].iloc[0])
+        totals = [float(_seed(seed, rep, c).multinomial(k, chances) @ values) for rep, k in zip(shares["rep"], shares["drawn"])]
+        return pd.DataFrame({"rep": shares["rep"], "total": totals, "drawn": shares["drawn"]})
+
+    shares = blocks.join(F.broadcast(totals), "_k").select("block", "chunks", "counts").mapInPandas(
+        split, "block int, chunk bigint, rep bigint, drawn bigint")
+    parts = shares.groupBy("block", "chunk").cogroup(held.groupBy("block", "chunk")).applyInPandas(
+        resample, "rep bigint, total double, drawn bigint")
+    means = parts.groupBy("rep").agg((F.sum("total") / F.sum("drawn")).alias("m"))
     tail = (1 - level) / 2
     center = folded.agg((F.sum(F.col("value") * F.col("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n")).withColumn("_k", F.lit(1))
     ends = means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high")).withColumn("_k", F.lit(1))

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.stateful import FIXATION, FixationWalk
@@ -14,37 +13,36 @@ from ..operators.stateful import FIXATION, FixationWalk
 STATE = "start double, last double, n bigint, sx double, sy double, out_t double, out_x double, out_y double, seen double"
 
 
-def fixation_stream(samples: DataFrame, by: str = "clip", radius: float = 0.05, min_seconds: float = 0.5,
-                    gap: float = 0.2, dropout: float = 0.4, delay: str = "1 second") -> DataFrame:
-    """Closed fixations per clip (kind `fixation`). samples: by, t (seconds), x, y.
+def fixation_stream(samples: DataFrame, by: str = "clip", key: str = "sid", radius: float = 0.05,
+                    min_seconds: float = 0.5, gap: float = 0.2, dropout: float = 0.4) -> DataFrame:
+    """Closed fixations per clip (kind `fixation`). samples: by, key, t (seconds), x, y.
 
-    Samples of a clip must arrive in time order across micro-batches; one that is older than what was
-    already walked is handed back as kind `late` instead of being lost. A clip that stays silent past the
-    watermark for longer than `dropout` is closed.
+    Every clip has its own clock, kept in its state: clips may start at any time, and no row is filtered by a
+    common watermark. Samples of a clip must arrive in time order across micro-batches; one that is older than
+    what was already walked is handed back as kind `late`. A row without `t` marks the end of its clip: after
+    the samples of its micro-batch the open fixation is closed and the state is freed.
     """
     kind = samples.schema[by].dataType.simpleString()
     schema = f"{by} {kind}, kind string, {FIXATION}"
     columns = [c.split()[0] for c in schema.split(", ")]
 
-    def walk(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    def walk(group, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         walker = FixationWalk(radius, min_seconds, gap, dropout, state.get if state.exists else None)
+        frame = pd.concat(list(batches)).sort_values(["t", key], kind="stable")
+        timed = frame[frame["t"].notna()]
         rows = []
-        if state.hasTimedOut:
-            rows = [(*key, "fixation", *r) for r in walker.finish()]
+        for t, x, y in zip(timed["t"], timed["x"], timed["y"]):
+            if walker.seen is not None and t < walker.seen:
+                rows.append((*group, "late", t, t, x, y, 0.0, 1))
+            else:
+                rows.extend((*group, "fixation", *r) for r in walker.step({"t": t, "x": x, "y": y}))
+        if len(timed) < len(frame):
+            rows.extend((*group, "fixation", *r) for r in walker.finish())
             state.remove()
         else:
-            frame = pd.concat(list(batches)).sort_values("t", kind="stable")
-            for t, x, y in zip(frame["t"], frame["x"], frame["y"]):
-                if walker.seen is not None and t < walker.seen:
-                    rows.append((*key, "late", t, t, x, y, 0.0, 1))
-                else:
-                    rows.extend((*key, "fixation", *r) for r in walker.step({"t": t, "x": x, "y": y}))
             state.update(walker.state())
-            due = int((walker.seen + dropout) * 1000) + 1
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
         if rows:
             yield pd.DataFrame(rows, columns=columns)
 
-    timed = samples.select(by, "t", "x", "y", F.timestamp_millis((F.col("t") * 1000).cast("bigint")).alias("_event"))
-    return (timed.withWatermark("_event", delay).groupBy(by)
-            .applyInPandasWithState(walk, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout))
+    return (samples.select(by, key, "t", "x", "y").groupBy(by)
+            .applyInPandasWithState(walk, schema, STATE, "append", GroupStateTimeout.NoTimeout))

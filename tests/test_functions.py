@@ -114,6 +114,20 @@ def test_decisions_and_ids(spark):
     assert (r["a"]["decision"], r["a"]["memory"], r["b"]["decision"], r["i"], r["j"]) == ("search", "visual", "answer", [3, 1], [7, 2])
 
 
+def test_decisions_inside_other_text(spark):
+    nested = '{"decision": "Search", "reason": "a {brace}", "selected_memory": {"memory_type": "Visual", "search_query": " red cup "}}'
+    texts = {
+        "prose": "I think {so}: " + nested + ' like {"decision": "answer"}', "nested": nested,
+        "cut": nested[:-2].replace('"reason"', '"why": "x, "reason"'), "cut query": nested[:-8], "answer": '{"decision": "answer", "memory": "visual"}',
+        "unknown": '{"decision": "wait"}', "deep": '{"decision": "search", "more": {"a": {"b": 1}}, "memory_type": "semantic", "search_query": "q"}',
+        "none": None, "empty": ""}
+    df = spark.createDataFrame(list(texts.items()), "k string, t string")
+    got = {r["k"]: tuple(r["d"]) for r in df.select("k", E.decision("t").alias("d")).collect()}
+    found, plain = ("search", "visual", "red cup"), ("answer", None, None)
+    assert got == {"prose": found, "nested": found, "cut": found, "cut query": ("search", None, None), "answer": plain, "unknown": plain,
+                   "deep": ("search", "semantic", "q"), "none": plain, "empty": plain}
+
+
 def test_valid_triples_keep_first(spark):
     df = spark.createDataFrame([([["a", "b", "c"], ["x", "y"], ["a", "b", "c"], ["p", "q", "r"]], [["1"], ["2"], ["3"], ["4"]])], "t array<array<string>>, e array<array<string>>")
     r = df.select(E.valid_triples("t").alias("v"), E.valid_with_evidence("t", "e").alias("w")).first()

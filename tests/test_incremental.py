@@ -129,23 +129,37 @@ def test_fixations_batch(spark):
 
 
 def test_fixations_stream_equals_batch(spark):
+    """Clips that start later than others, a late sample, and a mark at the end of every clip."""
     clips = {k: v for k, v in clip_samples().items() if k.startswith("random")}
-    pdf = pd.DataFrame([(k, i, *s) for k, v in clips.items() for i, s in enumerate(v)], columns=["clip", "sid", "t", "x", "y"])
+    clips |= {f"later {k}": v for k, v in clips.items()}
+    names = ["clip", "sid", "t", "x", "y"]
+    pdf = pd.DataFrame([(k, i, *s) for k, v in clips.items() for i, s in enumerate(v)], columns=names)
+    schema = "clip string, sid bigint, t double, x double, y double"
+    first = next(iter(clips))
+    late = clips[first][0]
     base, out = scratch(spark, "t-gaze"), scratch(spark, "t-fix")
-    for part in range(3):                                  # three files in time order -> three micro-batches
-        lo, hi = part * 6.0, (part + 1) * 6.0 if part < 2 else 1e9
-        spark.createDataFrame(pdf[(pdf.t > lo) & (pdf.t <= hi)]).coalesce(1).write.mode("append").parquet(base)
-    stream = spark.readStream.schema("clip string, sid bigint, t double, x double, y double").option("maxFilesPerTrigger", 1).parquet(base)
+
+    def file(rows) -> None:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(base)
+
+    for later in (False, True):                            # files in time order -> micro-batches; then those of other clips from 0
+        part = pdf[pdf["clip"].str.startswith("later") == later]
+        for lo, hi in ((-1e9, 6.0), (6.0, 12.0), (12.0, 1e9)):
+            file(part[(part.t > lo) & (part.t <= hi)])
+    file([(first, 9999, float(late[0]) - 1, .5, .5)])
+    file([(k, None, None, None, None) for k in clips])
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(base)
     q = (fixation_stream(stream, min_seconds=.3).writeStream.format("parquet").option("path", out)
          .option("checkpointLocation", scratch(spark, "t-state")).trigger(availableNow=True).start())
     q.awaitTermination()
     got = spark.read.parquet(out).toPandas()
     batch = S.detect_fixations(spark.createDataFrame(pdf), min_seconds=.3).toPandas()
-    assert (got["kind"] == "fixation").all()
-    mine, every = set(zip(got["clip"], got["start"], got["end"])), set(zip(batch["clip"], batch["start"], batch["end"]))
-    assert mine <= every                                   # only what is still open at the end may be missing
-    open_ends = batch.sort_values("end").groupby("clip").tail(1)
-    assert every - mine <= set(zip(open_ends["clip"], open_ends["start"], open_ends["end"]))
+    assert got[got["kind"] == "late"][["clip", "start"]].values.tolist() == [[first, late[0] - 1]]
+    got = got[got["kind"] == "fixation"]
+    columns = ["clip", "start", "end", "cx", "cy", "n_samples"]
+    mine, every = (x[columns].sort_values(columns[:2]).reset_index(drop=True) for x in (got, batch))
+    assert len(every) > len(clips)
+    pd.testing.assert_frame_equal(mine, every)
 
 
 def test_consecutive_dedupe(spark):
@@ -195,9 +209,12 @@ def test_resampling_bands(spark):
     d = spark.createDataFrame([(x,) for x in [1] * 30 + [-1] * 10 + [0] * 60], "d int")
     exact = sum(math.comb(40, k) for k in range(11)) * 2 / 2 ** 40
     assert T.sign_flip_p(d, "d", n=20000, seed=3).first()["p"] == pytest.approx(exact, abs=.001)
-    r = T.bootstrap_interval(d, "d", draws=4000, seed=3).first()
     sd = math.sqrt((40 / 100 - .04) / 100)
-    assert r["mean"] == pytest.approx(.2) and r["low"] == pytest.approx(.2 - 1.96 * sd, abs=.02) and r["high"] == pytest.approx(.2 + 1.96 * sd, abs=.02)
+    for chunk_values in (50000, 2, 1):                     # one chunk, or several
+        r = T.bootstrap_interval(d, "d", draws=4000, seed=3, chunk_values=chunk_values).first()
+        assert r["mean"] == pytest.approx(.2) and r["low"] == pytest.approx(.2 - 1.96 * sd, abs=.02) and r["high"] == pytest.approx(.2 + 1.96 * sd, abs=.02)
+    none = T.bootstrap_interval(d.where("d > 5"), "d", draws=10).first()
+    assert none["mean"] is None and none["low"] is None
 
 
 def test_signed_rank_needs_ten(spark):
