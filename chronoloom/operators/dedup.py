@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,7 +14,7 @@ from ..session import cut, spread
 from .graph import connected_components
 
 # --- Fixed values: tokens, hash ranges and bands for a Jaccard threshold of 0.7 --------------------
-NOT_TOKEN = re.compile("[^A-Za-z_0-9]")
+NOT_TOKEN = "[^A-Za-z_0-9]"
 PRIME = np.uint64((1 << 61) - 1)
 TOP = np.uint64((1 << 32) - 1)
 PERMUTATIONS = 256
@@ -33,12 +32,15 @@ def coefficients(n: int = PERMUTATIONS, seed: int = SEED) -> tuple[np.ndarray, n
     return pairs[:, 0], pairs[:, 1]
 
 
-def token_hashes(text: str, size: int) -> np.ndarray:
-    """32-bit hashes of the distinct word n-grams of the whole text."""
-    words = NOT_TOKEN.split(text)
-    grams = {" ".join(words[i:i + size]) for i in range(len(words) - size + 1)}
-    return np.array([int.from_bytes(hashlib.sha1(g.encode("utf-8")).digest()[:4], "little") for g in grams],
-                    dtype=np.uint64)
+def token_hashes(text: Column, size: int) -> Column:
+    """32-bit hashes of the word n-grams of the whole text, four bytes each, one after the other."""
+    def packed(words: Column) -> Column:
+        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1))
+        heads = F.transform(starts, lambda i: F.substring(F.sha1(F.array_join(F.slice(words, i, size), " ").cast("binary")), 1, 8))
+        return F.unhex(F.array_join(heads, ""))
+
+    # The words are bound by the outer transform, so that a text is split once and not once per n-gram.
+    return F.transform(F.array(F.split(F.coalesce(text, F.lit("")), NOT_TOKEN)), packed)[0]
 
 
 def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 128) -> np.ndarray:
@@ -62,33 +64,34 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 128
     return low
 
 
-def band_keys(text_column, ngram: int = NGRAM, bands: int = BANDS, rows: int = BAND_ROWS,
+def band_keys(hashes: Column, bands: int = BANDS, rows: int = BAND_ROWS,
               permutations: int = PERMUTATIONS):
-    """Column of band hashes; an empty array for texts with fewer than `ngram` tokens."""
+    """Column of band hashes of `token_hashes`; an empty array where a text has none."""
     a, b = coefficients(permutations)
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(texts: pd.Series) -> pd.Series:
-        def one(text):
-            hashes = token_hashes(text or "", ngram)
-            if not len(hashes):
+    def keys(packed: pd.Series) -> pd.Series:
+        def one(hashes):
+            if not hashes:
                 return []
-            low = signature(hashes, a, b)
+            low = signature(np.unique(np.frombuffer(hashes, dtype="<u4")).astype(np.uint64), a, b)
             return [hashlib.md5(low[i * rows:(i + 1) * rows].tobytes()).hexdigest() for i in range(bands)]
-        return texts.map(one)
+        return packed.map(one)
 
     # The mark keeps the optimizer from evaluating the function once per use of its result.
-    return keys.asNondeterministic()(text_column)
+    return keys.asNondeterministic()(hashes)
 
 
-def duplicate_edges(docs: DataFrame, key: str, text: str, **bands) -> DataFrame:
+def duplicate_edges(docs: DataFrame, key: str, text: str, ngram: int = NGRAM, **bands) -> DataFrame:
     """(u, v) links of documents that share a band, as stars around the smallest id.
 
     Equal signatures are folded first, so a crowd of copies enters the bands as one row; in a band every
     member links to the smallest id only, never to all others.
     """
     texts = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("_text")))
-    signed = cut(texts.select("id", band_keys(F.col("_text"), **bands).alias("keys"))
+    # The generator keeps the hashes a column of their own, outside the arguments of the Python function.
+    hashed = texts.select("id", F.explode(F.array(token_hashes(F.col("_text"), ngram))).alias("hashes"))
+    signed = cut(hashed.select("id", band_keys(F.col("hashes"), **bands).alias("keys"))
                  .where(F.size("keys") > 0).withColumn("sig", F.md5(F.array_join("keys", ""))))
     heads = cut(signed.groupBy("sig").agg(F.min("id").alias("head"), F.first("keys").alias("keys")))
     same = signed.select("id", "sig").join(heads.select("sig", "head"), "sig").where("id <> head").select(
