@@ -79,30 +79,37 @@ def _seed(seed: int, *parts) -> np.random.Generator:
     return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, *[int(p) & 0xFFFFFFFF for p in parts]])))
 
 
-def sign_flip_p(diffs: DataFrame, diff: str, n: int = 50000, seed: int = 0) -> DataFrame:
-    """Permutation p of the mean difference: zeros dropped, p = (hits + 1) / (n + 1).
+#: Replicates or permutations that one task draws for a chunk of values.
+REPLICATES = 500
+
 
-    Flipping the signs of all differences of one size is one binomial draw, so the work is permutations
-    times distinct sizes, whatever the number of questions.
+def sign_flip_p(diffs: DataFrame, diff: str, n: int = 50000, seed: int = 0, chunk_values: int = 50000) -> DataFrame:
+    """Permutation p of the mean difference: zeros dropped, p = (hits + 1) / (n + 1), or 1 when nothing is left.
+
+    Flipping the signs of all differences of one size is one binomial draw, so the work is permutations times
+    distinct sizes, whatever the number of questions. Sizes are dealt into chunks by hash; a task draws one block of
+    permutations for one chunk and hands back one partial sum per permutation.
     """
     sizes = _folded(diffs, diff).where("value <> 0").select(
         F.abs("value").alias("size"), "n", (F.col("value") * F.col("n")).alias("part"))
-    sizes = sizes.groupBy("size").agg(F.sum("n").alias("n"), F.sum("part").alias("part"))
+    sizes = cut(sizes.groupBy("size").agg(F.sum("n").alias("n"), F.sum("part").alias("part")))
     observed = sizes.agg(F.coalesce(F.abs(F.sum("part")), F.lit(0.0)).alias("observed")).withColumn("_k", F.lit(1))
-
-    @F.pandas_udf(T.DoubleType())
-    def flipped(perm: pd.Series, size: pd.Series, count: pd.Series) -> pd.Series:
-        return pd.Series([s * (2.0 * _seed(seed, p, hash(s)).binomial(c, 0.5) - c) for p, s, c in zip(perm, size, count)])
-
-    grid = sizes.select("size", "n", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("perm"))
-    sums = grid.repartition("perm").groupBy("perm").agg(F.sum(flipped("perm", "size", "n")).alias("total"))
+    n_chunks, n_blocks = sizes.count() // chunk_values + 1, -(-n // REPLICATES)
+
+    def flipped(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("size")
+        block, chunk = int(part["block"].iloc[0]), int(part["chunk"].iloc[0])
+        size, count, rng = part["size"].to_numpy(), part["n"].to_numpy(), _seed(seed, block, chunk)
+        perms = range(block * REPLICATES, min(n, (block + 1) * REPLICATES))
+        return pd.DataFrame({"perm": perms, "total": [float((2.0 * rng.binomial(count, 0.5) - count) @ size) for _ in perms]})
+
+    dealt = sizes.select("size", "n", F.pmod(F.xxhash64("size"), F.lit(n_chunks)).alias("chunk"),
+                         F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    parts = dealt.groupBy("chunk", "block").applyInPandas(flipped, "perm bigint, total double")
+    sums = parts.groupBy("perm").agg(F.sum("total").alias("total"))
     hits = sums.withColumn("_k", F.lit(1)).join(observed, "_k").agg(
-        F.count_if(F.abs("total") >= F.col("observed") - 1e-12).alias("hits"))
-    return hits.select(((F.col("hits") + 1) / F.lit(n + 1)).alias("p"))
-
-
-#: Replicates that one task draws for a chunk of values.
-REPLICATES = 500
+        F.count_if(F.abs("total") >= F.col("observed") - 1e-12).alias("hits"), F.count(F.lit(1)).alias("drawn"))
+    return hits.select(F.when(F.col("drawn") == 0, 1.0).otherwise((F.col("hits") + 1) / F.lit(n + 1)).alias("p"))
 
 
 def bootstrap_interval(diffs: DataFrame, diff: str, draws: int = 10000, seed: int = 0, level: float = 0.95,

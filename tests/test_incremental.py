@@ -1,5 +1,6 @@
 """Stores, caches, timed indexes, sequential walks, rounds and consolidation."""
 
+import itertools
 import math
 import random
 
@@ -209,6 +210,13 @@ def test_resampling_bands(spark):
     d = spark.createDataFrame([(x,) for x in [1] * 30 + [-1] * 10 + [0] * 60], "d int")
     exact = sum(math.comb(40, k) for k in range(11)) * 2 / 2 ** 40
     assert T.sign_flip_p(d, "d", n=20000, seed=3).first()["p"] == pytest.approx(exact, abs=.001)
+    assert T.sign_flip_p(d.where("d = 0"), "d", n=100).first()["p"] == 1.0
+    sizes = [-.5, .75, 1.25, 2.0, 2.5, 3.0, -1.0, 4.0]
+    several = spark.createDataFrame([(x,) for x in sizes], "d double")
+    flips = [abs(sum(s * x for s, x in zip(signs, sizes))) for signs in itertools.product((1, -1), repeat=len(sizes))]
+    share = sum(f >= abs(sum(sizes)) for f in flips) / len(flips)
+    for chunk_values in (50000, 3, 1):
+        assert T.sign_flip_p(several, "d", n=20000, seed=3, chunk_values=chunk_values).first()["p"] == pytest.approx(share, abs=.015)
     sd = math.sqrt((40 / 100 - .04) / 100)
     for chunk_values in (50000, 2, 1):                     # one chunk, or several
         r = T.bootstrap_interval(d, "d", draws=4000, seed=3, chunk_values=chunk_values).first()
