@@ -11,6 +11,7 @@ from chronoloom.functions import text as X
 from chronoloom.functions import timekeys as K
 from chronoloom.operators import extraction as E
 from chronoloom.operators import stats as S
+from chronoloom.sources.gaze import header_roles
 
 
 def one(spark, **cols):
@@ -132,3 +133,9 @@ def test_valid_triples_keep_first(spark):
     df = spark.createDataFrame([([["a", "b", "c"], ["x", "y"], ["a", "b", "c"], ["p", "q", "r"]], [["1"], ["2"], ["3"], ["4"]])], "t array<array<string>>, e array<array<string>>")
     r = df.select(E.valid_triples("t").alias("v"), E.valid_with_evidence("t", "e").alias("w")).first()
     assert r["v"] == [["a", "b", "c"], ["p", "q", "r"]] and [x["evidence"] for x in r["w"]] == [["1"], ["4"]]
+
+
+def test_header_roles_take_the_first_alias():
+    roles = header_roles(["u", " Gaze_X ", "PY", "note", "frame", "time_s"])
+    assert (roles["x"], roles["y"], roles["time"], roles["depth"]) == (" Gaze_X ", "PY", "time_s", None)
+    assert set(header_roles([]).values()) == {None}
