@@ -4,7 +4,8 @@ Patterns: `assign` (a credential's name, a separator and a value of six or more
 `hex` (24 or more digits), each leftmost and without overlaps within its kind.
 
 Guess cost: a value is cut into words of a public vocabulary, dates, repeats, keyboard walks and single brute-force
-characters; dynamic programming over its positions finds the cut with the fewest guesses. A value after wider credential words
+characters; dynamic programming over its positions finds the cut with the fewest guesses. Values of any length are costed
+whole, in time that grows with their length. A value after wider credential words
 (`pwd is ...`, `passphrase: ...`) counts as a secret, kind `guess`, if that cost reaches `min_bits` and no pattern
 covers it. The costs of `assign` values are given, too.
 
@@ -28,7 +29,7 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT = re.compile(r"""\b(?:pwd|pass(?:word|wd|phrase|code)?|secret|credentials?|bearer|auth(?:_?token)?|private_?key|client_?secret|"""
-                     r"""access_?key|api_?key|token|login)\b["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*["']?([^\s"'<>|,;]{6,200})""", re.I | re.A)
+                     r"""access_?key|api_?key|token|login)\b["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*["']?([^\s"'<>|,;]{6,})""", re.I | re.A)
 MIN_BITS = 45.0
 
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -101,14 +102,23 @@ def guess_bits(value: str, words: dict[str, int], longest: int = 24) -> float:
     low, near = value.lower(), neighbours()
     best = [0.0] + [math.inf] * n
     walk = 0                                    # neighbours in a row that end here
+    starts: list[int] = []                      # where a walk that ends here may start; the last one is the cheapest
     run = [1] * (n + 1)                         # equal characters in a row that end before i
     for i in range(1, n + 1):
         best[i] = best[i - 1] + brute_bits(value[i - 1])
         walk = walk + 1 if i > 1 and low[i - 2:i] in near else 0
-        if walk >= 2:
-            steps = walk + 1
-            for length in range(3, steps + 1):
-                best[i] = min(best[i], best[i - length] + math.log2(len("".join(ROWS)) * length) + 1.5)
+        if walk < 2:
+            starts = []
+        else:
+            # log2 is concave: a start that an earlier one has caught up with never is the cheaper one again.
+            left, least = [], math.inf
+            for start in (*starts, i - 3):
+                bits = best[start] + math.log2(len("".join(ROWS)) * (i - start)) + 1.5
+                if bits < least:
+                    left.append(start)
+                    least = bits
+            starts = left
+            best[i] = min(best[i], least)
         run[i] = run[i - 1] + 1 if i > 1 and value[i - 1] == value[i - 2] else 1
         if run[i] >= 3:
             best[i] = min(best[i], best[i - run[i]] + brute_bits(value[i - 1]) + math.log2(run[i]))
@@ -133,7 +143,7 @@ def spans_of(text: str | None, words: dict[str, int], min_bits: float) -> list[t
     if separated:
         for m in ASSIGN.finditer(text):
             if len(m[2]) >= 6:
-                found.append(("assign", m.start(), m.end(), round(guess_bits(m[2][:256], words) if len(m[2]) <= 256 else math.inf, 3)))
+                found.append(("assign", m.start(), m.end(), round(guess_bits(m[2], words), 3)))
     found += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     base = list(found)

@@ -71,6 +71,54 @@ def test_redaction(spark):
     assert got == {1: "a [SECRET] b", 2: None, 3: "plain"}
 
 
+def test_long_values_are_costed_and_redacted_whole():
+    words, rnd = {"password": 10, "dragon": 300, "the": 1}, random.Random(3)
+    value = "".join(rnd.choice("abcXYZ0189#$%&!") for _ in range(300))
+    for name in ("passphrase: ", "private_key: "):
+        (span,) = [s for s in secrets.spans_of(name + value + " end", words, secrets.MIN_BITS) if s[0] == "guess"]
+        assert span[1:3] == (len(name), len(name) + 300)
+    weak, strong = "a" * 2000, "".join(rnd.choice("abcdefgXYZ0189") for _ in range(300))
+    bits = {v: secrets.spans_of(f"token={v}", words, secrets.MIN_BITS)[0][3] for v in (weak, strong)}
+    assert bits[weak] < secrets.MIN_BITS < 500 < bits[strong] < float("inf")
+
+
+def test_long_walks_cost_what_every_start_gives():
+    words, rnd = {"were": 4, "sad": 9, "password": 10}, random.Random(4)
+    near = sorted(secrets.neighbours())
+    after = {a: [p[1] for p in near if p[0] == a] for a in {p[0] for p in near}}
+
+    def walked(n):
+        out = "q"
+        while len(out) < n:
+            out += rnd.choice(after[out[-1]])
+        return out
+
+    def alone(v):
+        """The cheapest cut with every start of every walk tried, in quadratic time; no other kind of piece may differ."""
+        best, size = [0.0], len("".join(secrets.ROWS))
+        for i in range(1, len(v) + 1):
+            best.append(best[i - 1] + secrets.brute_bits(v[i - 1]))
+            j = i
+            while j > 0 and (j == i or v[j - 1:j + 1] in secrets.neighbours()):
+                j -= 1
+                if i - j >= 3:
+                    best[i] = min(best[i], best[j] + secrets.math.log2(size * (i - j)) + 1.5)
+            for n in range(2, min(24, i) + 1):
+                if v[i - n:i] in words:
+                    best[i] = min(best[i], best[i - n] + secrets.math.log2(words[v[i - n:i]] + 1) + secrets.case_bits(v[i - n:i]))
+                elif 4 <= n <= 10 and v[i - n].isdigit() and (d := secrets.date_bits(v[i - n:i])) is not None:
+                    best[i] = min(best[i], best[i - n] + d)
+                if i >= 2 * n and v[i - 2 * n:i - n] == v[i - n:i]:
+                    best[i] = min(best[i], best[i - n] + 1.0)
+        return best[-1]
+
+    for _ in range(60):
+        v = "".join(walked(rnd.randint(1, 90)) + rnd.choice(["were", "sad", "", "x9"]) for _ in range(3))
+        if not re.search(r"(.)\1\1", v):
+            assert abs(secrets.guess_bits(v, words) - alone(v)) < 1e-9
+    assert secrets.guess_bits(walked(20000), {}) < secrets.MIN_BITS
+
+
 # ---- byte-level BPE ------------------------------------------------------------------------------
 def their_encoder():
     ranks = {k: v for k, v in bpe.codec(PATH, PATTERN).ranks.items()}
