@@ -6,8 +6,8 @@ Patterns: `assign` (a credential's name, a separator and a value of six or more
 Guess cost: a value is cut into words of a public vocabulary, dates, repeats, keyboard walks and single brute-force
 characters; dynamic programming over its positions finds the cut with the fewest guesses. Values of any length are costed
 whole, in time that grows with their length. A value after wider credential words
-(`pwd is ...`, `passphrase: ...`) counts as a secret, kind `guess`, if that cost reaches `min_bits` and no pattern
-covers it. The costs of `assign` values are given, too.
+(`pwd is ...`, `passphrase: ...`) counts as a secret, kind `guess`, if that cost reaches `min_bits` and no single pattern
+match holds it whole. Redaction also takes the rest of a weaker value that a pattern match cuts. The costs of `assign` values are given, too.
 
 Spans are code points, end exclusive. Null and empty texts have none.
 """
@@ -135,7 +135,8 @@ def guess_bits(value: str, words: dict[str, int], longest: int = 24) -> float:
     return best[n]
 
 
-def spans_of(text: str | None, words: dict[str, int], min_bits: float) -> list[tuple[str, int, int, float | None]]:
+def spans_of(text: str | None, words: dict[str, int], min_bits: float, rests: bool = False) -> list[tuple[str, int, int, float | None]]:
+    """(kind, start, end, bits) of all secrets; with `rests` also, as `guess`, values under `min_bits` that a pattern match cuts."""
     if not text:
         return []
     found = []
@@ -150,9 +151,10 @@ def spans_of(text: str | None, words: dict[str, int], min_bits: float) -> list[t
     if separated or " is " in text:
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
-            if all(end <= a or b <= start for _, a, b, _ in base):
+            met = [(a, b) for _, a, b, _ in base if a < end and start < b]
+            if not any(a <= start and end <= b for a, b in met):
                 bits = guess_bits(m[1], words)
-                if bits >= min_bits:
+                if bits >= min_bits or (rests and met):
                     found.append(("guess", start, end, round(bits, 3)))
     order = {k: i for i, k in enumerate((*KINDS, "guess"))}
     return sorted(found, key=lambda x: (x[1], order[x[0]], x[2]))
@@ -179,7 +181,7 @@ def redact(text: Column, vocabulary_path: str | None = None, min_bits: float = M
         if t is None:
             return None
         out, at = [], 0
-        for _, start, end, _ in spans_of(t, vocabulary(path), min_bits):
+        for _, start, end, _ in spans_of(t, vocabulary(path), min_bits, rests=True):
             if start >= at:
                 out += [t[at:start], mark]
             at = max(at, end)

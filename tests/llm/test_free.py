@@ -71,6 +71,16 @@ def test_redaction(spark):
     assert got == {1: "a [SECRET] b", 2: None, 3: "plain"}
 
 
+def test_values_that_a_pattern_cuts_leave_no_tail(spark):
+    texts = ["a password=Abcdef$9xQ!zz7#Kw b", "pwd: q7#Zt!" + "0123456789abcdef01234567" + "!pLw2@ b", "passwd=Hunter2!! b", "password=abcdef12 b"]
+    found = [[(k, t[a:b]) for k, a, b, _ in secrets.spans_of(t, {"hunter": 5}, secrets.MIN_BITS)] for t in texts]
+    assert found == [[("assign", "password=Abcdef"), ("guess", "Abcdef$9xQ!zz7#Kw")], [("guess", "q7#Zt!0123456789abcdef01234567!pLw2@"), ("hex", "0123456789abcdef01234567")],
+                     [("assign", "passwd=Hunter2")], [("assign", "password=abcdef12")]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: r.t for r in rows.select("k", secrets.redact(F.col("t")).alias("t")).collect()}
+    assert got == {0: "a [SECRET] b", 1: "pwd: [SECRET] b", 2: "[SECRET] b", 3: "[SECRET] b"}
+
+
 def test_long_values_are_costed_and_redacted_whole():
     words, rnd = {"password": 10, "dragon": 300, "the": 1}, random.Random(3)
     value = "".join(rnd.choice("abcXYZ0189#$%&!") for _ in range(300))
