@@ -4,10 +4,13 @@ Patterns: `assign` (a credential's name, a separator and a value of six or more
 `hex` (24 or more digits), each leftmost and without overlaps within its kind.
 
 Guess cost: a value is cut into words of a public vocabulary, dates, repeats, keyboard walks and single brute-force
-characters; dynamic programming over its positions finds the cut with the fewest guesses. Values of any length are costed
-whole, in time that grows with their length. A value after wider credential words
-(`pwd is ...`, `passphrase: ...`) counts as a secret, kind `guess`, if that cost reaches `min_bits` and no single pattern
-match holds it whole. Redaction also takes the rest of a weaker value that a pattern match cuts. The costs of `assign` values are given, too.
+characters; dynamic programming over its positions finds the cut with the fewest guesses. Values of any length are
+costed whole, in time that grows with their length. A value ends at a blank, a quote or one of `<>|,;`.
+
+A value after wider credential words (`pwd is ...`, `passphrase: ...`, `Bearer ...`, also as the last part of a longer
+name, `aws_secret_access_key=...`) counts as a secret, kind `guess`, if that cost reaches `min_bits` and no single
+pattern match holds it whole. Redaction also takes the rest of a weaker value that a pattern match cuts. The costs of
+`assign` values are given, too.
 
 Spans are code points, end exclusive. Null and empty texts have none.
 """
@@ -28,8 +31,11 @@ SPANS = "array<struct<kind:string,start:int,end:int,bits:double>>"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"""\b(?:pwd|pass(?:word|wd|phrase|code)?|secret|credentials?|bearer|auth(?:_?token)?|private_?key|client_?secret|"""
-                     r"""access_?key|api_?key|token|login)\b["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*["']?([^\s"'<>|,;]{6,})""", re.I | re.A)
+#: The names of ASSIGN anywhere; others at the start of a name part: no letter before, or a capital after a small letter.
+CONTEXT = re.compile(r"""(?:password|passwd|secret|token|api_?key|"""
+                     r"""(?:(?<![A-Z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"""
+                     r"""(?:pwd|pass(?:phrase|code)?|credentials?|bearer|login|auth(?:[_-]?token)?|(?:private|access|secret|api)[_-]?key))"""
+                     r"""(?:\b["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*["']?(?:bearer\x20+)?|(?<=bearer)\x20+["']?)([^\s"'<>|,;]{6,})""", re.I | re.A)
 MIN_BITS = 45.0
 
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -148,7 +154,8 @@ def spans_of(text: str | None, words: dict[str, int], min_bits: float, rests: bo
     found += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text)]
     found += [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
     base = list(found)
-    if separated or " is " in text:
+    low = text.lower()
+    if separated or " is " in low or "bearer " in low:
         for m in CONTEXT.finditer(text):
             start, end = m.span(1)
             met = [(a, b) for _, a, b, _ in base if a < end and start < b]

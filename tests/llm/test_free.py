@@ -81,6 +81,23 @@ def test_values_that_a_pattern_cuts_leave_no_tail(spark):
     assert got == {0: "a [SECRET] b", 1: "pwd: [SECRET] b", 2: "[SECRET] b", 3: "[SECRET] b"}
 
 
+def test_names_with_parts_and_bearer_tokens():
+    key, value, token = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzx9Kq2vZw7", "q7#Zt!9pLw2@xx", "eyJhbGciOi.J9xQzz7Kw2.q7Zt9pLw2xx"
+    words = secrets.vocabulary(secrets.default_vocabulary())
+
+    def guesses(t):
+        return [t[a:b] for k, a, b, _ in secrets.spans_of(t, words, secrets.MIN_BITS) if k == "guess"]
+
+    for name in ("aws_secret_access_key=", "AWS_SECRET_ACCESS_KEY = ", "awsSecretAccessKey: ", "x-access-key: ", "client_secret_key="):
+        assert guesses(name + key) == [key]
+    for name in ("db_pwd: ", "db-pwd=", "dbPwd = ", "DBPwd=", "db2pwd is ", "PWD IS ", "ssh_passphrase=", "mypassword=", "my_auth-token: ", "x-api-key: "):
+        assert guesses(f"{name}{value} end") == [value]
+    for t in ("Authorization: Bearer ", "bearer  ", "auth: Bearer ", "access_token=bearer ", "curl -H 'authorization: bearer "):
+        assert guesses(f"{t}{token}' x") == [token]
+    for t in ("Bearer instruments are common", "the bearer of something", "bypass: q7#Zt!9pLw2@xx", "forbearer q7#Zt!9pLw2@xx", "flogin=q7#Zt!9pLw2@xx", "my_pwd: password1"):
+        assert guesses(t) == []
+
+
 def test_long_values_are_costed_and_redacted_whole():
     words, rnd = {"password": 10, "dragon": 300, "the": 1}, random.Random(3)
     value = "".join(rnd.choice("abcXYZ0189#$%&!") for _ in range(300))
