@@ -2,9 +2,10 @@
 
 Sequential covering: a rule grows one threshold at a time, each time the one with the best gain on two thirds of the
 labelled rows; then the rule is cut back to the prefix that does best on the other third, is kept if it is precise
-enough there, and the rows that it covers are left out of the search for the next. Labelled rows are counted by bins
-of the fixed grid `GRID` first, so a round only aggregates that table, and one small row per threshold reaches the
-driver. The list is returned as conditions and turned into one ordered CASE expression.
+enough there, and the rows that it covers are left out of the search for the next. If it is not, the search starts
+again from the next best first condition; it ends when no rule from any first condition is kept. Labelled rows are
+counted by bins of the fixed grid `GRID` first, so a round only aggregates that table, for all rules in question at
+once, and one small row per rule and threshold reaches the driver. The list is returned as conditions and turned into one ordered CASE expression.
 
 Null and empty texts have no words. Labels that are null do not count; without labels the list is empty and keeps
 everything. Repeated rows count as often as they occur.
@@ -107,53 +108,86 @@ def _all(conditions) -> Column:
     return out
 
 
-def _best_condition(table: DataFrame, bad: int, good: int):
-    """The threshold with the best first-order gain for bad rows over a covered set of (bad, good) rows; of equal
-    ones the strictest, which leaves most documents alone."""
+def _under(table: DataFrame, rules) -> DataFrame:
+    """The rows of `table`, once for each rule that holds for them, with the rule's number."""
+    held = F.array_compact(F.array(*[F.when(_all(rule), F.lit(i)) for i, rule in enumerate(rules)]))
+    return table.select(F.explode(held).alias("rule"), *GRID, "bad", "good")
+
+
+def _next_conditions(table: DataFrame, rules, totals):
+    """Per rule, which covers `totals` (bad, good) rows, the thresholds with a first-order gain for bad rows as
+    (condition, bad, good), best first; of equal ones the strictest, which leaves most documents alone."""
     stacked = F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(n).alias("b")) for n in GRID]))
-    counts = {(r["f"], r["b"]): (r["p"], r["n"]) for r in table.select(stacked.alias("x"), "bad", "good")
-              .groupBy("x.f", "x.b").agg(F.sum("bad").alias("p"), F.sum("good").alias("n")).collect()}
-    before = math.log2(bad / (bad + good))
-    best = None
-    for name, cuts in GRID.items():
-        for place in range(len(cuts)):
-            low = [counts.get((name, b), (0, 0)) for b in range(place + 1)]
-            p, n = sum(x[0] for x in low), sum(x[1] for x in low)
-            for at_least, (p1, n1) in ((False, (p, n)), (True, (bad - p, good - n))):
-                if p1:
-                    gain = p1 * (math.log2(p1 / (p1 + n1)) - before)
-                    rank = (round(gain, 9), place if at_least else -place)
-                    if gain > 1e-9 and (best is None or rank > best[0]):
-                        best = (rank, (name, at_least, place), p1, n1)
-    return best
+    counts = {(r["rule"], r["f"], r["b"]): (r["p"], r["n"]) for r in _under(table, rules).select("rule", stacked.alias("x"), "bad", "good")
+              .groupBy("rule", "x.f", "x.b").agg(F.sum("bad").alias("p"), F.sum("good").alias("n")).collect()}
+    out = []
+    for i, (bad, good) in enumerate(totals):
+        before = math.log2(bad / (bad + good))
+        ranked = []
+        for name, cuts in GRID.items():
+            p = n = 0
+            for place in range(len(cuts)):
+                p, n = (x + y for x, y in zip((p, n), counts.get((i, name, place), (0, 0)), strict=True))
+                for at_least, (p1, n1) in ((False, (p, n)), (True, (bad - p, good - n))):
+                    if p1:
+                        gain = p1 * (math.log2(p1 / (p1 + n1)) - before)
+                        if gain > 1e-9:
+                            ranked.append(((round(gain, 9), place if at_least else -place), (name, at_least, place), p1, n1))
+        out.append([x[1:] for x in sorted(ranked, key=lambda x: x[0], reverse=True)])
+    return out
+
+
+def _grown(table: DataFrame, firsts, max_conditions: int):
+    """Rules that start with `firsts` and take the best next condition until they cover no good rows or none gains."""
+    rules, totals = [[c] for c, _, _ in firsts], [(p, n) for _, p, n in firsts]
+    growing = list(range(len(rules)))
+    for _ in range(max_conditions - 1):
+        growing = [i for i in growing if totals[i][1]]
+        if not growing:
+            break
+        found = _next_conditions(table, [rules[i] for i in growing], [totals[i] for i in growing])
+        growing = [i for i, ranked in zip(growing, found, strict=True) if ranked]
+        for i, ranked in zip(growing, filter(None, found), strict=True):
+            condition, *totals[i] = ranked[0]
+            rules[i].append(condition)
+    return rules
+
+
+def _first_kept(prune: DataFrame, rules, precision: float, support: int):
+    """The first rule that is worth keeping, cut back to its best prefix; None if none is."""
+    prefixes = [rule[:n] for rule in rules for n in range(1, len(rule) + 1)]
+    seen = {r["rule"]: (r["p"], r["n"]) for r in _under(prune, prefixes).groupBy("rule").agg(
+        F.sum("bad").alias("p"), F.sum("good").alias("n")).collect()}
+    begin = 0
+    for rule in rules:
+        counts = [seen.get(begin + n, (0, 0)) for n in range(len(rule))]
+        begin += len(rule)
+        worth = [((p + 1) / (p + n + 2), p, n, i) for i, (p, n) in enumerate(counts, 1)]
+        _, p, n, keep = max(worth, key=lambda x: (x[0], -x[3]))
+        if p >= max(support, 1) and p / (p + n) >= precision:
+            return rule[:keep]
+    return None
 
 
 def learn_decision_list(statistics: DataFrame, key: str, labels: DataFrame, label_key: str = "doc_id",
-                        label: str = "quality", max_rules: int = 8, max_conditions: int = 3, precision: float = 0.95,
+                        label: str = "quality", max_rules: int | None = None, max_conditions: int = 3, precision: float = 0.95,
                         support: int = 5) -> list[list[tuple[str, bool, int]]]:
-    """Ordered rules, each a list of (feature, at least?, place in the grid), that mark bad rows."""
+    """Ordered rules, each a list of (feature, at least?, place in the grid), that mark bad rows. Their number is only
+    limited if `max_rules` is given."""
     rest, rules = _binned(statistics, key, labels, label_key, label), []
-    while len(rules) < max_rules:
+    while max_rules is None or len(rules) < max_rules:
         grow = rest.where(~F.col("prune"))
         bad, good = grow.agg(F.sum("bad"), F.sum("good")).first()
-        rule = []
-        while bad and good and len(rule) < max_conditions:
-            found = _best_condition(grow.where(_all(rule)), bad, good)
-            if found is None:
-                break
-            _, condition, bad, good = found
-            rule.append(condition)
-        if not rule:
-            break
-        sums = [F.sum(F.when(_all(rule[:i]), F.col(c))) for i in range(1, len(rule) + 1) for c in ("bad", "good")]
-        seen = [x or 0 for x in rest.where("prune").agg(*sums).first()]
-        worth = [((p + 1) / (p + n + 2), p, i) for i, (p, n) in enumerate(zip(seen[::2], seen[1::2], strict=True), 1)]
-        value, p, keep = max(worth, key=lambda x: (x[0], -x[2]))
-        exact = p / (p + seen[2 * keep - 1]) if p else 0.0
-        if exact < precision or p < support:
+        firsts = _next_conditions(grow, [[]], [(bad, good)])[0] if bad and good else []
+        # The best first condition mostly will do; if not, all others are grown together, and the best of them that is kept counts.
+        kept = None
+        for some in (firsts[:1], firsts[1:]):
+            if some and kept is None:
+                kept = _first_kept(rest.where("prune"), _grown(grow, some, max_conditions), precision, support)
+        if kept is None:
             break
-        rules.append(rule[:keep])
-        rest = rest.where(~_all(rules[-1]))
+        rules.append(kept)
+        rest = rest.where(~_all(kept))
     return rules
 
 

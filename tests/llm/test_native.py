@@ -116,6 +116,35 @@ def test_decision_list_finds_a_planted_rule(spark):
     assert {r.doc_id for r in hit} == set(range(0, 600, 4))
 
 
+def labelled(spark, kinds):
+    """(statistics, labels) of rows whose features sit on given values: kinds of (feature values, bad rows, good rows)."""
+    rows, plain = [], {"n_words": 100, "word_chars": 450, "n_symbols": 0, "n_repeat_words": 0, "n_dup_lines": 0, "n_lines": 100, "n_capitals": 0, "n_marks": 0}
+    for values, bad, good in kinds:
+        rows += [{**plain, **values, "doc_id": len(rows) + i, "quality": int(i >= bad)} for i in range(bad + good)]
+    df = spark.createDataFrame(rows)
+    return df.drop("quality"), df.select("doc_id", "quality")
+
+
+def test_covering_goes_on_past_eight_kinds(spark):
+    kinds = [{"n_symbols": 15}, {"n_symbols": 95}, {"n_repeat_words": 15}, {"n_repeat_words": 95}, {"n_dup_lines": 15}, {"n_dup_lines": 95},
+             {"n_capitals": 150}, {"n_capitals": 440}, {"n_marks": 150}, {"n_marks": 440}, {"n_words": 7, "word_chars": 32}, {"word_chars": 1300}]
+    # Between the bad places of a feature there are good ones, so that no threshold takes two of them.
+    between = [{"n_symbols": 40}, {"n_repeat_words": 40}, {"n_dup_lines": 40}, {"n_capitals": 270}, {"n_marks": 270}]
+    stats, labels = labelled(spark, [({}, 0, 300), *[(k, 90, 0) for k in kinds], *[(k, 0, 150) for k in between]])
+    rules = quality.learn_decision_list(stats, "doc_id", labels)
+    judged = stats.join(labels, "doc_id").groupBy("quality").agg(F.avg(quality.as_case(rules).isNotNull().cast("double")).alias("hit"))
+    assert len(rules) > 8 and {r.quality: r.hit for r in judged.collect()} == {0: 1.0, 1: 0.0}
+    assert len(quality.learn_decision_list(stats, "doc_id", labels, max_rules=2)) == 2
+
+
+def test_an_imprecise_kind_does_not_end_the_search(spark):
+    stats, labels = labelled(spark, [({}, 0, 600), ({"n_symbols": 95}, 300, 100), ({"n_marks": 440}, 60, 0)])
+    rules = quality.learn_decision_list(stats, "doc_id", labels)
+    assert [[c[0] for c in r] for r in rules] == [["mark_share"]]
+    assert stats.where(quality.as_case(rules).isNotNull()).count() == 60
+
+
+
 def test_quality_list_agrees_with_labels(spark):
     root = "/root/testdata/sf0.1"
     out = QUERIES["op7_quality_rules"](spark, root).join(spark.read.parquet(f"{root}/labels.parquet"), "doc_id")
