@@ -4,8 +4,8 @@ Patterns: e-mail addresses, IP addresses, card numbers (Luhn) and phone numbers,
 within its kind. Matches are found with built-in regular expressions; places come from the lengths of the matches and
 of the texts between them. Repeats are possessive, so no text is too long for them.
 
-Bootstrapping: tokens with a digit or an at sign are instances; the word before one, and the two words before it, are
-its lexical patterns. Instances that a pattern match covers are the seeds. Over the graph of (pattern, instance) edges
+Bootstrapping: tokens with a digit or an at sign, of any length, are instances; the word before one, and the two words
+before it, however far away, are its lexical patterns. Instances that a pattern match covers are the seeds. Over the graph of (pattern, instance) edges
 scores go back and forth: a pattern's is the damped share of its instances' scores, an instance's the best of its
 patterns' scores, seeds stay at 1. Instances in the context of a pattern with a high score and enough different
 instances are found, kind `context`.
@@ -30,8 +30,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 IP_PART = r"^0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})$"
 INSTANCE = r"(?<![^\s])[^\s0-9@]*+[0-9@][^\s]*+"
 CONTEXT = "context"
-#: Characters before an instance in which its two words of context are looked for.
-REACH = 120
 
 
 def places(text: Column, pattern: str) -> Column:
@@ -99,15 +97,17 @@ def instances(text: Column) -> Column:
     word before, and the two words before."""
     nothing = F.array().cast("array<struct<start:int,end:int,value:string,one:string,two:string>>")
 
-    def shown(x: Column) -> Column:
-        value = F.regexp_extract(x["s"], r"""^["'(<\[{,;:]*+(.*?)["')>\]},.;:!?]*$""", 1)
-        before = F.lower(F.substring(text, F.greatest(F.lit(1), x["start"] + 1 - REACH), F.least(x["start"], F.lit(REACH))))
-        words = F.filter(F.split(before, r"\s+"), lambda w: w != "")
+    def shown(x: Column, i: Column, v: Column) -> Column:
+        value = F.regexp_extract(x["s"], r"""(?s)^["'(<\[{,;:]*+(.*?)["')>\]},.;:!?]*$""", 1)
+        # The two words before are among the gap before the token, the token before that, the gap before it and one more token.
+        before = F.reverse(F.concat_ws("", F.get(v["found"], i - 2)["s"], F.get(v["gaps"], i - 1), F.get(v["found"], i - 1)["s"], F.get(v["gaps"], i)))
+        one, two = (F.lower(F.reverse(F.regexp_extract(before, r"^\s*+" + words, 0))) for words in (r"\S++", r"\S++\s++\S++"))
         return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lower(value).alias("value"),
-                        F.get(F.reverse(words), F.lit(0)).alias("one"), F.concat_ws(" ", F.slice(words, -2, 2)).alias("two"))
+                        F.rtrim(F.regexp_replace(one, r"\s+", " ")).alias("one"), F.rtrim(F.regexp_replace(two, r"\s+", " ")).alias("two"))
 
-    found = F.filter(places(text, INSTANCE), lambda x: F.length(x["s"]) >= 5)
-    return F.when(text.rlike("[0-9@]"), F.transform(found, shown)).otherwise(nothing)
+    both = F.struct(places(text, INSTANCE).alias("found"), F.split(text, INSTANCE, -1).alias("gaps"))
+    found = let(both, lambda v: F.transform(v["found"], lambda x, i: shown(x, i, v)))
+    return F.when(text.rlike("[0-9@]"), found).otherwise(nothing)
 
 
 def score_patterns(edges: DataFrame, rounds: int = 3, damping: float = 2.0) -> DataFrame:
@@ -137,7 +137,7 @@ def find_personal(docs: DataFrame, key: str, text: str, min_score: float = 0.6,
     pairs = F.explode(F.array(F.col("one"), F.col("two"))).alias("pattern")
     patterns = score_patterns(each.select(pairs, "value", "seed").where("pattern is not null AND pattern <> ''"), rounds)
     good = patterns.where((F.col("score") >= min_score) & (F.col("instances") >= min_instances)).select("pattern")
-    new = each.where(~F.col("seed") & (F.length("value") >= 5))
+    new = each.where(~F.col("seed"))
     hits = new.select(key, "h", "start", "end", pairs).join(good, "pattern", "left_semi").select(key, "h", "start", "end").distinct()
     per_row = hits.groupBy(key, "h").agg(F.sort_array(F.collect_list(F.struct(
         F.lit(CONTEXT).alias("kind"), "start", "end"))).alias("context"))

@@ -297,6 +297,27 @@ def test_language_without_letters_or_labels(spark):
     assert {(r.lang_pred, r.score) for r in language.predict(rows, "text", model).collect()} == {("und", 0.0)}
 
 
+# ---- personal data, short and far away -----------------------------------------------------------
+def test_short_identifiers_and_far_context(spark):
+    rows = [(i, f"my badge no user{i}@mail.example here") for i in range(40)]
+    odd = {100: "the badge no 4711 is", 101: "her badge no A-12.", 102: "badge no" + " " * 300 + "B7", 103: "x" * 300 + " badge no \n C-3", 104: "see page 4712 of"}
+    df = spark.createDataFrame(rows + list(odd.items()), "doc_id int, text string")
+    got = {r.doc_id: [odd[r.doc_id][s.start:s.end] for s in r.context] for r in pii.find_personal(df, "doc_id", "text").collect() if r.doc_id in odd}
+    assert got == {100: ["4711"], 101: ["A-12."], 102: ["B7"], 103: ["C-3"], 104: []}
+
+
+def test_context_words_of_instances(spark):
+    word, rnd = re.compile(r"\S+", re.A), random.Random(5)
+    texts = [" ".join(rnd.choice(["Ab", "c1", "@", "é", "\n", "", "x" * 200, " " * 150]) for _ in range(rnd.randint(0, 12))) for _ in range(200)]
+    want = []
+    for t in texts:
+        all_words = word.findall(t)
+        want.append([(w, *(" ".join(all_words[i - n:i]).lower() if i >= n else "" for n in (1, 2))) for i, w in enumerate(all_words) if re.search("[0-9@]", w)])
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: [(x.value, x.one, x.two) for x in r.x] for r in df.select("k", pii.instances(F.col("t")).alias("x")).collect()}
+    assert got == dict(enumerate(want))
+
+
 # ---- pipeline ------------------------------------------------------------------------------------
 def test_pipeline_by_hand(spark):
     """Every stage anew in plain Python on its own input; the learned rules are taken from the operator."""
