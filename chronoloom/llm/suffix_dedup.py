@@ -7,9 +7,9 @@ Sparse, exact, and in five Spark steps over one shuffle of the texts (buckets of
    have equal anchors, and neighbouring windows mostly share one. A source bucket sends its anchors, not its text.
 2. Anchors that two documents have go back to the source buckets that sent them.
 3. There, the runs of windows under such anchors are cut out, equal ones folded, with their smallest and largest id.
-4. The suffixes that start at the windows are sorted by deep-shallow sorting: multikey quicksort on characters of eight
-   bytes down to a shallow depth, then blind tries for the groups that still agree. Windows that agree to `width` bytes
-   are equal; each learns the smallest id, which goes back to the senders of its run.
+4. The suffixes that start at the windows are put into classes of equal ones, in the manner of deep-shallow sorting:
+   multikey quicksort on characters of eight bytes down to a shallow depth, then blind tries for the groups that still
+   agree. No order of suffixes is formed. Windows that agree to `width` bytes are equal; each learns the smallest id, which goes back to the senders of its run.
 5. The source buckets remove what those windows cover.
 
 Equal runs of a bucket travel once, so a passage that a third of all documents share is sent once per bucket. Wrong
