@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, secrets
+from . import alignment, bpe, language, secrets
 from .near_dup import near_duplicates
+from .periodic import find_runs
 from .registry import query, table
 from .suffix_dedup import remove_repeats
-from .text import hex16, text_or_empty
+from .text import hex16, let, text_or_empty, words
 
 
 @query("op4_simhash_near_dedup")
@@ -66,3 +67,50 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s[1] - s[0])
     return out.select("doc_id", (F.octet_length("kept") + removed).cast("bigint").alias("n_bytes"), removed.alias("n_removed"),
                       F.size("spans").cast("bigint").alias("n_spans"), F.sha2(F.col("kept"), 256).alias("kept_sha256"))
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    files = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")]
+    aligned = alignment.align(table(spark, root, "documents").select("doc_id", "text"), "text", *files)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    scored = alignment.score_links(aligned.withColumn("groups_sha256", digest).drop("text", "groups"))
+    return scored.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def with_planted_periods(doc_id: Column, text: Column) -> Column:
+    """The text of every tenth document by hash, its words from one place on repeating those of the first period there."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w).cast("bigint")
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        places = F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.array_join(let(places, lambda at: F.transform(at, lambda i: F.get(w, i))), " ")
+
+    return F.when((h % 10 == 0) & text.rlike(r"[^\x20\x09-\x0D]"), let(words(text), repeated)).otherwise(text)
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents").select("doc_id", with_planted_periods(F.col("doc_id"), text_or_empty("text")).alias("text"))
+
+    def shown(r: Column) -> Column:
+        return F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n"))
+
+    def first(x: Column, y: Column) -> Column:
+        """By length over period, without division, then start and period."""
+        left, right = x["length"] * y["period"], y["length"] * x["period"]
+        order = F.when(left != right, F.when(left > right, -1).otherwise(1))
+        for c in ("start", "period"):
+            order = order.when(x[c] != y[c], F.when(x[c] < y[c], -1).otherwise(1))
+        return order.otherwise(0)
+
+    found = find_runs(docs, "text").select("doc_id", "runs", "collapsed", F.get(F.array_sort("runs", first), F.lit(0)).alias("best"))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", shown), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))

@@ -9,6 +9,7 @@ from ..operators.ordered import chunked, lag_over
 from ..session import cut
 from . import fingerprints as fp
 from . import pii, quality
+from .line_dedup import BLANKS, drop_shared_lines
 from .mixing import cyclic_weights, repetition_plan, size_in_words, taken_words
 from .registry import query, table
 from .text import text_or_empty
@@ -149,3 +150,21 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
 
     return found.select("doc_id", *[of_kind(k) for k in pii.KINDS], F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
                         joined(F.concat("base", "context")).alias("spans"), F.size("context").cast("bigint").alias("n_context"))
+
+
+def line_sql() -> str:
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+    return f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+     rows AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+     keyed AS (SELECT *, translate(trim(line, {blanks}), '{UPPER}', '{LOWER}') AS key FROM rows),
+     shared AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (key IN (FROM shared)) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (key NOT IN (FROM shared)), '')) AS kept_sha256
+FROM keyed GROUP BY doc_id"""
+
+
+@query("op13_line_dedup", line_sql())
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    out = drop_shared_lines(table(spark, root, "documents").select("doc_id", "text"), "doc_id", "text")
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty("text").cast("binary"), 256).alias("kept_sha256"))
