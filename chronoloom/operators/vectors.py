@@ -4,6 +4,9 @@ Queries and rows are hashed into blocks of bounded size; each (query block, row
 task that multiplies two dense matrices and hands back only its k best rows (or counts) per query.
 No (query, row) score pair is ever shuffled. Block loads come from hashed unique ids, so no key can
 be hot. Scores are rounded to nine decimals so that equal vectors tie exactly on any block layout.
+
+Under a future guard blocks follow time: queries and rows share time edges, so a pair of blocks lies
+wholly in the past (no mask), on the diagonal (masked), or in the future, where it is never made.
 """
 
 from __future__ import annotations
@@ -12,7 +15,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +24,8 @@ QUERY_BLOCK = 8192
 ROW_BLOCK = 32768
 SLICE = 256   # queries multiplied at once inside a task, which bounds its memory
 DIGITS = 9
+BAND = 2e-9   # scores farther than this from a bound are on the same side of it after rounding
+GRID = 256    # time edges are picked from so many quantiles
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -36,43 +42,99 @@ def cosine(a: Column | str, b: Column | str) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-def _matrix(vectors: pd.Series, unit: bool) -> np.ndarray:
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+def _matrix(vectors: pa.ChunkedArray, unit: bool) -> np.ndarray:
+    """One row per vector, straight from Arrow's flat values."""
+    if not len(vectors):
+        return np.zeros((0, 1))
+    if vectors.null_count:
+        raise ValueError("vectors must not be null")
+    flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks])
+    m = flat.astype(np.float64).reshape(len(vectors), -1)
     if unit:
-        m = m / np.clip(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12, None)
+        m /= np.clip(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12, None)
     return m
 
 
-def _block_count(df: DataFrame, per_block: int, spread: int = 1) -> int:
-    n = df.count()
+def _numbers(column: pa.ChunkedArray, null: float) -> np.ndarray:
+    """A numeric column; integers stay exact."""
+    if column.null_count:
+        column = pc.fill_null(column.cast(pa.float64()), null)
+    return column.to_numpy()
+
+
+def _block_count(n: int, per_block: int, spread: int = 1) -> int:
     return max(1, math.ceil(n / per_block), min(spread, math.ceil(n / 1024)))
 
 
-def _paired_blocks(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str], row_id: str,
-                   by: Sequence[str]):
+def _hashed(names: Sequence[str], n: Column | int) -> Column:
+    return F.pmod(F.xxhash64(*names), F.lit(n) if isinstance(n, int) else n)
+
+
+def _pairs_of_blocks(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str], row_id: str, by: Sequence[str]):
     """Both sides keyed by (by, query block, row block), ready for a cogroup."""
     spread = queries.sparkSession.sparkContext.defaultParallelism
-    nq = _block_count(queries, QUERY_BLOCK)
-    nr = _block_count(rows, ROW_BLOCK, spread)
-    q = (queries.withColumn("_qb", F.pmod(F.xxhash64(*query_ids), F.lit(nq)))
+    nq = _block_count(queries.count(), QUERY_BLOCK)
+    nr = _block_count(rows.count(), ROW_BLOCK, spread)
+    q = (queries.withColumn("_qb", _hashed(query_ids, nq))
          .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)).cast("array<bigint>"))))
-    r = (rows.withColumn("_rb", F.pmod(F.xxhash64(row_id), F.lit(nr)))
+    r = (rows.withColumn("_rb", _hashed([row_id], nr))
          .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>"))))
+    return _cogrouped(q, r, by)
+
+
+def _cogrouped(q: DataFrame, r: DataFrame, by: Sequence[str]):
     keys = [*by, "_qb", "_rb"]
     return q.groupBy(*keys).cogroup(r.groupBy(*keys))
 
 
-def _score_slices(q: pd.DataFrame, r: pd.DataFrame, query_vec: str, row_vec: str, unit: bool,
-                  before: tuple[str, str] | None):
-    """(first query, scores, eligible) per slice of queries against all rows of a block."""
-    left, right = _matrix(q[query_vec], unit), _matrix(r[row_vec], unit).T
-    for i in range(0, len(q), SLICE):
-        s = np.round(left[i:i + SLICE] @ right, DIGITS) + 0.0
-        if before is None:
-            yield i, s, np.ones(s.shape, dtype=bool)
-        else:
-            at, end = before
-            yield i, s, r[end].to_numpy()[None, :] <= q[at].to_numpy()[i:i + SLICE, None]
+def time_blocks(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str], row_id: str, at: str, end: str
+                ) -> tuple[DataFrame, DataFrame]:
+    """Both sides listed once per pair of blocks that may hold a row with `end` <= `at`, as `_qb` and `_rb`.
+
+    Block i of the rows holds the ends after edge i - 1 up to edge i. A query goes to the row blocks up to the one its
+    own time falls into, and no others hold a row that it sees. Blocks of queries are unions of such steps, as few
+    as their number asks for, because every one of them costs a copy of all rows before it. A time that many rows
+    share cannot be split by edges, so a block is dealt by hash into as many parts as its share of the quantiles
+    asks for. Rows without an end are never visible and go; queries without a time stay and see nothing.
+    """
+    rows = rows.where(F.col(end).isNotNull())
+    grid = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
+
+    def shape(df: DataFrame, c: str):
+        n, values = df.agg(F.count(F.lit(1)), F.percentile_approx(c, grid, 20 * GRID)).first()
+        return n, values or []
+
+    def quantiles(values: list, blocks: int) -> list:
+        return [values[round(k * GRID / blocks) - 1] for k in range(1, blocks)] if values else []
+
+    def parts(edges: list, n: int, values: list, per_block: int) -> tuple[list[int], list[int]]:
+        """Parts of each block, and the number of parts before it."""
+        share = np.bincount(np.searchsorted(edges, values), minlength=len(edges) + 1) + 1
+        own = np.maximum(1, np.ceil(share * n / GRID / per_block)).astype(int)
+        return own.tolist(), (np.cumsum(own) - own).tolist()
+
+    def block(edges: list, c: str) -> Column:
+        return F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(c))) if edges else F.lit(0)
+
+    def part(at_block: Column, own: list[int], before: list[int], ids: Sequence[str]) -> Column:
+        sizes, starts = (F.array(*map(F.lit, x)) for x in (own, before))
+        return (F.get(starts, at_block) + _hashed(ids, F.get(sizes, at_block))).cast("bigint")
+
+    (n_q, ats), (n_r, ends) = shape(queries, at), shape(rows, end)
+    spread = 3 * queries.sparkSession.sparkContext.defaultParallelism
+    edges = sorted(set(quantiles(ends, min(GRID, _block_count(n_r, ROW_BLOCK, spread)))))
+    wide = quantiles(ats, min(GRID, _block_count(n_q, QUERY_BLOCK)))
+    coarse = sorted({edges[i] for i in np.searchsorted(edges, wide).tolist() if i < len(edges)})
+    own_q, before_q = parts(coarse, n_q, ats, QUERY_BLOCK)
+    own_r, before_r = parts(edges, n_r, ends, ROW_BLOCK)
+    upto = F.array(*[F.lit(b + o - 1) for b, o in zip(before_r, own_r)])
+    # The first part of queries that can see a row block: that of the query block with the times after the edge before it.
+    first = F.array(F.lit(0), *[F.lit(before_q[i]) for i in np.searchsorted(coarse, edges, side="right").tolist()])
+    q = (queries.withColumn("_block", block(coarse, at)).withColumn("_qb", part(F.col("_block"), own_q, before_q, query_ids))
+         .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.get(upto, block(edges, at))).cast("array<bigint>"))).drop("_block"))
+    r = (rows.withColumn("_block", block(edges, end)).withColumn("_rb", part(F.col("_block"), own_r, before_r, [row_id]))
+         .withColumn("_qb", F.explode(F.sequence(F.get(first, F.col("_block")), F.lit(sum(own_q) - 1)).cast("array<bigint>"))).drop("_block"))
+    return q, r
 
 
 def _best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,6 +150,49 @@ def _best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return row[place < k], col[place < k]
 
 
+def _own_columns(q: pa.Table, column: str, r: pa.Table, row_id: str) -> np.ndarray:
+    """For each query the place of the row with its own id, -1 without one. Ids may repeat; the first is given."""
+    found = pc.index_in(q.column(column).cast(r.schema.field(row_id).type), value_set=r.column(row_id).combine_chunks())
+    return pc.fill_null(found, -1).to_numpy()
+
+
+def best_in_block(q: pa.Table, r: pa.Table, ids: Sequence[str], row_id: str, k: int, query_vec: str, row_vec: str, unit: bool,
+                  before: tuple[str, str] | None = None, not_same: str | None = None, least: float | None = None) -> pa.Table:
+    """The k best rows of a block for each of its queries: ids, row_id, score."""
+    r = r.sort_by(row_id)
+    left, right = _matrix(q.column(query_vec), unit), _matrix(r.column(row_vec), unit).T
+    if not len(q) or not len(r):
+        left, right = np.zeros((0, 1)), np.zeros((1, 0))
+    masked = False
+    if before is not None and len(q) and len(r):
+        at, end = _numbers(q.column(before[0]), -np.inf), _numbers(r.column(before[1]), np.inf)
+        masked = end.max() > at.min()
+    own = None if not_same is None or not len(r) else _own_columns(q, not_same, r, row_id)
+    if own is not None and pc.count_distinct(r.column(row_id)).as_py() < len(r):
+        raise ValueError("row ids must be unique where a query's own row is left out")
+    picked, scores = [(np.empty(0, np.int64), np.empty(0, np.int64))], [np.empty(0)]
+    for i in range(0, left.shape[0], SLICE):
+        s = np.round(left[i:i + SLICE] @ right, DIGITS) + 0.0
+        if masked:
+            s[end[None, :] > at[i:i + SLICE, None]] = -np.inf
+        if own is not None:
+            mine = own[i:i + SLICE]
+            s[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
+        if least is not None:
+            s[s < least] = -np.inf
+        row, col = _best_columns(s, k)
+        picked.append((i + row, col))
+        scores.append(s[row, col])
+    at_q, at_r = (np.concatenate([x[j] for x in picked]) for j in (0, 1))
+    columns = {c: q.column(c).take(pa.array(at_q)) for c in ids}
+    return pa.table(columns | {row_id: r.column(row_id).take(pa.array(at_r)), "score": pa.array(np.concatenate(scores))})
+
+
+def _merged(partial: DataFrame, ids: Sequence[str], row_id: str, k: int) -> DataFrame:
+    w = Window.partitionBy(*ids).orderBy(F.desc("score"), row_id)
+    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def _types(df: DataFrame, names: Sequence[str]) -> str:
     return ", ".join(f"{n} {df.schema[n].dataType.simpleString()}" for n in names)
 
@@ -106,26 +211,18 @@ def topk(queries: DataFrame, rows: DataFrame, k: int, query_ids: Sequence[str],
     rcols = list(dict.fromkeys([*by, row_id, row_vec, *([before[1]] if before else [])]))
     q0, r0 = queries.select(*qcols), rows.select(*rcols)
     ids = list(dict.fromkeys([*by, *query_ids]))
-    schema = f"{_types(q0, ids)}, {_types(r0, [row_id])}, score double"
-    columns = [*ids, row_id, "score"]
-
-    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame(columns=columns)
-        r = r.sort_values(row_id, kind="stable").reset_index(drop=True)
-        keys, out = r[row_id].to_numpy(), []
-        for i, s, ok in _score_slices(q, r, query_vec, row_vec, unit, before):
-            if not_same is not None:
-                ok &= keys[None, :] != q[not_same].to_numpy()[i:i + SLICE, None]
-            row, col = _best_columns(np.where(ok, s, -np.inf), k)
-            part = q[ids].iloc[i + row].reset_index(drop=True)
-            part[row_id], part["score"] = keys[col], s[row, col]
-            out.append(part)
-        return pd.concat(out)[columns]
-
-    partial = _paired_blocks(q0, r0, query_ids, row_id, by).applyInPandas(best, schema)
-    w = Window.partitionBy(*ids).orderBy(F.desc("score"), row_id)
-    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    blocks = _blocks(q0, r0, query_ids, row_id, by, before)
+    partial = blocks.applyInArrow(
+        lambda q, r: best_in_block(q, r, ids, row_id, k, query_vec, row_vec, unit, before, not_same),
+        f"{_types(q0, ids)}, {_types(r0, [row_id])}, score double")
+    return _merged(partial, ids, row_id, k)
+
+
+def _blocks(q: DataFrame, r: DataFrame, query_ids: Sequence[str], row_id: str, by: Sequence[str],
+            before: tuple[str, str] | None):
+    if before is None:
+        return _pairs_of_blocks(q, r, query_ids, row_id, by)
+    return _cogrouped(*time_blocks(q, r, query_ids, row_id, *before), by)
 
 
 def count_better(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str], row_id: str,
@@ -141,45 +238,71 @@ def count_better(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str],
     rcols = list(dict.fromkeys([*by, row_id, row_vec, *([before[1]] if before else [])]))
     q0, r0 = queries.select(*qcols), rows.select(*rcols)
     ids = list(dict.fromkeys([*by, *query_ids]))
-    columns = [*ids, "n_better", "n_seen"]
-
-    def tally(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame(columns=columns)
-        at = q[cut_score].to_numpy(dtype=np.float64)[:, None]
-        keys, own = r[row_id].to_numpy()[None, :], q[cut_id].to_numpy()[:, None]
-        better, seen = [], []
-        for i, s, ok in _score_slices(q, r, query_vec, row_vec, unit, before):
-            cut = at[i:i + SLICE]
-            ahead = (s > cut) | ((s == cut) & (keys < own[i:i + SLICE]))
-            better.append((ok & ahead).sum(axis=1))
-            seen.append(ok.sum(axis=1))
-        out = q[ids].copy()
-        out["n_better"], out["n_seen"] = np.concatenate(better), np.concatenate(seen)
-        return out[columns]
-
-    partial = _paired_blocks(q0, r0, query_ids, row_id, by).applyInPandas(
+
+    def tally(q: pa.Table, r: pa.Table) -> pa.Table:
+        better, seen = np.zeros(len(q), np.int64), np.zeros(len(q), np.int64)
+        if len(q) and len(r):
+            # Rows in time order: what a query sees is a prefix, and its length needs no product.
+            seen[:] = len(r)
+            if before is not None:
+                r = r.sort_by(before[1])
+                at = _numbers(q.column(before[0]), -np.inf)
+                order = np.argsort(at, kind="stable")
+                q, at = q.take(pa.array(order)), at[order]
+                seen[:] = np.searchsorted(_numbers(r.column(before[1]), np.inf), at, side="right")
+            _count_above(_matrix(q.column(query_vec), unit), _matrix(r.column(row_vec), unit), _numbers(q.column(cut_score), np.nan),
+                         q.column(cut_id), r.column(row_id), seen, better)
+        return pa.table({c: q.column(c) for c in ids} | {"n_better": pa.array(better), "n_seen": pa.array(seen)})
+
+    partial = _blocks(q0, r0, query_ids, row_id, by, before).applyInArrow(
         tally, f"{_types(q0, ids)}, n_better bigint, n_seen bigint")
     return partial.groupBy(*ids).agg(F.sum("n_better").alias("n_better"),
                                      F.sum("n_seen").alias("n_seen"))
 
 
+def _count_above(left: np.ndarray, right: np.ndarray, cuts: np.ndarray, own: pa.ChunkedArray, keys: pa.ChunkedArray,
+                 seen: np.ndarray, better: np.ndarray) -> None:
+    """Adds to `better` how many of the first `seen` rows outrank (cut, own id). Queries come in order of `seen`.
+
+    Scores are compared unrounded; only those within a band around the bound, a query's own row and
+    near ties, are rounded and compared by id.
+    """
+    own, keys = own.to_pandas().to_numpy(), keys.to_pandas().to_numpy()
+    for i in range(0, len(left), SLICE):
+        j = min(i + SLICE, len(left))
+        least, most = seen[i], seen[j - 1]
+        if not most:
+            continue
+        s = left[i:j] @ right[:most].T
+        cut = cuts[i:j, None]
+        s[:, least:][np.arange(least, most)[None, :] >= seen[i:j, None]] = -np.inf
+        above = s > cut + BAND
+        n = np.count_nonzero(above, axis=1)
+        close = s >= cut - BAND
+        unsure = np.flatnonzero(np.count_nonzero(close, axis=1) > n)
+        row, col = np.nonzero(close[unsure] & ~above[unsure])
+        row = unsure[row]
+        exact = np.round(s[row, col], DIGITS) + 0.0
+        ahead = (exact > cuts[i + row]) | ((exact == cuts[i + row]) & (keys[col] < own[i + row]))
+        better[i:j] += n + np.bincount(row[ahead], minlength=j - i)
+
+
 def score_range(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str], row_id: str,
                 query_vec: str = "qvec", row_vec: str = "vec", unit: bool = False) -> DataFrame:
     """Smallest and largest score per query over all rows, for min-max scaling of a top list."""
     q0, r0 = queries.select(*query_ids, query_vec), rows.select(row_id, row_vec)
-    columns = [*query_ids, "lo", "hi"]
-
-    def ends(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return pd.DataFrame(columns=columns)
-        ends_of = [(s.min(axis=1), s.max(axis=1)) for _, s, _ in _score_slices(q, r, query_vec, row_vec, unit, None)]
-        out = q[list(query_ids)].copy()
-        out["lo"] = np.concatenate([lo for lo, _ in ends_of])
-        out["hi"] = np.concatenate([hi for _, hi in ends_of])
-        return out[columns]
-
-    partial = _paired_blocks(q0, r0, query_ids, row_id, ()).applyInPandas(
+
+    def ends(q: pa.Table, r: pa.Table) -> pa.Table:
+        q = q if len(r) else q.slice(0, 0)
+        left, right = _matrix(q.column(query_vec), unit), _matrix(r.column(row_vec), unit).T
+        lo, hi = np.empty(len(q)), np.empty(len(q))
+        for i in range(0, len(q), SLICE):
+            s = left[i:i + SLICE] @ right
+            lo[i:i + SLICE], hi[i:i + SLICE] = s.min(axis=1), s.max(axis=1)
+        rounded = [pa.array(np.round(x, DIGITS) + 0.0) for x in (lo, hi)]
+        return pa.table({c: q.column(c) for c in query_ids} | dict(zip(("lo", "hi"), rounded)))
+
+    partial = _pairs_of_blocks(q0, r0, query_ids, row_id, ()).applyInArrow(
         ends, f"{_types(q0, query_ids)}, lo double, hi double")
     return partial.groupBy(*query_ids).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
