@@ -12,7 +12,7 @@ from ..operators import stateful as S
 from ..operators.gaze_tables import fixation_summary as summary
 from ..operators.intervals import tolerance_join
 from ..operators.vectors import topk
-from ..session import scratch
+from ..session import cut, scratch
 from . import views as V
 from .registry import Tables, query
 from .study import arm_clips, ask_vectors
@@ -102,44 +102,104 @@ def translate_caption_jobs(t: Tables) -> DataFrame:
     return out.select("conv_id", "turn", F.md5("response").alias("translated"), F.col("error").isNull().alias("ok")).orderBy("conv_id", "turn")
 
 
-def fixations(t: Tables, radius: float = 0.05) -> DataFrame:
+RADII = (0.03, 0.05, 0.08)
+
+
+def fixation_sql(radii: tuple[float, ...], least: float, gap: float = 0.2, dropout: float = 0.4) -> str:
+    """The detector as a recursive query: one step per sample of a clip, with the state of the open fixation.
+
+    Move A ends it after a hole, B takes the sample in, C waits through an excursion, D ends it and opens one
+    where the excursion began. `found` has all closed fixations.
+    """
+    numbers = ", ".join(f"({r}::DOUBLE)" for r in radii)
+    return V.with_views("gaze").replace("WITH ", "WITH RECURSIVE ", 1) + f"""
+, g AS MATERIALIZED (SELECT clip, t, x, y, row_number() OVER (PARTITION BY clip ORDER BY t, sid) AS rn, count(*) OVER (PARTITION BY clip) AS size FROM gaze),
+w AS (
+  SELECT param, clip, rn, size, t AS a, t AS b, 1::BIGINT AS n, x AS sx, y AS sy, NULL::DOUBLE AS ot, NULL::DOUBLE AS ox, NULL::DOUBLE AS oy, t AS seen,
+    NULL::DOUBLE AS ca, NULL::DOUBLE AS cb, NULL::BIGINT AS cn, NULL::DOUBLE AS csx, NULL::DOUBLE AS csy
+  FROM g, (VALUES {numbers}) p(param) WHERE rn = 1
+  UNION ALL
+  SELECT param, clip, rn, size,
+    CASE move WHEN 'A' THEN t WHEN 'D' THEN pt ELSE a END, CASE WHEN move = 'C' THEN b WHEN move = 'D' AND NOT near THEN pt ELSE t END,
+    CASE WHEN move = 'A' THEN 1 WHEN move = 'B' THEN n + 1 WHEN move = 'C' THEN n WHEN near THEN 2 ELSE 1 END,
+    CASE WHEN move = 'A' THEN x WHEN move = 'B' THEN sx + x WHEN move = 'C' THEN sx WHEN near THEN px + x ELSE px END,
+    CASE WHEN move = 'A' THEN y WHEN move = 'B' THEN sy + y WHEN move = 'C' THEN sy WHEN near THEN py + y ELSE py END,
+    CASE WHEN move = 'C' THEN pt WHEN move = 'D' AND NOT near THEN t END, CASE WHEN move = 'C' THEN px WHEN move = 'D' AND NOT near THEN x END,
+    CASE WHEN move = 'C' THEN py WHEN move = 'D' AND NOT near THEN y END, t,
+    CASE WHEN move IN ('A', 'D') THEN a END, CASE WHEN move IN ('A', 'D') THEN b END, CASE WHEN move IN ('A', 'D') THEN n END,
+    CASE WHEN move IN ('A', 'D') THEN sx END, CASE WHEN move IN ('A', 'D') THEN sy END
+  FROM (
+    SELECT w.*, g.t, g.x, g.y, coalesce(w.ot, g.t) AS pt, coalesce(w.ox, g.x) AS px, coalesce(w.oy, g.y) AS py,
+      CASE WHEN g.t - w.seen > {dropout} THEN 'A' WHEN sqrt((g.x - w.sx / w.n) ** 2 + (g.y - w.sy / w.n) ** 2) <= param THEN 'B'
+        WHEN g.t - coalesce(w.ot, g.t) <= {gap} THEN 'C' ELSE 'D' END AS move,
+      sqrt((g.x - coalesce(w.ox, g.x)) ** 2 + (g.y - coalesce(w.oy, g.y)) ** 2) <= param AS near
+    FROM (SELECT * REPLACE (rn + 1 AS rn) FROM w) w JOIN g ON g.clip = w.clip AND g.rn = w.rn)),
+found AS MATERIALIZED (
+  SELECT param, clip, ca AS start, cb AS "end", csx / cn AS cx, csy / cn AS cy, cb - ca AS duration, cn AS n_samples FROM w WHERE cn IS NOT NULL AND cb - ca >= {least}
+  UNION ALL SELECT param, clip, a, b, sx / n, sy / n, b - a, n FROM w WHERE rn = size AND b - a >= {least})
+"""
+
+
+def fixations(t: Tables, radius: float | tuple[float, ...] = 0.05) -> DataFrame:
     return S.detect_fixations(V.gaze(t).select("clip", "sid", "t", "x", "y"), radius=radius, min_seconds=0.3)
 
 
-@query("fixation_detect")
+@query("fixation_detect", fixation_sql((0.05,), 0.3) + """
+SELECT clip, start, "end", round(cx, 9) AS cx, round(cy, 9) AS cy, round(duration, 9) AS duration, n_samples FROM found""")
 def fixation_detect(t: Tables) -> DataFrame:
-    return fixations(t)
-
-
-@query("fixation_summary")
+    return fixations(t).withColumns({c: F.round(c, 9) for c in ("cx", "cy", "duration")})
+
+
+@query("fixation_summary", fixation_sql(RADII, 0.3) + """
+, ends AS (SELECT clip, min(t) AS a, max(t) AS b FROM gaze GROUP BY clip),
+f AS (SELECT clip, unnest(range(0, CAST(floor((b - a) * 4) AS BIGINT) + 1)) AS frame_id, a FROM ends),
+p AS (SELECT param, clip, a + frame_id * 0.25::DOUBLE AS ft FROM f, (SELECT unnest([""" + ", ".join(map(str, RADII)) + """]::DOUBLE[]) AS param)),
+share AS (SELECT param, clip, avg(CAST(EXISTS (SELECT 1 FROM found x WHERE x.param = p.param AND x.clip = p.clip AND ft BETWEEN x.start AND x."end") AS INTEGER)) AS share FROM p GROUP BY ALL),
+per AS (SELECT s.param, s.clip, share, (SELECT count(*) FROM found x WHERE x.param = s.param AND x.clip = s.clip) AS n_fix FROM share s),
+d AS (SELECT param, avg(CAST(duration > 3 AS INTEGER)) AS share_long, median(duration) AS median_duration, quantile_cont(duration, 0.9) AS p90_duration FROM found GROUP BY param)
+SELECT per.param, count(*) AS n_clips, round(avg(n_fix), 6) AS mean_per_clip, count(CASE WHEN n_fix = 0 THEN 1 END) AS n_empty,
+  round(any_value(share_long), 6) AS share_long, round(avg(share), 6) AS mean_covered, median(n_fix) AS median_per_clip,
+  round(any_value(median_duration), 6) AS median_duration, round(any_value(p90_duration), 6) AS p90_duration
+FROM per LEFT JOIN d ON d.param = per.param GROUP BY per.param""")
 def fixation_summary(t: Tables) -> DataFrame:
     """Three radii; coverage is the share of a recording's frames inside a fixation."""
-    found = None
-    for radius in (0.03, 0.05, 0.08):
-        f = fixations(t, radius).withColumn("param", F.lit(radius))
-        found = f if found is None else found.unionByName(f)
-    from ..session import cut
-    found = cut(found)
-    clips = V.gaze(t).select("clip").distinct().withColumn("param", F.explode(F.array(*[F.lit(r) for r in (0.03, 0.05, 0.08)])))
     from .joins import frames
+    found = cut(fixations(t, RADII))
+    radii = F.array(*[F.lit(r) for r in RADII])
+    clips = V.gaze(t).select("clip").distinct().withColumn("param", F.explode(radii))
     fr = frames(t)
     pairs = tolerance_join(fr, found.select("param", "clip", F.col("start").alias("s"), F.col("end").alias("e")), "ft", ("s", "e"), 0.0, 1.0, ["clip"])
     inside = pairs.select("param", "clip", "frame_id").distinct().groupBy("param", "clip").agg(F.count(F.lit(1)).alias("n_in"))
     totals = fr.groupBy("clip").agg(F.count(F.lit(1)).alias("n"))
     covered = clips.join(totals, "clip").join(inside, ["param", "clip"], "left").select(
         "param", "clip", (F.coalesce("n_in", F.lit(0)) / F.col("n")).alias("share"))
-    return summary(found, covered, clips)
-
-
-@query("path_straightness")
+    return summary(found, covered, clips).withColumns({c: F.round(c, 6) for c in ("median_duration", "p90_duration")})
+
+
+@query("path_straightness", fixation_sql((0.05,), 0.3) + """
+, i AS MATERIALIZED (SELECT f.clip, f.start AS s, g.t, g.x, g.y, row_number() OVER (PARTITION BY f.clip, f.start ORDER BY g.t, g.sid) AS rn
+   FROM found f JOIN gaze g ON g.clip = f.clip AND g.t BETWEEN f.start AND f."end"),
+b AS (SELECT clip, s, rn, t AS opened, 1 AS bin FROM i WHERE rn = 1
+  UNION ALL SELECT i.clip, i.s, i.rn, CASE WHEN i.t - b.opened > 0.1 THEN i.t ELSE b.opened END, b.bin + CAST(i.t - b.opened > 0.1 AS INTEGER)
+  FROM b JOIN i ON i.clip = b.clip AND i.s = b.s AND i.rn = b.rn + 1),
+c AS (SELECT b.clip, b.s, bin, avg(x) AS cx, avg(y) AS cy FROM b JOIN i ON i.clip = b.clip AND i.s = b.s AND i.rn = b.rn GROUP BY ALL),
+l AS (SELECT *, lag(cx) OVER (PARTITION BY clip, s ORDER BY bin) AS px, lag(cy) OVER (PARTITION BY clip, s ORDER BY bin) AS py FROM c),
+p AS (SELECT clip, s, count(*) AS n_bins, coalesce(sum(sqrt((cx - px) ** 2 + (cy - py) ** 2)), 0) AS path,
+   sqrt((arg_max(cx, bin) - arg_min(cx, bin)) ** 2 + (arg_max(cy, bin) - arg_min(cy, bin)) ** 2) AS net FROM l GROUP BY ALL)
+SELECT clip, s, round(CASE WHEN n_bins < 3 OR path = 0 THEN 0 ELSE net / path END, 6) AS straightness, n_bins FROM p""")
 def path_straightness(t: Tables) -> DataFrame:
     fix = fixations(t).select("clip", F.col("start").alias("s"), F.col("end").alias("e"))
     pts = V.gaze(t).select("clip", "sid", "t", "x", "y")
     inside = tolerance_join(pts, fix, "t", ("s", "e"), 0.0, 1.0, ["clip"])
-    return S.path_straightness(inside, ["clip", "s"], "sid", 0.1)
+    return S.path_straightness(inside, ["clip", "s"], "sid", 0.1).withColumn("straightness", F.round("straightness", 6))
 
 
-@query("consecutive_dedupe")
+@query("consecutive_dedupe", """
+WITH RECURSIVE e AS MATERIALIZED (SELECT label AS video, vec_id AS episode_id, CAST(embedding AS DOUBLE[]) AS vec, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn FROM embeddings),
+n AS MATERIALIZED (SELECT a.video, a.rn, min(b.rn) AS following FROM e a JOIN e b ON b.video = a.video AND b.rn > a.rn
+  WHERE NOT coalesce(list_inner_product(a.vec, b.vec) / nullif(sqrt(list_inner_product(a.vec, a.vec) * list_inner_product(b.vec, b.vec)), 0) >= 0.1, false) GROUP BY ALL),
+w AS (SELECT video, rn FROM e WHERE rn = 1 UNION ALL SELECT n.video, n.following FROM w JOIN n ON n.video = w.video AND n.rn = w.rn)
+SELECT e.video, e.episode_id FROM w JOIN e ON e.video = w.video AND e.rn = w.rn""")
 def consecutive_dedupe(t: Tables) -> DataFrame:
     """Vectors of one label are the episodes of one video, in id order."""
     e = t.embeddings.select(F.col("label").alias("video"), F.col("vec_id").alias("episode_id"), F.col("vec_id").alias("start"),

@@ -10,6 +10,7 @@ from ..session import scratch
 from ..streaming.fixations import fixation_stream as fixations
 from ..streaming.indexing import index_stream, inference_stream
 from . import views as V
+from .incremental import fixation_sql
 from .registry import Tables, query
 
 
@@ -42,7 +43,8 @@ def cached_inference_stream(t: Tables) -> DataFrame:
     return t.spark.read.parquet(out).select("conv_id", "turn", "key", "response")
 
 
-@query("fixation_stream")
+@query("fixation_stream", fixation_sql((0.05,), 0.3) + """
+SELECT clip, 'fixation' AS kind, start, "end", round(cx, 9) AS cx, round(cy, 9) AS cy, round(duration, 9) AS duration, n_samples FROM found""")
 def fixation_stream(t: Tables) -> DataFrame:
     """The samples, then a mark for the end of every clip, as two runs of one query."""
     ends = V.gaze(t).select("clip").distinct().select(
@@ -59,4 +61,4 @@ def fixation_stream(t: Tables) -> DataFrame:
     run()
     ends.write.mode("append").parquet(marks)
     run()
-    return t.spark.read.parquet(out)
+    return t.spark.read.parquet(out).withColumns({c: F.round(c, 9) for c in ("cx", "cy", "duration")})

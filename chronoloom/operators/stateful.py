@@ -1,48 +1,24 @@
-"""Sequential walks over sorted streams: fixations, episode de-duplication, straightness, scene filter.
+"""Walks over ordered streams: fixations, episode de-duplication, straightness, scene filter.
 
-Rows are hashed by stream and sorted inside the partition; a walk then reads Arrow batches in order and
-keeps only its own small state, so a stream of any length needs constant memory. Streams are first split
-where the walk provably restarts, so one long stream spreads over many tasks.
+Fixations are walked sample by sample: rows are hashed by stream and sorted inside the partition, the walk reads Arrow
+batches in order and keeps only its own small state, and streams are first split where the walk provably restarts.
+Walks that restart at every row they keep are paths in a successor graph (`successors`) and need no such place.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import island_ids
-
-
-def sorted_walk(df: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str,
-                start: Callable[[tuple], object]) -> DataFrame:
-    """Run a walker per key over rows in order. A walker has `step(row) -> rows` and `finish() -> rows`.
-
-    Emitted rows are tuples that follow the key columns.
-    """
-    columns = [c.split()[0] for c in schema.split(",")]
-    names = list(df.columns)
-    at = [names.index(k) for k in keys]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, walker = None, None
-        for b in batches:
-            out = []
-            for row in b.itertuples(index=False, name=None):
-                key = tuple(row[i] for i in at)
-                if key != current:
-                    if walker is not None:
-                        out.extend(current + r for r in walker.finish())
-                    current, walker = key, start(key)
-                out.extend(current + r for r in walker.step(dict(zip(names, row))))
-            yield pd.DataFrame(out, columns=columns)
-        if walker is not None:
-            yield pd.DataFrame([current + r for r in walker.finish()], columns=columns)
-
-    return (df.repartition(*keys).sortWithinPartitions(*keys, *order)).mapInPandas(run, schema)
+from ..session import cut
+from .ordered import island_ids, lagged, row_numbers, running
+from .successors import BLOCK, find_successors, reached_from_first
+from .vectors import _matrix, dot
 
 
 class FixationWalk:
@@ -75,8 +51,7 @@ class FixationWalk:
     def _inside(self, x: float, y: float) -> bool:
         return math.hypot(x - self.sx / self.n, y - self.sy / self.n) <= self.radius
 
-    def step(self, row: dict) -> list[tuple]:
-        t, x, y = row["t"], row["x"], row["y"]
+    def step(self, t: float, x: float, y: float) -> list[tuple]:
         if self.start is None:
             self._open(t, x, y)
             self.seen = t
@@ -108,46 +83,67 @@ class FixationWalk:
 FIXATION = "start double, end double, cx double, cy double, duration double, n_samples bigint"
 
 
-def detect_fixations(samples: DataFrame, by: str = "clip", key: str = "sid", radius: float = 0.05,
+def detect_fixations(samples: DataFrame, by: str = "clip", key: str = "sid", radius: float | Sequence[float] = 0.05,
                      min_seconds: float = 0.5, gap: float = 0.2, dropout: float = 0.4) -> DataFrame:
-    """Fixations per clip. samples: by, key, t, x, y.
+    """Fixations per clip. samples: by, key, t, x, y. Several radii are walked in one pass, named in a column `param`.
 
     A hole longer than `dropout` always ends a fixation and resets the walk, so clips are cut there first.
     """
     parts = island_ids(samples.select(by, key, "t", "x", "y"), [by], ["t", key], {"_t": F.col("t")},
                        F.col("_t").isNull() | (F.col("t") - F.col("_t") > dropout), "part").drop("_t")
+    radii = list(radius) if isinstance(radius, Sequence) else [radius]
     kind = samples.schema[by].dataType.simpleString()
-    found = sorted_walk(parts, [by, "part"], ["t", key], f"{by} {kind}, part bigint, {FIXATION}",
-                        lambda _: FixationWalk(radius, min_seconds, gap, dropout))
-    return found.drop("part")
-
+    schema = f"{by} {kind}, param double, {FIXATION}"
+    types = {"n_samples": pa.int64()}
+    names = [c.split()[0] for c in schema.split(", ")]
 
-class SimilarWalk:
-    """Keep an episode unless it is too similar to the last kept one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, walkers, of_key = None, [], None
 
-    def __init__(self, least: float):
-        self.least, self.kept = least, None
+        def table(rows: list[tuple], of_key: pa.DataType) -> pa.RecordBatch:
+            columns = list(zip(*rows)) or [[]] * len(names)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, of_key if n == by else types.get(n, pa.float64())) for n, c in zip(names, columns)], names=names)
 
-    def step(self, row: dict) -> list[tuple]:
-        v = row["vec"]
-        if self.kept is not None:
-            dot = float((v * self.kept).sum())
-            size = math.sqrt(float((v * v).sum()) * float((self.kept * self.kept).sum()))
-            if size > 0 and dot / size >= self.least:
-                return []
-        self.kept = v
-        return [(row["episode_id"],)]
-
-    def finish(self) -> list[tuple]:
-        return []
+        for b in batches:
+            rows, of_key = [], b.schema.field(by).type
+            for clip, part, t, x, y in zip(*(b.column(c).to_pylist() for c in (by, "part", "t", "x", "y"))):
+                if (clip, part) != current:
+                    rows.extend((current[0], w.radius, *r) for w in walkers for r in w.finish())
+                    current, walkers = (clip, part), [FixationWalk(r, min_seconds, gap, dropout) for r in radii]
+                for w in walkers:
+                    for r in w.step(t, x, y):
+                        rows.append((clip, w.radius, *r))
+            yield table(rows, of_key)
+        if walkers:
+            yield table([(current[0], w.radius, *r) for w in walkers for r in w.finish()], of_key)
+
+    found = parts.repartition(by, "part").sortWithinPartitions(by, "part", "t", key).mapInArrow(run, schema)
+    return found if isinstance(radius, Sequence) else found.drop("param")
+
+
+def consecutive_dedupe(episodes: DataFrame, by: str, least: float, block: int = BLOCK) -> DataFrame:
+    """(by, episode_id) of kept episodes: those that are not too similar to the last kept one. episodes: by, episode_id, start, vec.
+
+    The next kept episode is looked for from every episode, so the cost is the sum of the distances to it; stretches of equal
+    vectors count once. A vector of zeros is similar to nothing.
+    """
+    order = ["start", "episode_id"]
+    rows = episodes.select(by, *order, F.col("vec").cast("array<double>").alias("vec"))
+    if least < 1 - 1e-9:
+        # What equals the episode before it is kept only if that one is no neighbour of itself, a null vector.
+        rows = lagged(rows, [by], order, {"_before": F.col("vec")})
+        rows = rows.where(~F.col("vec").eqNullSafe(F.col("_before")) | (dot("vec", "vec") == 0)).drop("_before")
+    rows = cut(row_numbers(rows, [by], order))
 
+    def unlike(a: pa.Table, b: pa.Table) -> np.ndarray:
+        left, right = _matrix(a.column("vec"), False), _matrix(b.column("vec"), False)
+        size = np.sqrt(np.outer((left * left).sum(axis=1), (right * right).sum(axis=1)))
+        cosine = np.divide(left @ right.T, size, out=np.full(size.shape, -np.inf), where=size > 0)
+        return ~(cosine >= least)
 
-def consecutive_dedupe(episodes: DataFrame, by: str, least: float) -> DataFrame:
-    """(by, episode_id) of kept episodes. episodes: by, episode_id, start, vec."""
-    kinds = {f.name: f.dataType.simpleString() for f in episodes.schema.fields}
-    rows = episodes.select(by, "episode_id", "start", F.col("vec").cast("array<double>").alias("vec"))
-    return sorted_walk(rows, [by], ["start", "episode_id"], f"{by} {kinds[by]}, episode_id {kinds['episode_id']}",
-                       lambda _: SimilarWalk(least))
+    kept = reached_from_first(find_successors(rows.select(by, "rn", "vec"), [by], unlike, block), [by], block)
+    return rows.select(by, "rn", "episode_id").join(kept, [by, "rn"]).drop("rn")
 
 
 #: Short episodes pass; longer ones must not be black and must stay similar.
@@ -166,37 +162,31 @@ def scene_filter(episodes: DataFrame, black: float) -> DataFrame:
     return episodes.withColumn("reason", reason).withColumn("kept", F.col("reason").isin("short", "steady"))
 
 
-class StraightWalk:
-    """Average samples in greedy time bins and add up the path between the bin centers."""
-
-    def __init__(self, bin_seconds: float):
-        self.width, self.opened, self.n, self.sx, self.sy = bin_seconds, None, 0, 0.0, 0.0
-        self.first, self.prev, self.path, self.bins = None, None, 0.0, 0
-
-    def _close(self) -> None:
-        if self.n:
-            c = (self.sx / self.n, self.sy / self.n)
-            if self.prev is not None:
-                self.path += math.dist(self.prev, c)
-            self.first = self.first or c
-            self.prev, self.bins = c, self.bins + 1
-
-    def step(self, row: dict) -> list[tuple]:
-        if self.opened is None or row["t"] - self.opened > self.width:
-            self._close()
-            self.opened, self.n, self.sx, self.sy = row["t"], 0, 0.0, 0.0
-        self.n, self.sx, self.sy = self.n + 1, self.sx + row["x"], self.sy + row["y"]
-        return []
+def path_straightness(samples: DataFrame, by: Sequence[str], key: str, bin_seconds: float = 0.3, block: int = BLOCK) -> DataFrame:
+    """Net displacement over path length per fixation; 0 with fewer than three bins. samples: by, key, t, x, y.
 
-    def finish(self) -> list[tuple]:
-        self._close()
-        if self.bins < 3 or self.path == 0:
-            return [(0.0, self.bins)]
-        return [(math.dist(self.first, self.prev) / self.path, self.bins)]
-
-
-def path_straightness(samples: DataFrame, by: Sequence[str], key: str, bin_seconds: float = 0.3) -> DataFrame:
-    """Net displacement over path length per fixation; 0 with fewer than three bins. samples: by, key, t, x, y."""
-    kinds = ", ".join(f"{b} {samples.schema[b].dataType.simpleString()}" for b in by)
-    return sorted_walk(samples.select(*by, key, "t", "x", "y"), by, ["t", key],
-                       f"{kinds}, straightness double, n_bins bigint", lambda _: StraightWalk(bin_seconds))
+    A bin opens with the first sample that is more than `bin_seconds` behind the opening one of the bin before it. The path
+    runs over the bins' mean points.
+    """
+    by = list(by)
+    rows = cut(row_numbers(samples.select(*by, key, "t", "x", "y"), by, ["t", key]))
+
+    def later(a: pa.Table, b: pa.Table) -> np.ndarray:
+        return b.column("t").to_numpy()[None, :] - a.column("t").to_numpy()[:, None] > bin_seconds
+
+    opened = reached_from_first(find_successors(rows.select(*by, "rn", "t"), by, later, block), by, block)
+    marked = rows.join(opened.withColumn("_opens", F.lit(1)), [*by, "rn"], "left").fillna(0, ["_opens"])
+    binned = running(marked, by, ["rn"], {"bin": ("sum", F.col("_opens"))})
+    centres = binned.groupBy(*by, "bin").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    steps = lagged(centres, by, ["bin"], {"px": F.col("cx"), "py": F.col("cy")})
+
+    def distance(x0, y0, x1, y1) -> Column:
+        return F.hypot(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0))
+
+    point = F.struct("cx", "cy")
+    paths = steps.groupBy(*by).agg(
+        F.sum(distance("px", "py", "cx", "cy")).alias("path"), F.count(F.lit(1)).alias("n_bins"),
+        F.min_by(point, "bin").alias("first"), F.max_by(point, "bin").alias("last"))
+    net = distance("first.cx", "first.cy", "last.cx", "last.cy")
+    straight = F.when((F.col("n_bins") < 3) | (F.col("path") == 0), F.lit(0.0)).otherwise(net / F.col("path"))
+    return paths.select(*by, straight.alias("straightness"), "n_bins")

@@ -35,7 +35,7 @@ def fixation_stream(samples: DataFrame, by: str = "clip", key: str = "sid", radi
             if walker.seen is not None and t < walker.seen:
                 rows.append((*group, "late", t, t, x, y, 0.0, 1))
             else:
-                rows.extend((*group, "fixation", *r) for r in walker.step({"t": t, "x": x, "y": y}))
+                rows.extend((*group, "fixation", *r) for r in walker.step(t, x, y))
         if len(timed) < len(frame):
             rows.extend((*group, "fixation", *r) for r in walker.finish())
             state.remove()
