@@ -217,13 +217,38 @@ def scene_filter(t: Tables) -> DataFrame:
     return S.scene_filter(e, 16).groupBy("reason", "kept").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("consolidate_fold")
+def consolidate_sql(stamps: list[str], dims: int = 64) -> str:
+    """The fold unrolled over the stamps. A word of a text adds 1 or -1 to one of the vector's places, by its md5."""
+    places = ", ".join(f"sum(CASE WHEN place = {i} THEN sign ELSE 0 END)" for i in range(dims))
+    out = [V.with_views("triples") + f"""
+, raw AS MATERIALIZED (SELECT substr(o_orderpriority, 1, 1) AS ts, s, o, CAST(doc AS VARCHAR) AS doc, s || ' made by ' || o AS txt FROM triples JOIN orders ON o_orderkey = doc),
+word AS (SELECT txt, md5(unnest(regexp_extract_all(lower(txt), '\\w+'))) AS h FROM (SELECT DISTINCT txt FROM raw)),
+hashed AS (SELECT txt, CAST('0x' || substr(h, 1, 2) AS INTEGER) % {dims} AS place, CASE WHEN CAST('0x' || substr(h, 9, 2) AS INTEGER) % 2 = 1 THEN 1 ELSE -1 END AS sign FROM word),
+summed AS (SELECT txt, CAST([{places}] AS FLOAT[]) AS v FROM hashed GROUP BY txt),
+e AS MATERIALIZED (SELECT txt, CAST(list_transform(v, lambda x: CAST(x / CAST(sqrt(list_inner_product(v, v)) AS FLOAT) AS FLOAT)) AS DOUBLE[{dims}]) AS vec FROM summed),
+f AS MATERIALIZED (SELECT ts, s, o, txt, [min(doc)] AS ev FROM raw GROUP BY ts, s, o, txt),
+s1 AS MATERIALIZED (SELECT s, o, txt, ev FROM f WHERE ts = '{stamps[0]}')"""]
+    for i, ts in enumerate(stamps[1:], 2):
+        out.append(f"""
+n{i} AS MATERIALIZED (SELECT new, old FROM (SELECT f.txt AS new, s.txt AS old, round(array_cosine_similarity(a.vec, b.vec), 9) AS score
+   FROM f JOIN e a ON a.txt = f.txt, s{i - 1} s JOIN e b ON b.txt = s.txt WHERE f.ts = '{ts}') WHERE score >= 0.6
+   QUALIFY row_number() OVER (PARTITION BY new ORDER BY score DESC, md5(old)) <= 20),
+g{i} AS MATERIALIZED (SELECT n.new, o.txt AS old, o.ev FROM n{i} n JOIN s{i - 1} o ON o.txt = n.old JOIN f ON f.ts = '{ts}' AND f.txt = n.new AND f.s = o.s),
+s{i} AS MATERIALIZED (SELECT s, o, txt, ev FROM s{i - 1} WHERE txt NOT IN (SELECT old FROM g{i})
+   UNION ALL SELECT s, o, txt, list_sort(list_distinct(list_concat(ev, coalesce((SELECT flatten(list(g.ev)) FROM g{i} g WHERE g.new = f.txt), [])))) FROM f WHERE ts = '{ts}')""")
+    tail = " UNION ALL ".join(f"SELECT '{ts}' AS ts, count(*) AS n, count(DISTINCT s) AS n_subjects, CAST(sum(len(ev)) AS BIGINT) AS n_evidence FROM s{i}"
+                              for i, ts in enumerate(stamps, 1))
+    return ",".join(out) + f"\nSELECT * FROM ({tail}) WHERE n > 0"
+
+
+@query("consolidate_fold", consolidate_sql(["1", "2", "3", "4", "5"]))
 def consolidate_fold(t: Tables) -> DataFrame:
-    """Facts of three ship years, consolidated in time order; counts per snapshot."""
+    """Facts of five order priorities, consolidated in their order; counts per snapshot."""
     raw = (V.triples(t).join(t.orders.select(F.col("o_orderkey").alias("doc"), "o_orderpriority"), "doc")
            .select(F.substring("o_orderpriority", 1, 1).alias("ts"), "s", F.lit("made by").alias("p"), "o",
                    F.array(F.col("doc").cast("string")).alias("evidence")))
-    snaps = C.consolidate(raw)
+    versions = cut(C.consolidate_versions(raw))
+    snaps = C.snapshots(versions, versions.select(F.col("valid_from").alias("ts")))
     return snaps.groupBy("ts").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("s").alias("n_subjects"),
                                    F.sum(F.size("evidence")).cast("bigint").alias("n_evidence"))
 

@@ -1,16 +1,20 @@
-"""Consolidation of semantic triples over time: each step is a set of distributed joins."""
+"""Consolidation of semantic triples over time, kept as a table of versions.
+
+Every row has the stamp from which it holds and the stamp at which it was superseded, so a snapshot is a filter. A stamp
+appends what it opens and what it closes; rows that it does not touch are not written again, and their vectors are made once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import hooks
-from ..session import cut
+from ..session import cut, scratch
 from .neighbours import RELEVANT_SCORE, RELEVANT_TOP, relevant_pairs
-from .sets import replace_pairs
+from .ordered import row_numbers
 
 KEY = ["s", "p", "o", "evidence"]
 
@@ -23,34 +27,71 @@ def same_subject_rule(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("ns") == F.col("s")) & (F.col("np") == F.col("p")))
 
 
-def consolidate(triples: DataFrame, decide: Callable[[DataFrame], DataFrame] = same_subject_rule,
-                encoder: hooks.Encoder = hooks.hashed_words, top: int = RELEVANT_TOP,
-                least: float = RELEVANT_SCORE) -> DataFrame:
-    """All snapshots (ts, s, p, o, evidence). triples: ts (string), s, p, o, evidence (array<string>).
+def consolidate_versions(triples: DataFrame, decide: Callable[[DataFrame], DataFrame] = same_subject_rule,
+                         encoder: hooks.Encoder = hooks.hashed_words, top: int = RELEVANT_TOP,
+                         least: float = RELEVANT_SCORE) -> DataFrame:
+    """(s, p, o, evidence, valid_from, valid_to), valid_to null while a row holds. triples: ts (string), s, p, o, evidence (array<string>).
 
-    Time stamps are taken in string order, as one driver loop over distinct stamps; the rows never leave
-    the executors. A new triple takes over the evidence of what it replaces. Every equal copy goes.
-    Equal new triples of one stamp enter once, with the smallest of their evidence lists.
+    Stamps are taken in string order; the driver knows one at a time. A new triple takes over the evidence of what it
+    replaces. Every equal copy goes. Equal new triples of one stamp enter once, with the smallest of their evidence lists.
+    Triples are written once in stamp order, so that a stamp reads its own files only.
     """
-    stamps = [r[0] for r in triples.select("ts").distinct().orderBy("ts").toLocalIterator()]
-    state, snapshots = None, None
-    text = F.concat_ws(" ", "s", "p", "o")
-    for ts in stamps:
-        fresh = triples.where(F.col("ts") == ts).groupBy("s", "p", "o").agg(F.min("evidence").alias("evidence"))
-        if state is None:
-            state = cut(fresh)
-        else:
-            new = cut(hooks.encode(fresh.withColumn("new_id", text), "new_id", "qvec", encoder))
-            old = cut(state.withColumn("old_id", F.md5(text)))
-            vectors = hooks.encode(old.select("old_id", text.alias("_t")).dropDuplicates(["old_id"]), "_t", "vec", encoder)
+    spark, text = triples.sparkSession, F.concat_ws(" ", "s", "p", "o")
+    by_stamp, opened, closed = (scratch(spark, f"triples-{n}") for n in ("by-stamp", "opened", "closed"))
+    triples.select("ts", *KEY).repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(by_stamp)
+    waiting = spark.read.parquet(by_stamp)
+    nothing = hooks.encode(waiting.limit(0).withColumn("old_id", text), "old_id", "vec", encoder)
+    nothing.select("old_id", *KEY, "vec", F.col("ts").alias("valid_from")).write.parquet(opened)
+    waiting.limit(0).select(*KEY, "ts", F.col("ts").alias("valid_to")).withColumnRenamed("ts", "valid_from").write.parquet(closed)
+
+    def versions() -> DataFrame:
+        return spark.read.parquet(opened).join(spark.read.parquet(closed), [*KEY, "valid_from"], "left")
+
+    ts = waiting.agg(F.min("ts")).first()[0]
+    first = True
+    while ts is not None:
+        fresh = waiting.where(F.col("ts") == ts).groupBy("s", "p", "o").agg(F.min("evidence").alias("evidence"))
+        new = cut(hooks.encode(fresh.withColumn("new_id", text), "new_id", "qvec", encoder))
+        merged = new
+        if not first:
+            old = cut(versions().where("valid_to IS NULL").drop("valid_to"))
+            vectors = old.select("old_id", "vec").dropDuplicates(["old_id"])
             near = relevant_pairs(new, vectors, "new_id", "old_id", top, least).select("new_id", "old_id")
             pairs = (near.join(new.select("new_id", F.col("s").alias("ns"), F.col("p").alias("np"), F.col("o").alias("no")), "new_id")
-                     .join(old, "old_id"))
+                     .join(old.drop("vec", "valid_from"), "old_id"))
             gone = cut(decide(pairs).select("new_id", *KEY))
             carried = gone.select("new_id", F.explode_outer("evidence").alias("e")).groupBy("new_id").agg(F.collect_set("e").alias("more"))
-            merged = (new.join(carried, "new_id", "left")
-                      .withColumn("evidence", F.array_sort(F.array_distinct(F.concat("evidence", F.coalesce("more", F.array().cast("array<string>")))))))
-            state = cut(replace_pairs(state, gone.select(*KEY), merged.select(*KEY), KEY))
-        snap = state.withColumn("ts", F.lit(ts))
-        snapshots = snap if snapshots is None else snapshots.unionByName(snap)
-    return snapshots
+            both = F.concat("evidence", F.coalesce("more", F.array().cast("array<string>")))
+            merged = cut(new.join(carried, "new_id", "left").withColumn("evidence", F.array_sort(F.array_distinct(both))))
+            (old.join(gone.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "valid_from").distinct()
+             .withColumn("valid_to", F.lit(ts)).write.mode("append").parquet(closed))
+        (merged.select(F.md5("new_id").alias("old_id"), *KEY, F.col("qvec").alias("vec"), F.lit(ts).alias("valid_from"))
+         .write.mode("append").parquet(opened))
+        ts, first = waiting.where(F.col("ts") > ts).agg(F.min("ts")).first()[0], False
+    return versions().select(*KEY, "valid_from", "valid_to")
+
+
+def holds_at(ts: Column) -> Column:
+    """Whether a version is part of the snapshot at `ts`."""
+    return (F.col("valid_from") <= ts) & (F.col("valid_to").isNull() | (F.col("valid_to") > ts))
+
+
+def snapshots(versions: DataFrame, stamps: DataFrame) -> DataFrame:
+    """(ts, s, p, o, evidence): the snapshots at all `stamps` (ts); each version is listed for the stamps at which it holds.
+
+    The versions' own stamps must be among them.
+    """
+    numbered = cut(row_numbers(stamps.select("ts").distinct(), [], ["ts"], "no"))
+    last = numbered.agg(F.max("no").alias("_last"))
+    ends = (versions.join(numbered.select(F.col("ts").alias("valid_from"), F.col("no").alias("_from")), "valid_from")
+            .join(numbered.select(F.col("ts").alias("valid_to"), F.col("no").alias("_to")), "valid_to", "left").join(F.broadcast(last)))
+    upto = F.coalesce(F.col("_to") - 1, F.col("_last"))
+    listed = ends.withColumn("no", F.explode(F.sequence("_from", upto)))
+    return listed.select("no", *KEY).join(numbered, "no").select("ts", *KEY)
+
+
+def consolidate(triples: DataFrame, decide: Callable[[DataFrame], DataFrame] = same_subject_rule,
+                encoder: hooks.Encoder = hooks.hashed_words, top: int = RELEVANT_TOP,
+                least: float = RELEVANT_SCORE) -> DataFrame:
+    """All snapshots (ts, s, p, o, evidence) of `consolidate_versions`."""
+    return snapshots(consolidate_versions(triples, decide, encoder, top, least), triples.select("ts"))

@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 from . import vectors as V
 
 PIVOTS = 1024
+CELLS = 4      # pivots for each block of rows
 DRAWN = 8
 SEED = 11
 SLACK = 1e-6   # radians; more than the rounding errors of angles and scores
@@ -124,13 +125,13 @@ def nearest_above(queries: DataFrame, rows: DataFrame, k: int, least: float, que
                   query_vec: str = "qvec", row_vec: str = "vec", not_same: str | None = None) -> DataFrame:
     """The k best rows per query by cosine among those of at least `least`, ties to the smaller row id.
 
-    Equal to `vectors.topk` filtered by score. Below two blocks of rows, or with a bound of 0 or less, nothing can be left out
-    and the full product is taken.
+    Equal to `vectors.topk` filtered by score. Rows that fit one block, and bounds of 0 or less, take the full product: there is
+    nothing to leave out that would pay for the pivots.
     """
     qcols = list(dict.fromkeys([*query_ids, query_vec, *([not_same] if not_same else [])]))
     q0, r0 = queries.select(*qcols), rows.select(row_id, row_vec)
-    n = min(PIVOTS, V._block_count(r0.count(), V.ROW_BLOCK, q0.sparkSession.sparkContext.defaultParallelism))
-    pivots = draw_pivots(r0, row_id, row_vec, n) if n > 1 and least > 0 else np.zeros((0, 1))
+    n = V._block_count(r0.count(), V.ROW_BLOCK)
+    pivots = draw_pivots(r0, row_id, row_vec, min(PIVOTS, CELLS * n)) if n > 1 and least > 0 else np.zeros((0, 1))
     ids = list(query_ids)
     if len(pivots) < 2:
         blocks = V._pairs_of_blocks(q0, r0, ids, row_id, ())

@@ -189,6 +189,31 @@ def test_consolidation(spark):
                    ("2", "a", "likes", "milk", ("e1", "e3")), ("2", "a", "owns", "cat", ("e4",)), ("2", "b", "has", "car", ("e2",))]
 
 
+def test_versions_are_deltas(spark):
+    """A stamp opens and closes what it changes; the rest is one version from its first stamp on."""
+    def encoder(texts):
+        return [np.eye(16, dtype=np.float32)[int(t.split()[0][1:])] for t in texts]
+
+    rows = [("1", f"s{i}", "p", "old", [f"e{i}"]) for i in range(16)] + [("2", "s3", "p", "new", ["f3"]), ("3", "s3", "p", "newer", ["g3"]), ("3", "s5", "q", "x", [])]
+    df = spark.createDataFrame(rows, "ts string, s string, p string, o string, evidence array<string>")
+    versions = C.consolidate_versions(df, encoder=encoder).cache()
+    assert versions.count() == 19 and versions.where("valid_to IS NULL").count() == 17
+    changed = sorted(tuple(r) for r in versions.where("s = 's3'").select("o", "evidence", "valid_from", "valid_to").collect())
+    assert changed == [("new", ["e3", "f3"], "2", "3"), ("newer", ["e3", "f3", "g3"], "3", None), ("old", ["e3"], "1", "2")]
+    for ts, n in (("0", 0), ("1", 16), ("2", 16), ("25", 16), ("3", 17), ("9", 17)):
+        assert versions.where(C.holds_at(F.lit(ts))).count() == n
+    every = C.snapshots(versions, df.select("ts"))
+    assert {r["ts"]: r["count"] for r in every.groupBy("ts").count().collect()} == {"1": 16, "2": 16, "3": 17}
+    for ts in "123":
+        a, b = every.where(F.col("ts") == ts).drop("ts"), versions.where(C.holds_at(F.lit(ts))).drop("valid_from", "valid_to")
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_consolidating_nothing(spark):
+    df = spark.createDataFrame([], "ts string, s string, p string, o string, evidence array<string>")
+    assert C.consolidate(df).collect() == [] and C.consolidate_versions(df).columns == ["s", "p", "o", "evidence", "valid_from", "valid_to"]
+
+
 def test_rounds_never_repeat_a_hit(spark):
     items = spark.createDataFrame([(i, float(10 - i)) for i in range(8)], "item bigint, score double")
 
