@@ -15,7 +15,7 @@ Sparse, exact, and in five Spark steps over one shuffle of the texts (buckets of
 Equal runs of a bucket travel once, so a passage that a third of all documents share is sent once per bucket. Wrong
 matches of the short hashes only cost work: strings are compared byte by byte. The number of buckets follows the
 bytes of the input. Null texts are empty; a null id counts as larger than all others, and equal ids do not remove each
-other's text. Repeated rows come back repeated.
+other's text. Rows are dealt by id and text, so one id may have very many. Repeated rows come back repeated.
 """
 
 from __future__ import annotations
@@ -156,15 +156,15 @@ def cut_out(documents, shared: dict[int, np.ndarray], width: int, buckets: int):
             dst, key = placed(anchor, buckets)
             full = dst.astype(np.uint64) << np.uint64(32) | key
             at = np.minimum(np.searchsorted(wanted, full), len(wanted) - 1)
-            for i in np.flatnonzero(wanted[at] == full):
-                begin, to = int(first[i]), int(dst[i])
-                content = text[begin:int(after[i]) + width - 1]
+            hit = np.flatnonzero(wanted[at] == full)
+            for begin, to, end, short in zip(first[hit].tolist(), dst[hit].tolist(), (after[hit] + (width - 1)).tolist(), key[hit].tolist(), strict=True):
+                content = text[begin:end]
                 bucket = folded.setdefault(to, {})
                 entry = bucket.get(content)
                 if entry is None:
-                    entry = bucket[content] = [len(bucket), int(key[i]), order, order]
-                else:
-                    entry[2], entry[3] = min(entry[2], order), max(entry[3], order)
+                    entry = bucket[content] = [len(bucket), short, order, order]
+                elif order > entry[3]:           # documents come by id, so the first id stays the smallest
+                    entry[3] = order
                 mine.append((to, entry[0], begin))
         uses.append(mine)
     return uses, folded
@@ -319,25 +319,52 @@ def _keep(documents: pa.Table, messages: pa.Table, width: int, buckets: int, key
     for dst, item, *parts in zip(*(told[n].to_pylist() for n in ("dst", "item", "first", "after", "low")), strict=True):
         item = np.frombuffer(item, dtype=np.uint32)
         answers[dst] = (item, *(np.frombuffer(p, dtype=np.int64) for p in parts))
+    texts = [t for _, t, _ in rows]
+    merged = _merged_spans([len(t) for t in texts], np.array([o for o, _, _ in rows], dtype=np.int64), uses, answers, width)
     out: dict[str, list] = {"key": [None] * len(rows), "spans": [[]] * len(rows), "kept": [b""] * len(rows)}
     keys = documents["k"].to_pylist()
-    for (order, text, row), mine in zip(rows, uses, strict=True):
-        change = np.zeros(len(text) + 1, dtype=np.int64)
-        for dst, number, begin in mine:
-            if dst in answers:
-                item, first, after, low = answers[dst]
-                a, b = np.searchsorted(item, number), np.searchsorted(item, number, side="right")
-                for i in range(a, b):
-                    if low[i] < order:
-                        change[begin + first[i]] += 1
-                        change[begin + after[i] + width - 1] -= 1
-        covered = np.cumsum(change[:-1]) > 0
-        edges = np.flatnonzero(np.diff(np.concatenate([[False], covered, [False]]).astype(np.int8)))
-        out["key"][row], out["spans"][row] = keys[row], edges.reshape(-1, 2).tolist()
-        out["kept"][row] = np.frombuffer(text, dtype=np.uint8)[~covered].tobytes() if len(edges) else text
+    for text, (_, _, row), spans in zip(texts, rows, merged, strict=True):
+        edges = [0, *(e for span in spans for e in span), len(text)]
+        out["key"][row], out["spans"][row] = keys[row], spans
+        out["kept"][row] = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if spans else text
     return _table(out, schema)
 
 
+def _merged_spans(sizes: list[int], order: np.ndarray, uses: list[list[tuple[int, int, int]]], answers: dict, width: int) -> list[list[list[int]]]:
+    """The maximal byte ranges of every document that windows of smaller ids cover. All documents lie on one line, a byte apart."""
+    base = np.concatenate([[0], np.cumsum(np.array(sizes, dtype=np.int64) + 1)])
+    owner = np.repeat(np.arange(len(uses)), [len(u) for u in uses])
+    flat = np.array([use for mine in uses for use in mine], dtype=np.int64).reshape(-1, 3)
+    begins, ends = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    by_bucket = np.argsort(flat[:, 0], kind="stable")
+    for dst, at in _by_bucket(flat[by_bucket, 0]):
+        if dst not in answers:
+            continue
+        item, first, after, low = answers[dst]
+        mine = by_bucket[at]
+        a, b = np.searchsorted(item, flat[mine, 1]), np.searchsorted(item, flat[mine, 1], side="right")
+        n = b - a
+        use = np.repeat(mine, n)
+        part = np.repeat(a, n) + np.arange(len(use)) - np.repeat(np.cumsum(n) - n, n)
+        smaller = low[part] < order[owner[use]]
+        use, part = use[smaller], part[smaller]
+        start = base[owner[use]] + flat[use, 2]
+        begins.append(start + first[part])
+        ends.append(start + after[part] + width - 1)
+    begin, end = np.concatenate(begins), np.concatenate(ends)
+    by_begin = np.argsort(begin, kind="stable")
+    begin, end = begin[by_begin], np.maximum.accumulate(end[by_begin])
+    new = np.ones(len(begin), dtype=bool)
+    new[1:] = begin[1:] > end[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(begin)) - 1 if len(begin) else np.zeros(0, dtype=np.int64)
+    begin, end = begin[new], end[last]
+    document = np.searchsorted(base, begin, side="right") - 1
+    spans: list[list[list[int]]] = [[] for _ in sizes]
+    for d, x, y in zip(document.tolist(), (begin - base[document]).tolist(), (end - base[document]).tolist(), strict=True):
+        spans[d].append([x, y])
+    return spans
+
+
 def remove_repeats(docs: DataFrame, key: str, text: str, width: int = 50, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(key, spans, kept): the removed byte ranges and the bytes that are left, a row per row of `docs`.
 
@@ -346,7 +373,7 @@ def remove_repeats(docs: DataFrame, key: str, text: str, width: int = 50, bucket
     total = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
     buckets = max(parallelism(docs.sparkSession), math.ceil(total / bucket_bytes))
     order = F.coalesce(F.col(key).cast("bigint"), F.lit(LAST))
-    rows = docs.select(F.pmod(F.xxhash64(order), F.lit(buckets)).cast("int").alias("b"), F.col(key).cast("bigint").alias("k"),
+    rows = docs.select(F.pmod(F.xxhash64(order, raw), F.lit(buckets)).cast("int").alias("b"), F.col(key).cast("bigint").alias("k"),
                        order.alias("o"), raw.alias("t"))
     plain = {"binary": "binary", "int32": "int"}
 
