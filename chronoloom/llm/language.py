@@ -14,19 +14,19 @@ letter are `und` with score 0, and so is everything if there is nothing to learn
 from __future__ import annotations
 
 import base64
-import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = regex.compile(r"\p{L}+")  # letters only: no superscripts, fractions or number signs
 START = "▁"
 LONGEST = 6
 ABSENT, UNKNOWN = 0, 1           # ids of strings that are no piece, and of characters outside the vocabulary

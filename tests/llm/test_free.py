@@ -297,6 +297,14 @@ def test_language_without_letters_or_labels(spark):
     assert {(r.lang_pred, r.score) for r in language.predict(rows, "text", model).collect()} == {("und", 0.0)}
 
 
+def test_number_signs_are_no_letters(spark):
+    texts = ["12 ² ½", "Ⅷ", "①②", "٣", "a²", "das Haus"]
+    rows = spark.createDataFrame([(i, t, "de") for i, t in enumerate(texts)], "doc_id int, text string, lang string")
+    model = language.fit(rows, "text", "lang", PATH)
+    got = {r.doc_id: r.lang_pred for r in language.predict(rows, "text", model).collect()}
+    assert got == {0: "und", 1: "und", 2: "und", 3: "und", 4: "de", 5: "de"}
+
+
 # ---- personal data, short and far away -----------------------------------------------------------
 def test_short_identifiers_and_far_context(spark):
     rows = [(i, f"my badge no user{i}@mail.example here") for i in range(40)]
