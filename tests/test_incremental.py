@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import time
 
 import numpy as np
 import pandas as pd
@@ -163,6 +164,56 @@ def test_fixations_stream_equals_batch(spark):
     pd.testing.assert_frame_equal(mine, every)
 
 
+STREAM = "clip string, sid bigint, t double, x double, y double"
+
+
+def written_samples(spark, n_files, seed, marks=()):
+    """The random clips, dealt over files at random; and their batch result."""
+    clips = {k: v for k, v in clip_samples().items() if k.startswith("random")}
+    rows = [(k, i, *s) for k, v in clips.items() for i, s in enumerate(v)]
+    base, rng = scratch(spark, "t-shuffled"), random.Random(seed)
+    dealt = [[] for _ in range(n_files)]
+    for r in rows:
+        rng.choice(dealt).append(r)
+    for part in [*dealt, *marks]:
+        spark.createDataFrame(part, STREAM).coalesce(1).write.mode("append").parquet(base)
+    batch = S.detect_fixations(spark.createDataFrame(rows, STREAM), min_seconds=.3)
+    return base, sorted(map(tuple, batch.select("clip", "start", "end", "n_samples").collect())), clips
+
+
+def closed(spark, out):
+    got = spark.read.schema("clip string, kind string, start double, end double, n_samples bigint").parquet(out)
+    assert got.where("kind <> 'fixation'").count() == 0
+    return sorted(map(tuple, got.select("clip", "start", "end", "n_samples").collect()))
+
+
+def test_shuffled_files_give_the_batch_result(spark):
+    ends = [(f"random {k}", None, None, None, None) for k in range(6)]
+    base, want, _ = written_samples(spark, 4, 1, [ends])
+    stream = spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).parquet(base)
+    out = scratch(spark, "t-fix")
+    (fixation_stream(stream, min_seconds=.3, slack=None).writeStream.format("parquet").option("path", out)
+     .option("checkpointLocation", scratch(spark, "t-state")).trigger(availableNow=True).start().awaitTermination())
+    assert closed(spark, out) == want
+
+
+def test_idle_clips_close_without_a_mark(spark):
+    base, want, _ = written_samples(spark, 2, 2)
+    out = scratch(spark, "t-fix")
+    stream = spark.readStream.schema(STREAM).option("maxFilesPerTrigger", 1).parquet(base)
+    q = (fixation_stream(stream, min_seconds=.3, slack=None, idle=8).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", scratch(spark, "t-state")).trigger(processingTime="500 milliseconds").start())
+    try:
+        for _ in range(120):
+            time.sleep(1)
+            if q.exception() or q.lastProgress and len(closed(spark, out)) >= len(want):
+                break
+        assert q.exception() is None
+    finally:
+        q.stop()
+    assert closed(spark, out) == want
+
+
 def test_consecutive_dedupe(spark):
     e = spark.createDataFrame([("v", 1, 1, [1.0, 0.0]), ("v", 2, 2, [.99, .1]), ("v", 3, 3, [.7, .7]), ("v", 4, 4, [1.0, 0.0]), ("w", 5, 1, [1.0, 0.0])],
                               "video string, episode_id int, start int, vec array<double>")
