@@ -439,10 +439,9 @@ def openie_clean(t: Tables) -> DataFrame:
 
 @query("response_repair", V.with_views("triples") + """
 , d AS (SELECT doc, max(p) AS flag, count(*) AS n FROM triples GROUP BY doc)
-SELECT CASE WHEN flag = 'R' THEN 'repaired' ELSE 'clean' END AS outcome, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_triples
-FROM d GROUP BY 1""")
+SELECT doc, CASE WHEN flag = 'R' THEN 'repaired' ELSE 'clean' END AS outcome, n AS n_triples FROM d""")
 def response_repair(t: Tables) -> DataFrame:
-    """Responses of every order, those of returned items cut off half way; outcome counts."""
+    """Responses of every order, those of returned items cut off half way; what became of each."""
     from ..operators.extraction import repaired
     raw = V.triples(t).groupBy("doc").agg(F.collect_list(F.array("s", "p", "o")).alias("triples"),
                                           F.max("p").alias("flag"))
@@ -450,5 +449,40 @@ def response_repair(t: Tables) -> DataFrame:
     cutoff = F.substring(text, F.lit(1), F.length(text) - 5)
     raw = raw.select("doc", F.when(F.col("flag") == "R", cutoff).otherwise(text).alias("response"))
     out = repaired(raw, "doc", "response", "triples array<array<string>>")
-    return out.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"),
-                                      F.sum(F.size("parsed.triples")).cast("bigint").alias("n_triples"))
+    return out.select("doc", "outcome", F.size("parsed.triples").cast("bigint").alias("n_triples"))
+
+
+#: What an agent may answer, by kind of turn; {q} stands for the words that it searches.
+DECISIONS = ("""{"decision": "search", "selected_memory": {"memory_type": "Visual", "search_query": "{q}"}}""",
+             """{"decision": "answer", "memory": "semantic"}""",
+             """Let me look: ```json {"decision": "Search", "memory": "semantic", "query": "{q}"} ``` as asked.""",
+             """{"decision": "search", "memory": "episodic", "query": "{q}", "why": "cut off""",
+             """I do not know.""",
+             """{"decision": "wait", "memory": "visual", "query": "{q}"}""")
+
+
+@query("decision_parse", """
+WITH c AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS kind, 'what did ' || role || ' say in turn ' || turn AS q FROM conversations)
+SELECT conv_id, turn, CASE WHEN kind IN (0, 2, 3) THEN 'search' ELSE 'answer' END AS decision,
+  CASE kind WHEN 0 THEN 'visual' WHEN 2 THEN 'semantic' WHEN 3 THEN 'episodic' END AS memory, CASE WHEN kind IN (0, 2, 3) THEN q END AS query FROM c""")
+def decision_parse(t: Tables) -> DataFrame:
+    """Every turn as an agent's answer: nested, plain, inside other text, cut off, without JSON, or with an unknown decision."""
+    from ..operators.extraction import decision
+    q = F.concat(F.lit("what did "), "role", F.lit(" say in turn "), F.col("turn").cast("string"))
+    form = F.element_at(F.array(*[F.lit(d) for d in DECISIONS]), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    said = t.conversations.select("conv_id", "turn", decision(F.replace(form, F.lit("{q}"), q)).alias("d"))
+    return said.select("conv_id", "turn", "d.decision", "d.memory", "d.query")
+
+
+@query("id_list", """
+SELECT conv_id, turn, CASE (conv_id + turn) % 3 WHEN 0 THEN '7,' || CASE WHEN conv_id = 7 THEN '' ELSE conv_id || ',' END || (conv_id * 3000000000 + 1)
+  WHEN 1 THEN CASE WHEN conv_id = turn THEN '' || turn ELSE turn || ',' || conv_id END ELSE '' END AS ids FROM conversations""")
+def id_list(t: Tables) -> DataFrame:
+    """Every turn as a response that names ids: a fenced list with one id twice and a very large one, a sentence, or none."""
+    from ..operators.extraction import id_list as ids
+    conv, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    large = (F.col("conv_id") * F.lit(3000000000).cast("bigint") + 1).cast("string")
+    kind = (F.col("conv_id") + F.col("turn")) % 3
+    said = (F.when(kind == 0, F.concat(F.lit("```json\n[7, "), conv, F.lit(", 7, "), large, F.lit("]\n```")))
+            .when(kind == 1, F.concat(F.lit("clips "), turn, F.lit(" and "), conv, F.lit(", then "), turn)).otherwise(F.lit("none of them")))
+    return t.conversations.select("conv_id", "turn", F.array_join(ids(said).cast("array<string>"), ",").alias("ids"))

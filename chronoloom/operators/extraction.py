@@ -134,6 +134,6 @@ def decision(text: Column | str) -> Column:
 
 def id_list(text: Column | str) -> Column:
     """Ids named by a response: a JSON list, else every integer in the text, first occurrence each."""
-    listed = F.from_json(strip_fences(text), "array<int>")
-    loose = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
+    listed = F.from_json(strip_fences(text), "array<bigint>")
+    loose = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("bigint"))
     return F.array_distinct(F.coalesce(listed, loose))

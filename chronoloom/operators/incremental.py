@@ -11,17 +11,23 @@ from pyspark.sql import types as T
 
 from .. import hooks
 from ..functions.text import hash_id
+from ..session import cut
 from .graph_build import facts, mentions
+from .store import BucketStore
 
 STORE = "hash_id string, content string, embedding array<float>"
 
 
 # --- vector store ---------------------------------------------------------------------------------
 
-def open_store(spark: SparkSession, path: str) -> DataFrame:
+def vector_store(spark: SparkSession, path: str) -> BucketStore:
     """The store at `path`; an empty one is made on first use."""
-    spark.createDataFrame([], STORE).write.mode("ignore").parquet(path)
-    return spark.read.schema(STORE).parquet(path)
+    return BucketStore(spark, path, STORE, "hash_id")
+
+
+def open_store(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of the store at `path`."""
+    return vector_store(spark, path).rows()
 
 
 def new_texts(store: DataFrame, texts: DataFrame, text: str, prefix: str) -> DataFrame:
@@ -32,14 +38,16 @@ def new_texts(store: DataFrame, texts: DataFrame, text: str, prefix: str) -> Dat
 
 def upsert(spark: SparkSession, path: str, texts: DataFrame, text: str, prefix: str = "",
            encoder: hooks.Encoder = hooks.hashed_words) -> None:
-    """Encode and append only the texts that are new; stored rows are left as they are."""
-    fresh = new_texts(open_store(spark, path), texts, text, prefix)
-    hooks.encode(fresh, "content", "embedding", encoder).write.mode("append").parquet(path)
+    """Encode and append only the texts that are new; only the buckets that the texts fall into are read."""
+    store = vector_store(spark, path)
+    fresh = new_texts(store.near(texts.select(hash_id(text, prefix).alias("hash_id"))), texts, text, prefix)
+    store.append(hooks.encode(fresh, "content", "embedding", encoder))
 
 
 def remove(spark: SparkSession, path: str, new_path: str, ids: DataFrame) -> None:
     """Write a version of the store without the given ids; the old version stays readable."""
-    open_store(spark, path).join(ids.select("hash_id"), "hash_id", "left_anti").write.parquet(new_path)
+    left = open_store(spark, path).join(ids.select("hash_id"), "hash_id", "left_anti")
+    vector_store(spark, new_path).append(left)
 
 
 def lookup(store: DataFrame, ids: DataFrame) -> DataFrame:
@@ -77,14 +85,16 @@ def cached_inference(spark: SparkSession, rows: DataFrame, prompt: str, cache_pa
                      waves: int = 1) -> DataFrame:
     """Rows with key, hit, response and error.
 
-    Every distinct prompt that is not cached is answered once. Answers are appended wave by wave, so a lost
+    Every distinct prompt that is not cached is answered once; of the cache, only the buckets of the prompts are read. Answers are appended wave by wave, so a lost
     job repeats at most one wave. A prompt that keeps failing gives an empty response and its error, and is
     not cached.
     """
-    spark.createDataFrame([], CACHE).write.mode("ignore").parquet(cache_path)
+    store = BucketStore(spark, cache_path, CACHE, "key")
     keyed = rows.withColumn("key", prompt_key(prompt, model, schema))
-    known = spark.read.schema(CACHE).parquet(cache_path).select("key").withColumn("hit", F.lit(True))
-    missing = keyed.select("key", F.col(prompt).alias("_prompt")).dropDuplicates(["key"]).join(known, "key", "left_anti")
+    asked = cut(keyed.select("key", F.col(prompt).alias("_prompt")).dropDuplicates(["key"]))
+    # Two runs that answered the same prompt at once both appended it; one answer per key is taken, always the same.
+    known = cut(store.near(asked).join(asked.select("key"), "key", "left_semi").groupBy("key").agg(F.min("response").alias("response")))
+    missing = asked.join(known, "key", "left_anti")
 
     def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -101,19 +111,13 @@ def cached_inference(spark: SparkSession, rows: DataFrame, prompt: str, cache_pa
                 errors.append(error)
             yield pd.DataFrame({"key": b["key"], "response": responses, "error": errors})
 
-    from ..session import cut, scratch
-    hits_before = cut(keyed.select("key").distinct().join(known, "key", "left_semi").withColumn("hit", F.lit(True)))
-    failed_path = scratch(spark, "failed-calls")
+    answered = known.select("key", "response", F.lit(None).cast("string").alias("error"), F.lit(True).alias("hit"))
     for wave in range(waves):
         part = missing.where(F.pmod(F.xxhash64("key"), F.lit(waves)) == wave)
         done = cut(part.mapInPandas(call, "key string, response string, error string"))
-        done.where("error IS NULL").select("key", "response").write.mode("append").parquet(cache_path)
-        done.where("error IS NOT NULL").select("key", "error").write.mode("append").parquet(failed_path)
-    # Two runs that answer the same prompt at once both append it; one answer per key is taken, always the same.
-    cache = spark.read.schema(CACHE).parquet(cache_path).groupBy("key").agg(F.min("response").alias("response"))
-    failed = spark.read.schema("key string, error string").parquet(failed_path)
-    return (keyed.join(hits_before, "key", "left").join(cache, "key", "left").join(failed, "key", "left")
-            .withColumn("hit", F.coalesce("hit", F.lit(False)))
+        store.append(done.where("error IS NULL"))
+        answered = answered.unionByName(done.withColumn("hit", F.lit(False)))
+    return (keyed.join(answered, "key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
             .withColumn("response", F.coalesce("response", F.lit(""))))
 
 
@@ -130,7 +134,7 @@ class TimedIndex:
     def __init__(self, spark: SparkSession, path: str, like: DataFrame, key: str, end: str):
         self.spark, self.path, self.key, self.end = spark, path, key, end
         self.schema = T.StructType([*like.schema.fields, T.StructField("_call", T.LongType())])
-        spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{path}/entries")
+        self.store = BucketStore(spark, f"{path}/entries", self.schema, key)
         spark.createDataFrame([], "mark bigint").write.mode("ignore").parquet(f"{path}/marks")
 
     def mark(self) -> int | None:
@@ -138,14 +142,18 @@ class TimedIndex:
 
     def entries(self) -> DataFrame:
         """One row per key, also where two calls appended it at once."""
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/entries").dropDuplicates([self.key])
+        return self.store.rows().dropDuplicates([self.key])
+
+    def take(self, rows: DataFrame, until: int) -> None:
+        """Append the rows whose keys are not stored yet; only their buckets are read."""
+        fresh = rows.join(self.store.near(rows).select(self.key), self.key, "left_anti")
+        self.store.append(fresh.withColumn("_call", F.lit(until).cast("bigint")))
 
     def advance(self, rows: DataFrame, until: int) -> bool:
         mark = self.mark()
         if mark is not None and until <= mark:
             return False
-        fresh = rows.where(F.col(self.end) <= until).join(self.entries().select(self.key), self.key, "left_anti")
-        fresh.select(*rows.columns).withColumn("_call", F.lit(until).cast("bigint")).write.mode("append").parquet(f"{self.path}/entries")
+        self.take(rows.where(F.col(self.end) <= until), until)
         self.spark.createDataFrame([(until,)], "mark bigint").write.mode("append").parquet(f"{self.path}/marks")
         return True
 

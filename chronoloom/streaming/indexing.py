@@ -25,9 +25,8 @@ def index_stream(stream: DataFrame, index: TimedIndex, checkpoint: str) -> Strea
             rows.unpersist()
             return
         mark = index.mark()
-        fresh = rows.join(index.entries().select(index.key), index.key, "left_anti")
         until = int(top if mark is None else max(top, mark))
-        fresh.select(*rows.columns).withColumn("_call", F.lit(until).cast("bigint")).write.mode("append").parquet(f"{index.path}/entries")
+        index.take(rows, until)
         if mark is None or until > mark:
             index.spark.createDataFrame([(until,)], "mark bigint").write.mode("append").parquet(f"{index.path}/marks")
         rows.unpersist()

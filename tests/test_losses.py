@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import timekeys as K
 from chronoloom.operators import graph, incremental
+from chronoloom.operators.store import BucketStore
 from chronoloom.sources.captions import read_captions, read_snapshots, read_srt
 
 BLOCKS = ["1\n00:00:01,000 --> 00:00:02,500\nfirst\nline", "2\n00:01:00,000 --> 00:01:01,000\nsecond"]
@@ -36,8 +37,8 @@ def test_doubled_cache_entries_do_not_multiply(spark, tmp_path):
     path = str(tmp_path / "cache")
     rows = spark.createDataFrame([("hello",)], "prompt string")
     first = incremental.cached_inference(spark, rows, "prompt", path).collect()
-    spark.read.parquet(path).write.mode("append").parquet(path + "2")
-    spark.read.parquet(path).write.mode("append").parquet(path + "2")
+    for _ in range(2):
+        BucketStore(spark, path + "2", incremental.CACHE, "key").append(BucketStore(spark, path, incremental.CACHE, "key").rows())
     again = incremental.cached_inference(spark, rows, "prompt", path + "2").collect()
     assert len(first) == len(again) == 1 and again[0].hit and again[0].response == first[0].response
 
