@@ -176,14 +176,39 @@ def bootstrap_ci(t: Tables) -> DataFrame:
     return S.bootstrap_interval(_diffs(t), "d", draws=10000, seed=1)
 
 
-@query("signed_rank_test", """
-WITH p AS (SELECT o_orderpriority AS g, round(ln((o_custkey % 300 + 1) / (o_orderkey % 280 + 1)), 12) AS d FROM orders),
+def signed_rank_sql(group: str) -> str:
+    """Sums of signed ranks; `d` counts the sign patterns for every number of ranks up to 50, one rank more in each step."""
+    poly = "0"
+    for term in reversed(S.ERF_TERMS):
+        poly = f"t * ({term} + {poly})"
+    return f"""
+WITH RECURSIVE p AS (SELECT {group} AS g, round(ln((o_custkey % 300 + 1) / (o_orderkey % 280 + 1)), 12) AS d FROM orders),
 r AS (SELECT g, d, rank() OVER (PARTITION BY g ORDER BY abs(d)) + (count(*) OVER (PARTITION BY g, abs(d)) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY g, abs(d)) AS tie FROM p WHERE d <> 0),
-s AS (SELECT g, count(*) AS n, count(CASE WHEN d > 0 THEN 1 END) AS better, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w, sum(tie * tie - 1) AS ties FROM r GROUP BY g)
-SELECT g, n, better, n - better AS worse, CAST(w AS DOUBLE) AS w, round((w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48), 6) AS z FROM s""")
+s AS (SELECT g, count(*) AS n, count(CASE WHEN d > 0 THEN 1 END) AS better, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w, sum(tie * tie - 1) AS ties FROM r GROUP BY g),
+z AS (SELECT *, CASE WHEN n >= 10 THEN (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48) END AS z,
+  CASE WHEN n >= 10 THEN CASE WHEN n <= 50 AND ties = 0 THEN 'exact' ELSE 'normal' END END AS method FROM s),
+d(k, c) AS (SELECT 0::BIGINT, [1::DOUBLE] UNION ALL
+  SELECT k + 1, list_transform(range(0, (k + 1) * (k + 2) // 2 + 1), lambda i: coalesce(c[i + 1], 0) + CASE WHEN i > k THEN coalesce(c[i - k], 0) ELSE 0 END) FROM d WHERE k < 50),
+e AS (SELECT *, 1 / (1 + {S.ERF_SCALE} * abs(z) / sqrt(2)) AS t FROM z LEFT JOIN d ON d.k = z.n AND method = 'exact')
+SELECT g, n, better, n - better AS worse, CAST(w AS DOUBLE) AS w, round(z, 6) AS z, method,
+  round(CASE method WHEN 'exact' THEN least(1, 2 * least(list_sum(c[1:CAST(w AS BIGINT) + 1]), list_sum(c[CAST(w AS BIGINT) + 1:])) / 2 ** n)
+    WHEN 'normal' THEN {poly} * exp(-z * z / 2) END, 6) AS p FROM e"""
+
+
+def _signed_rank(t: Tables, group: str) -> DataFrame:
+    p = t.orders.select(F.col(group).alias("g"), (F.col("o_custkey") % 300 + 1).alias("a"), (F.col("o_orderkey") % 280 + 1).alias("b"))
+    return S.signed_rank(p, "g", "a", "b").withColumns({c: F.round(c, 6) for c in ("z", "p")})
+
+
+@query("signed_rank_test", signed_rank_sql("o_orderpriority"))
 def signed_rank_test(t: Tables) -> DataFrame:
-    p = t.orders.select(F.col("o_orderpriority").alias("g"), (F.col("o_custkey") % 300 + 1).alias("a"), (F.col("o_orderkey") % 280 + 1).alias("b"))
-    return S.signed_rank(p, "g", "a", "b").select("g", "n", "better", "worse", "w", F.round("z", 6).alias("z"))
+    return _signed_rank(t, "o_orderpriority")
+
+
+@query("signed_rank_exact", signed_rank_sql("o_custkey"))
+def signed_rank_exact(t: Tables) -> DataFrame:
+    """A test per customer: few orders each, so that sign patterns are counted out where no sizes tie."""
+    return _signed_rank(t, "o_custkey")
 
 
 @query("correlation", """

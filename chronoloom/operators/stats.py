@@ -158,18 +158,48 @@ def bootstrap_interval(diffs: DataFrame, diff: str, draws: int = 10000, seed: in
     return center.join(ends, "_k").drop("_k")
 
 
+# Abramowitz and Stegun 7.1.26, an approximation of the error function to 1.5e-7.
+ERF_SCALE = 0.3275911
+ERF_TERMS = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+
+
 def _normal_tail(z: Column) -> Column:
-    """Two-sided normal tail; Abramowitz and Stegun 7.1.26, error below 1.5e-7."""
+    """Two-sided normal tail."""
     x = F.abs(z) / F.lit(math.sqrt(2))
-    t = F.lit(1.0) / (F.lit(1.0) + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+    t = F.lit(1.0) / (F.lit(1.0) + ERF_SCALE * x)
+    poly = F.lit(0.0)
+    for term in reversed(ERF_TERMS):
+        poly = t * (F.lit(term) + poly)
     return poly * F.exp(-x * x)
 
 
+#: Up to so many differences without ties the distribution of the rank sum is counted out.
+EXACT_RANKS = 50
+
+
+def _exact_rank_tail(n: Column, w: Column) -> Column:
+    """Two-sided p of a sum of signed ranks 1 to n. counts[s] is in how many of the 2^n sign patterns the positive ranks sum to s;
+    rank by rank, each pattern goes on without the rank or with it. All counts are whole numbers below 2^53."""
+    n = n.cast("int")
+    sums = (n * (n + 1) / 2).cast("int") + 1
+    none = F.transform(F.sequence(F.lit(0), sums - 1), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
+    counts = F.aggregate(F.sequence(F.lit(1), n), none, lambda c, rank: F.transform(
+        c, lambda v, s: v + F.when(s >= rank, F.get(c, s - rank)).otherwise(0.0)))
+    at = w.cast("int")
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0.0), lambda a, v: a + v)
+
+    tails = F.element_at(F.transform(F.array(counts), lambda c: F.least(
+        total(F.slice(c, F.lit(1), at + 1)), total(F.slice(c, at + 1, sums - at)))), 1)
+    return F.least(F.lit(1.0), 2 * tails / F.pow(F.lit(2.0), n))
+
+
 def signed_rank(pairs: DataFrame, by: str, a: str, b: str, least: int = 10) -> DataFrame:
     """Wilcoxon test on log rank differences per group, with better : worse counts.
 
-    Normal approximation with tie correction; groups with fewer than `least` non-zero differences have no p.
+    Up to EXACT_RANKS non-zero differences without ties, p counts out all sign patterns (method `exact`); otherwise it is the
+    normal approximation with tie correction (`normal`). Groups with fewer than `least` non-zero differences have no p.
     """
     d = F.round(F.log(F.col(a) / F.col(b)), 12)
     rows = pairs.select(by, d.alias("d")).where("d <> 0").select(by, F.abs("d").alias("size"), (F.col("d") > 0).alias("up"))
@@ -181,5 +211,7 @@ def signed_rank(pairs: DataFrame, by: str, a: str, b: str, least: int = 10) -> D
     n = F.col("n").cast("double")
     var = n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48.0
     z = (F.col("w") - n * (n + 1) / 4) / F.sqrt(var)
-    return out.select(by, "n", "better", (F.col("n") - F.col("better")).alias("worse"), "w",
-                      F.when(F.col("n") >= least, z).alias("z"), F.when(F.col("n") >= least, _normal_tail(z)).alias("p"))
+    enough, exact = F.col("n") >= least, (F.col("n") <= EXACT_RANKS) & (F.col("ties") == 0)
+    p = F.when(enough & exact, _exact_rank_tail(F.col("n"), F.col("w"))).when(enough, _normal_tail(z))
+    return out.select(by, "n", "better", (F.col("n") - F.col("better")).alias("worse"), "w", F.when(enough, z).alias("z"), p.alias("p"),
+                      F.when(enough & exact, "exact").when(enough, "normal").alias("method"))

@@ -307,6 +307,23 @@ def test_signed_rank_needs_ten(spark):
     assert got["few"][2] is None and got["many"][:2] == (20, 20) and got["many"][2] < .001
 
 
+def test_signed_rank_counts_out_small_groups(spark):
+    rng, rows, want = random.Random(4), [], {}
+    for g, n in (("ten", 10), ("twelve", 12), ("all up", 11)):
+        sizes = rng.sample(range(2, 400), n)
+        ups = [g == "all up" or rng.random() < .6 for _ in sizes]
+        rows += [(g, s, 1) if u else (g, 1, s) for s, u in zip(sizes, ups, strict=True)]
+        ranks = [sorted(sizes).index(s) + 1 for s in sizes]
+        w = sum(r for r, u in zip(ranks, ups, strict=True) if u)
+        sums = [sum(r for r, u in zip(ranks, signs, strict=True) if u) for signs in itertools.product((0, 1), repeat=n)]
+        want[g] = min(1, 2 * min(sum(s <= w for s in sums), sum(s >= w for s in sums)) / len(sums))
+    rows += [("tied", 3, 1)] * 12 + [("many", 3 + i, 2 + 2 * i % 7) for i in range(90)]
+    got = {r["g"]: (r["method"], r["p"]) for r in T.signed_rank(spark.createDataFrame(rows, "g string, a int, b int"), "g", "a", "b").collect()}
+    for g, p in want.items():
+        assert got[g][0] == "exact" and got[g][1] == pytest.approx(p, abs=1e-12)
+    assert got["tied"][0] == got["many"][0] == "normal"
+
+
 def test_srt_rules(spark, tmp_path):
     text = "1\n00:00:05,120 --> 00:00:07,500\n中文\nhello there\n\n2\n01:00:08,000 --> 01:00:09,000\n \n\n3\n00:10:00,000 --> 00:10:01,000\none\n two \n"
     (tmp_path / "A_07000000.srt").write_text(text, encoding="utf-8")
