@@ -9,6 +9,7 @@ from ..functions import text as X
 from ..functions import timekeys as K
 from ..operators import intervals as I
 from ..operators import lookups as L
+from ..operators.ordered import row_numbers
 from ..operators.vectors import topk
 from . import views as V
 from .registry import Tables, query
@@ -23,6 +24,20 @@ def visible_join(t: Tables) -> DataFrame:
     return I.visible_counts(V.points(t), V.clips(t), "qt", "ce").select("qid", "n_visible", "last_end")
 
 
+@query("visible_pairs", PC + """
+, people AS (SELECT count(DISTINCT clip_stream) AS n FROM clips), names AS (SELECT clip_stream AS stream, row_number() OVER (ORDER BY clip_stream) - 1 AS no FROM (SELECT DISTINCT clip_stream FROM clips))
+SELECT p.qid, c.clip, p.qt - c.ce AS gap FROM points p JOIN names ON no = cust % (SELECT n FROM people)
+JOIN clips c ON c.clip_stream = names.stream AND c.ce <= p.qt AND c.ce >= p.qt - 86400""")
+def visible_pairs(t: Tables) -> DataFrame:
+    """Each point belongs to one person's stream and sees the clips of that stream that ended within the day before."""
+    clips = V.clips(t).select("clip", "ce", F.col("clip_stream").alias("stream"))
+    names = row_numbers(clips.select("stream").distinct(), [], ["stream"], "no")
+    n = names.count()
+    points = V.points(t).select("qid", "qt", (F.col("cust") % n + 1).alias("no")).join(names, "no")
+    pairs = I.visible_join(points, clips, "qt", "ce", 3600.0, 86400.0, ["stream"])
+    return pairs.select("qid", "clip", (F.col("qt") - F.col("ce")).alias("gap"))
+
+
 @query("asof_snapshot", PC + """
 , snaps AS (SELECT cs // 21600 * 21600 AS snap, clip_text, count(*) AS n FROM clips GROUP BY ALL),
 latest AS (SELECT p.qid, max(s.snap) AS snap FROM points p JOIN snaps s ON s.snap <= p.qt GROUP BY p.qid)

@@ -256,6 +256,21 @@ def mixture_interleave(t: Tables) -> DataFrame:
     return S.mixture(t.documents.select("doc_id", "lang"), "lang", "doc_id", {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, 4, "m")
 
 
+@query("mixture_wrapped", """
+WITH n AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang),
+s0 AS (SELECT unnest(range(0, (SELECT 4 * count(*) + 64 FROM documents))) AS slot),
+s1 AS (SELECT slot, CAST('0x' || substr(md5('m|' || slot), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM s0),
+s2 AS (SELECT slot, CASE WHEN u < 0.5 THEN 'en' WHEN u < 0.5 + 0.2 THEN 'fr' WHEN u < 0.5 + 0.2 + 0.2 THEN 'de' ELSE 'es' END AS lang FROM s1),
+s3 AS (SELECT slot, s2.lang, size, (row_number() OVER (PARTITION BY s2.lang ORDER BY slot) - 1) * 4 AS b FROM s2 JOIN n ON n.lang = s2.lang),
+e AS (SELECT max(s) AS last FROM (SELECT lang, min(slot) AS s FROM s3 WHERE b + 4 >= size GROUP BY lang)),
+s4 AS (SELECT slot, lang, size, unnest(range(b, b + 4)) AS place, b FROM s3 WHERE slot <= (SELECT last FROM e)),
+d AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('m|' || doc_id), doc_id) - 1 AS place FROM documents)
+SELECT slot, s4.place - b AS pos, s4.lang, doc_id FROM s4 JOIN d ON d.lang = s4.lang AND d.place = s4.place % size""")
+def mixture_wrapped(t: Tables) -> DataFrame:
+    """Sources start again until each was used up once."""
+    return S.mixture(t.documents.select("doc_id", "lang"), "lang", "doc_id", {"en": 0.5, "fr": 0.2, "de": 0.2, "es": 0.1}, 4, "m", "all_exhausted")
+
+
 @query("case_selection", """
 WITH p AS (SELECT o_orderkey, o_custkey % 300 + 1 AS a, o_orderkey % 280 + 1 AS b FROM orders)
 SELECT o_orderkey, a, b, round(-ln(b / a), 6) AS gain FROM p WHERE b < a ORDER BY round(-ln(b / a), 9) DESC, o_orderkey LIMIT 25""")
