@@ -376,3 +376,92 @@ def test_stages_on_odd_rows(spark, request, which):
         assert which != "empty" or out.count() == 0
         out.collect()
     assert mixing.BUCKETS and corpus_pipeline.run(spark, root).count() >= 0
+
+
+# ---- personal data, evidence ---------------------------------------------------------------------
+PHRASES = ("staff number", "ticket holder", "reach them under", "account of")
+
+
+def planted_identifiers():
+    """Texts with base identifiers and unseen ones in four contexts, and numbers after everyday words: (rows, unseen tokens)."""
+    rnd, rows, unseen = random.Random(3), [], {}
+    filler = "the of and in to a on house river then ran under number holder it 12 of 1999 the 7 and 30 in 250 was".split()
+    for i in range(600):
+        phrase, words = rnd.choice(PHRASES), [rnd.choice(filler) for _ in range(40)]
+        if rnd.random() < 0.75:
+            value = rnd.choice([f"u{i}@mail.example.org", f"+1 ({rnd.randint(200, 999)}) 555-{rnd.randint(1000, 9999)}", f"10.1.{i % 250}.{i % 199}"])
+        else:
+            value = f"Q{rnd.randint(10, 99)}-{i:04d}"
+            unseen[i] = value
+        rows.append((i, " ".join([*words[:20], phrase, value, *words[20:]])))
+    return rows, unseen
+
+
+def test_bootstrapped_contexts_are_precise_and_whole(spark):
+    rows, unseen = planted_identifiers()
+    got = pii.find_personal(spark.createDataFrame(rows, "doc_id int, text string"), "doc_id", "text").collect()
+    found = {(r.doc_id, dict(rows)[r.doc_id][s.start:s.end]) for r in got for s in r.context}
+    right = found & set(unseen.items())
+    assert len(right) >= 0.9 * len(unseen) and len(right) >= 0.9 * len(found)
+
+
+def plain_patterns(rows, min_score=0.6, min_instances=5, damping=2.0, tolerance=0.001):
+    """Accepted (side, words) in plain Python, from texts whose base matches are single tokens."""
+    edges, places, seeds = collections.Counter(), collections.Counter(), set()
+    for _, t in rows:
+        w = t.lower().split()
+        grams = [*w, *map(" ".join, zip(w, w[1:], strict=False))]
+        places.update(grams)
+        base = [(a, b) for _, a, b in base_personal(t)]
+        for i, m in enumerate(re.finditer(r"\S+", t)):
+            if re.search("[0-9@]", m[0]):
+                value = m[0].lower()
+                if any(a < m.end() and m.start() < b for a, b in base):
+                    seeds.add(value)
+                near = {"before": w[i - 1:i] if i else [], "two before": w[i - 2:i] if i > 1 else [], "after": w[i + 1:i + 2], "two after": w[i + 1:i + 3]}
+                for side, c in near.items():
+                    if len(c) == 1 + side.startswith("two"):
+                        edges[side, " ".join(c), value] += 1
+    held = collections.Counter()
+    for (side, _, v), n in edges.items():
+        held[side, v] += n
+    score, old = dict.fromkeys(seeds, 1.0), {}
+    while True:
+        total, kinds = collections.Counter(), collections.Counter()
+        for (side, c, v), n in edges.items():
+            total[side, c] += n * score.get(v, 0)
+            kinds[side, c] += score.get(v, 0) > 0
+        now = {p: s / (places[p[1]] + damping) for p, s in total.items()}
+        good = {p: s for p, s in now.items() if s >= min_score and kinds[p] >= min_instances}
+        if old and max(now[p] - old[p] for p in now) <= tolerance:
+            return good
+        old, given = now, collections.Counter()
+        for (side, c, v), n in edges.items():
+            given[side, v] += n / held[side, v] * good.get((side, c), 0)
+        score = {v: 1.0 if v in seeds else max(given[s, v] for s in ("before", "two before", "after", "two after")) for _, _, v in edges}
+
+
+def test_pattern_scores_against_plain_python(spark):
+    rnd, rows = random.Random(8), []
+    for i in range(400):
+        words = [rnd.choice("a b c d e f 1 2 3 x9 y8".split()) for _ in range(12)]
+        at = rnd.randrange(1, 11)
+        words[at:at] = [rnd.choice(["mail", "write to", "seat", "a"]), rnd.choice([f"u{i % 40}@x.org", f"u{i % 40}@x.org", f"k-{i % 9}"])]
+        rows.append((i, " ".join(words)))
+    want = plain_patterns(rows)
+    texts = spark.createDataFrame(rows, "doc_id int, text string")
+    kept = []
+    original = pii.score_patterns
+    try:
+        pii.score_patterns = lambda *a: kept.append(original(*a)) or kept[0]
+        out = pii.find_personal(texts, "doc_id", "text").collect()
+    finally:
+        pii.score_patterns = original
+    got = {(r.side, r.words): r.score for r in kept[0].collect()}
+    assert want and got.keys() == want.keys()
+    assert all(abs(got[p] - want[p]) < 0.002 for p in want) and any(r.context for r in out)
+
+
+def test_everyday_words_are_no_patterns(spark):
+    out = QUERIES["op6_pii"](spark, "/root/testdata/sf0.1").agg({"n_context": "sum"}).first()[0]
+    assert out == 0
