@@ -132,3 +132,20 @@ def test_holm_and_average_ranks(spark):
     assert got == {"a": 0.04, "b": 0.09, "c": 0.09, "d": 0.5}
     v = spark.createDataFrame([(1, x) for x in (5, 7, 7, 9)], "g int, v int")
     assert {r["v"]: r["avg_rank"] for r in Q.average_ranks(v, ["g"], "v").collect()} == {5: 1.0, 7: 2.5, 9: 4.0}
+
+
+def test_scales_at_once_equal_scales_in_turn(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(i % 3, rnd.choice([None, rnd.randrange(40, 9000)]) if i % 11 == 0 else rnd.randrange(40, 9000), f"i{i:03d}",
+             rnd.choice([None, f"t{i}"]), f"p{i}") for i in range(200)] + [(3, 17, "x", None, "p"), (3, 17, "w", None, "q")]
+    df = spark.createDataFrame(rows, "stream int, start_sec bigint, item_id string, text string, path string")
+    scales = (70, 300, 900, 4000)
+    at_once = W.multiscale(df, ["stream"], scales)
+    in_turn = W.multiscale(df, ["stream"], scales, summary=lambda text: text)
+    columns = sorted(at_once.columns)
+    def listed(out):
+        return sorted(map(repr, out.select(*columns).collect()))
+    assert sorted(in_turn.columns) == columns and listed(at_once) == listed(in_turn)
+    # The first grouping of items, the starts, and all scales: three exchanges however many scales there are.
+    assert at_once._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 3
