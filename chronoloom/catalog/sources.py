@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timekeys as K
@@ -28,11 +28,14 @@ def src_captions(t: Tables) -> DataFrame:
     scale = F.lit("other")
     for text, name in SCALE.items():
         scale = F.when(F.col("text") == text, name).otherwise(scale)
-    item = F.struct("start_sec", "id", "text", "start_time", F.col("start_time").alias("end_time"), "date",
-                    F.concat(F.lit("u"), F.col("stream").cast("string"), F.lit(".mp4")).alias("video_path"))
-    files = c.withColumn("scale", scale).groupBy("scale", "day").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    item = F.to_json(F.struct("start_sec", "id", "text", "start_time", F.col("start_time").alias("end_time"), "date",
+                              F.concat(F.lit("u"), F.col("stream").cast("string"), F.lit(".mp4")).alias("video_path")))
+    of_file = Window.partitionBy("scale", "day").orderBy("start_sec", "id")     # the order in which the lines are written, too
+    first, last = F.lag(F.lit(1)).over(of_file).isNull(), F.lead(F.lit(1)).over(of_file).isNull()
+    lines = c.withColumn("scale", scale).select(
+        F.concat(F.when(first, "[").otherwise(""), item, F.when(last, "]").otherwise(",")).alias("value"), "scale", "day")
     path = scratch(t.spark, "captions")
-    files.select(F.to_json("items").alias("value"), "scale").write.partitionBy("scale").option("maxRecordsPerFile", 1).text(path)
+    lines.write.partitionBy("scale", "day").text(path)
     read = C.read_captions(t.spark, {s: f"{path}/scale={s}" for s in (*SCALE.values(), "other")})
     return read.select("id", "granularity", "pos", "date", "start_time", "video_path")
 

@@ -8,31 +8,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_split import members, pieces
+
 CAPTION = "text string, start_time string, end_time string, date string, video_path string"
 #: The known time scales.
 SCALES = ("30sec", "3min", "10min", "1h")
 
 
-def _parsed(kind: str) -> Column:
-    """The file's JSON; a malformed or cut-off file fails the read and is named, instead of giving no rows."""
-    return F.coalesce(F.from_json("value", kind), F.raise_error(F.concat(F.lit("malformed JSON in "), F.col("_metadata.file_path"))))
+def _parsed(text: Column, kind: str) -> Column:
+    """The value of a JSON text, null for null; a malformed one fails the read and its file is named, instead of giving no rows."""
+    wrong = F.raise_error(F.concat(F.lit("malformed JSON in "), F.col("file")))
+    return F.when(text.isNotNull(), F.coalesce(F.from_json(text, kind), wrong))
 
 
 def read_captions(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
     """JSON arrays of captions, one file per recording and scale; unknown scales are skipped.
 
-    The id is `{scale}_{position in the array}`, so a file is one row until it is exploded.
+    The id is `{scale}_{position in the array}`. Large files are split: a row is one caption, never a file.
     """
-    parts = []
-    for scale, path in paths.items():
-        if scale not in SCALES:
-            continue
-        files = spark.read.option("wholetext", True).text(path).select(
-            _parsed(f"array<struct<{_inline(CAPTION)}>>").alias("items"), F.col("_metadata.file_path").alias("file"))
-        items = files.select("file", F.posexplode("items").alias("pos", "c"))
-        parts.append(items.select("file", F.lit(scale).alias("granularity"), "pos",
-                                  F.concat(F.lit(scale + "_"), F.col("pos").cast("string")).alias("id"), "c.*"))
-    return reduce(DataFrame.unionByName, parts)
+    parts = [pieces(spark, path).withColumn("granularity", F.lit(scale)) for scale, path in paths.items() if scale in SCALES]
+    found = members(reduce(DataFrame.unionByName, parts), ["granularity", "file"], "array")
+    caption = _parsed(F.concat(F.lit("["), "value", F.lit("]")), f"array<struct<{_inline(CAPTION)}>>")[0]
+    return found.withColumn("c", caption).select(
+        "file", "granularity", "pos", F.concat(F.col("granularity"), F.lit("_"), F.col("pos").cast("string")).alias("id"), "c.*")
 
 
 def _inline(ddl: str) -> str:
@@ -42,10 +40,11 @@ def _inline(ddl: str) -> str:
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Maps time -> triples, one JSON object per file; triples of fewer than three parts are dropped.
 
-    The id keeps the position before the drop.
+    The id keeps the position before the drop. Large files are split: a row is one snapshot, until its triples are exploded.
     """
     kind = "map<string, struct<consolidated_semantic_triples: array<array<string>>>>"
-    maps = spark.read.option("wholetext", True).text(path).select(_parsed(kind).alias("m"))
+    entries = members(pieces(spark, path), ["file"], "map")
+    maps = entries.select(_parsed(F.concat(F.lit("{"), "value", F.lit("}")), kind).alias("m"))
     rows = maps.select(F.explode("m").alias("ts", "v")).select(
         "ts", F.posexplode("v.consolidated_semantic_triples").alias("pos", "t"))
     rows = rows.where(F.size("t") >= 3)
