@@ -5,7 +5,9 @@ Patterns: `assign` (a credential's name, a separator and a value of six or more
 
 Guess cost: a value is cut into words of a public vocabulary, dates, repeats, keyboard walks and single brute-force
 characters; dynamic programming over its positions finds the cut with the fewest guesses. Values of any length are
-costed whole, in time that grows with their length. A value ends at a blank, a quote or one of `<>|,;`.
+costed whole, in time that grows with their length; words and repeated units may have up to 24 characters. A value in
+quotes ends at the same quote (not after a backslash). Any other one ends at a blank, at `</`, or at one of `,;|` before
+a name with `:` or `=`; quotes and `,;|<>` at its end are not part of it. Values in quotes that hold blanks are taken as bare.
 
 A value after wider credential words (`pwd is ...`, `passphrase: ...`, `Bearer ...`, also as the last part of a longer
 name, `aws_secret_access_key=...`) counts as a secret, kind `guess`, if that cost reaches `min_bits` and no single
@@ -32,10 +34,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: The names of ASSIGN anywhere; others at the start of a name part: no letter before, or a capital after a small letter.
-CONTEXT = re.compile(r"""(?:password|passwd|secret|token|api_?key|"""
-                     r"""(?:(?<![A-Z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"""
-                     r"""(?:pwd|pass(?:phrase|code)?|credentials?|bearer|login|auth(?:[_-]?token)?|(?:private|access|secret|api)[_-]?key))"""
-                     r"""(?:\b["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*["']?(?:bearer\x20+)?|(?<=bearer)\x20+["']?)([^\s"'<>|,;]{6,})""", re.I | re.A)
+NAME = (r"""(?:password|passwd|secret|token|api_?key|"""
+        r"""(?:(?<![A-Z])|(?-i:(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])))"""
+        r"""(?:pwd|pass(?:phrase|code)?|credentials?|bearer|login|auth(?:[_-]?token)?|(?:private|access|secret|api)[_-]?key))""")
+GIVES = r"""(?:\b["']?\x20*(?:[:=]|\x20is\x20|=>)\x20*|(?<=bearer)\x20+)"""
+#: Up to the quote that opens the value, else up to a blank, a closing tag or the next named value.
+QUOTED = "|".join(rf"""{q}(?:bearer\x20+)?((?:[^{q}\s\\]|\\\S){{6,}}){q}""" for q in "\"'")
+BARE = r"""(?!"[^"\s]*"|'[^'\s]*')["']?(?:bearer\x20+)?((?:(?!</|[,;|]["']?[\w.-]+["']?\x20*[:=])\S){6,})"""
+CONTEXT = re.compile(f"{NAME}{GIVES}(?:{QUOTED}|{BARE})", re.I | re.A)
+AFTER = "\"',;|<>"
 MIN_BITS = 45.0
 
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
@@ -157,10 +164,14 @@ def spans_of(text: str | None, words: dict[str, int], min_bits: float, rests: bo
     low = text.lower()
     if separated or " is " in low or "bearer " in low:
         for m in CONTEXT.finditer(text):
-            start, end = m.span(1)
+            start, end = m.span(m.lastindex)
+            if m.lastindex == 3:                # a bare value
+                end = start + len(m[3].rstrip(AFTER))
+                if end - start < 6:
+                    continue
             met = [(a, b) for _, a, b, _ in base if a < end and start < b]
             if not any(a <= start and end <= b for a, b in met):
-                bits = guess_bits(m[1], words)
+                bits = guess_bits(text[start:end], words)
                 if bits >= min_bits or (rests and met):
                     found.append(("guess", start, end, round(bits, 3)))
     order = {k: i for i, k in enumerate((*KINDS, "guess"))}

@@ -98,6 +98,30 @@ def test_names_with_parts_and_bearer_tokens():
         assert guesses(t) == []
 
 
+def test_values_with_delimiters_are_taken_whole(spark):
+    words = secrets.vocabulary(secrets.default_vocabulary())
+
+    def guesses(t):
+        return [t[a:b] for k, a, b, _ in secrets.spans_of(t, words, secrets.MIN_BITS) if k == "guess"]
+
+    mixed = 'ab"cdEF!234$%^xyzQ'
+    for before, after in (("password: ", ""), ("password: ", " end"), ("pwd = ", ", and"), ("pwd is '", "' x"), ("<b>passphrase: ", "</b><br>x")):
+        assert guesses(before + mixed + after) == [mixed]
+    for value in ("abc<def>9!XyZ@@QQ", "q7;Zt!9,pLw2|xx#Kw", "q7#Zt!9pLw2@xx;user=1"):
+        for q in "\"'":
+            for after in ("", ", 'next': 1", ";"):
+                assert guesses(f"client_secret = {q}{value}{q}{after}") == [value]
+    assert guesses("db_pwd=q7;Zt!9,pLw2|xx#Kw end") == ["q7;Zt!9,pLw2|xx#Kw"]
+    assert guesses(r'{"passphrase": "q7#Zt\"9pLw2@xx", "a": 1}') == [r'q7#Zt\"9pLw2@xx']
+    assert guesses('{"auth": "Bearer q7#Zt!9pLw2@xx", "a": 1}') == ["q7#Zt!9pLw2@xx"]
+    # What follows a weak value does not make it strong.
+    for t in ('{"password":"x","user":"bobby-q7#Zt!9pLw2@xx"}', '{"token":12345678,"user":"q7#Zt!9pLw2@xx"}', "login=abcdef;path=/q7#Zt!9pLw2@xx",
+              "<i>pwd: dragon</i><u>q7#Zt!9pLw2@xx</u>", "passcode: hello,", "the passphrase is 'open sesame', said Ali", "pwd=,,,,,,,,,", "pwd="):
+        assert guesses(t) == [], t
+    rows = spark.createDataFrame([(0, f"a password: {mixed} b"), (1, "client_secret = 'abc<def>9!XyZ@@QQ'")], "k int, t string")
+    assert {r.k: r.t for r in rows.select("k", secrets.redact(F.col("t")).alias("t")).collect()} == {0: "a password: [SECRET] b", 1: "client_secret = '[SECRET]'"}
+
+
 def test_long_values_are_costed_and_redacted_whole():
     words, rnd = {"password": 10, "dragon": 300, "the": 1}, random.Random(3)
     value = "".join(rnd.choice("abcXYZ0189#$%&!") for _ in range(300))
