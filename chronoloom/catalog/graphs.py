@@ -178,7 +178,27 @@ def eval_rank(t: Tables) -> DataFrame:
     return everyone.join(mine, "qid")
 
 
-@query("minhash_dedup")
+def minhash_sql() -> str:
+    """Signatures by whole numbers of 128 bits, bands as lists, clusters by a recursive walk. The permutations are drawn by the
+    operator's rule."""
+    a, b = D.coefficients()
+    used = D.BANDS * D.BAND_ROWS
+    draws = ", ".join(f"({i}, {x}::HUGEINT, {y}::HUGEINT)" for i, (x, y) in enumerate(zip(a[:used], b[:used], strict=True)))
+    return rf"""
+WITH RECURSIVE perm(i, a, b) AS (VALUES {draws}),
+w AS (SELECT doc_id, regexp_split_to_array(coalesce(text, ''), '{D.NOT_TOKEN}') AS t FROM documents),
+g AS (SELECT doc_id, t, unnest(range(1, len(t) - {D.NGRAM} + 2)) AS i FROM w),
+s AS (SELECT doc_id, sha1(array_to_string(t[i:i + {D.NGRAM} - 1], ' ')) AS x FROM g),
+h AS (SELECT DISTINCT doc_id, CAST('0x' || x[7:8] || x[5:6] || x[3:4] || x[1:2] AS BIGINT)::HUGEINT AS h FROM s),
+m AS (SELECT doc_id, i, min((h * a + b) % 18446744073709551616::HUGEINT % {int(D.PRIME)}::HUGEINT % 4294967296::HUGEINT) AS m FROM h, perm GROUP BY doc_id, i),
+k AS (SELECT doc_id, i // {D.BAND_ROWS} AS band, list(m ORDER BY i) AS k FROM m GROUP BY doc_id, band),
+e AS (SELECT doc_id AS u, min(doc_id) OVER (PARTITION BY band, k) AS v FROM k),
+l AS (SELECT u, v FROM e WHERE u <> v UNION SELECT v, u FROM e WHERE u <> v),
+reach AS (SELECT u AS node, u AS low FROM l UNION SELECT l.v, r.low FROM reach r JOIN l ON l.u = r.node)
+SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id NOT IN (SELECT node FROM reach GROUP BY node HAVING min(low) < node)"""
+
+
+@query("minhash_dedup", minhash_sql())
 def minhash_dedup(t: Tables) -> DataFrame:
     kept = D.deduplicate(t.documents.select("doc_id", "text"), "doc_id", "text")
     return kept.select("doc_id", F.md5("text").alias("h"))
