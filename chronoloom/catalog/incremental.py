@@ -15,7 +15,7 @@ from ..operators.vectors import topk
 from ..session import cut, scratch
 from . import views as V
 from .registry import Tables, query
-from .study import arm_clips, ask_vectors
+from .study import arm_clips, ask_vectors, study_sql
 
 CC = V.with_views("captions", "clips")
 
@@ -253,10 +253,22 @@ def consolidate_fold(t: Tables) -> DataFrame:
                                    F.sum(F.size("evidence")).cast("bigint").alias("n_evidence"))
 
 
-@query("retrieval_rounds")
+@query("retrieval_rounds", study_sql("""
+, q AS (SELECT qid * 1000003 + qno AS qid, qvec FROM ask_vecs),
+v6 AS (SELECT qid * 1000003 + qno AS qid, clip AS item, score FROM placed WHERE arm = 'full' AND pos <= 6),
+v AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, CAST(item AS VARCHAR)) AS r FROM v6),
+s6 AS (SELECT qid, vec_id AS item, round(list_cosine_similarity(qvec, vec), 9) AS score FROM q, vecs
+       QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) <= 6),
+s AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, CAST(item AS VARCHAR)) AS r FROM s6),
+hits AS (SELECT qid, '1:' || r || ':visual:' || item AS hit FROM v WHERE r <= 3
+  UNION ALL SELECT qid, '2:' || r || ':semantic:' || item FROM s WHERE r <= 3 AND qid % 4 >= 1
+  UNION ALL SELECT qid, '3:' || (r - 3) || ':visual:' || item FROM v WHERE r > 3 AND qid % 4 >= 2),
+seen_items AS (SELECT qid, count(*) AS n_hits, count(DISTINCT hit[5:]) AS n_items, string_agg(hit, ',' ORDER BY hit) AS hits FROM hits GROUP BY qid)
+SELECT qid, 'answer' AS action, CAST(least(qid % 4 + 1, 3) AS INTEGER) AS rounds, n_hits, n_items, hits FROM q LEFT JOIN seen_items USING (qid)"""))
 def retrieval_rounds(t: Tables) -> DataFrame:
-    """Rule for the agent: clips first, then vectors of the last best hit's neighbourhood, then answer."""
-    asks = ask_vectors(t).where("qno = 0").select("qid", "qt", "qvec")
+    """All asks, each one its own question. Rule for the agent: clips first, then facts, then further clips; a quarter of
+    the asks answers after each of the first two rounds."""
+    asks = ask_vectors(t).select((F.col("qid") * 1000003 + F.col("qno")).alias("qid"), "qt", "qvec")
     clips = arm_clips(t).where("arm = 'full'").select(F.col("clip").alias("item"), "ce", "vec")
     vecs = V.vecs(t).select(F.col("vec_id").alias("item"), "vec")
 
@@ -272,5 +284,7 @@ def retrieval_rounds(t: Tables) -> DataFrame:
         return topk(q, vecs, n, ["qid"], "item")
 
     final, history = R.retrieval_rounds(asks, decide, {"visual": visual, "semantic": semantic}, 3)
-    seen = history.groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct("memory", "item").alias("n_items"))
+    hit = F.concat_ws(":", F.col("round").cast("string"), F.col("rank").cast("string"), "memory", "item")
+    seen = history.groupBy("qid").agg(F.count(F.lit(1)).alias("n_hits"), F.count_distinct("memory", "item").alias("n_items"),
+                                      F.array_join(F.array_sort(F.collect_list(hit)), ",").alias("hits"))
     return final.select("qid", "action", "rounds").join(seen, "qid", "left")
