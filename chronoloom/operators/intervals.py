@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,3 +89,33 @@ def visible_join(queries: DataFrame, rows: DataFrame, at: str, end: str, width:
     r = rows.withColumn("_b", F.floor(F.col(end) / F.lit(width)))
     gap = F.col(at) - F.col(end)
     return q.join(r, [*by, "_b"]).where((gap >= 0) & (gap <= F.lit(horizon))).drop("_b")
+
+
+def meeting_counts(points: DataFrame, spans: DataFrame, at: str, span: tuple[str, str],
+                   counts: Mapping[str, tuple[float, Column]], by: Sequence[str] = ()) -> DataFrame:
+    """(by, at) with, per name, how many spans meet [at - tol, at + tol] and fulfil a condition; each instant once.
+
+    counts: name -> (tol, condition on the span). A span that meets began by at + tol and did not end before at - tol, so
+    one running pass over starts, ends and instants counts them, and no (point, span) pair is ever built. Spans
+    must not end before they start.
+    """
+    lo, hi = span
+    names, zero = list(counts), F.lit(0).cast("bigint")
+
+    def marks(end: str, mine: str, other: str) -> DataFrame:
+        return spans.groupBy(*by, F.col(end).cast("double").alias("_t")).agg(
+            *[F.count_if(counts[n][1]).alias(f"{mine}{n}") for n in names]).withColumns({f"{other}{n}": zero for n in names})
+
+    steps = marks(lo, "_up_", "_down_").unionByName(marks(hi, "_down_", "_up_")).where("_t IS NOT NULL")
+    steps = steps.groupBy(*by, "_t").agg(*[F.sum(f"{d}{n}").alias(f"{d}{n}") for d in ("_up_", "_down_") for n in names])
+    steps = steps.withColumns({"_side": F.lit(1), "_at": F.lit(None).cast(points.schema[at].dataType), "_tol": F.lit(None).cast("double")})
+    tols = F.array(*[F.lit(float(x)) for x in sorted({tol for tol, _ in counts.values()})])
+    asks = points.where(F.col(at).isNotNull()).select(*by, F.col(at).alias("_at")).distinct().withColumn("_tol", F.explode(tols))
+    asks = asks.withColumn("_side", F.explode(F.array(F.lit(0), F.lit(2)))).withColumns({f"{d}{n}": zero for d in ("_up_", "_down_") for n in names})
+    asks = asks.withColumn("_t", F.col("_at") + F.when(F.col("_side") == 0, -F.col("_tol")).otherwise(F.col("_tol")))
+    order = ["_t", "_side", "_at"]
+    seen = running_over(chunked(steps.unionByName(asks), by, order), by, order,
+                        {f"{d}{n}": ("sum", F.col(f"{d}{n}")) for d in ("_up_", "_down_") for n in names})
+    return seen.where("_side <> 1").groupBy(*by, F.col("_at").alias(at)).agg(*[
+        F.sum(F.when(F.col("_tol") == float(counts[n][0]),
+                     F.when(F.col("_side") == 2, F.col(f"_up_{n}")).otherwise(-F.col(f"_down_{n}")))).alias(n) for n in names])
