@@ -181,36 +181,48 @@ def codec(path: str, pattern: str, remembered: int = REMEMBERED) -> Codec:
     return Codec(path, pattern, remembered)
 
 
-def _sliced(docs: DataFrame, name: str, kind: T.DataType, convert) -> DataFrame:
-    """`docs` with one more column `name`; `convert` makes its values for a slice of a batch."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, kind)])
+def _sliced(docs: DataFrame, made: dict[str, T.DataType], convert) -> DataFrame:
+    """`docs` with the columns `made`; `convert` makes their arrays for a slice of a batch."""
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, kind) for n, kind in made.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, SLICE):
                 part = batch.slice(i, SLICE)
-                yield pa.RecordBatch.from_arrays([*part.columns, convert(part)], names=[*batch.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *convert(part)], names=[*batch.schema.names, *made])
 
     return docs.mapInArrow(run, schema)
 
 
+def _encoded(own: Codec, texts: pa.Array) -> pa.ListArray:
+    flat, ends = array("i"), [0]
+    for t in texts:
+        flat.extend(own.encode(t.as_py() or ""))
+        ends.append(len(flat))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
+
+
+def _decoded(own: Codec, ids: pa.Array) -> pa.Array:
+    return pa.array([own.decode(x.values.to_pylist() if x.is_valid else []) for x in ids], pa.binary())
+
+
 def encode(docs: DataFrame, text: str, path: str, pattern: str, name: str = "ids", remembered: int = REMEMBERED) -> DataFrame:
     """`docs` with a column of token ids; `name` must not be one of its columns. `remembered` weighs a worker's
     memory against its time; workers keep what they remember between tasks."""
-    def ids(part: pa.RecordBatch) -> pa.Array:
-        own, flat, ends = codec(path, pattern, remembered), array("i"), [0]
-        for t in part.column(text):
-            flat.extend(own.encode(t.as_py() or ""))
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(flat, dtype=np.int32) if flat else [], pa.int32()))
-
-    return _sliced(docs, name, T.ArrayType(T.IntegerType()), ids)
+    return _sliced(docs, {name: T.ArrayType(T.IntegerType())}, lambda part: [_encoded(codec(path, pattern, remembered), part.column(text))])
 
 
 def decode(docs: DataFrame, ids: str, path: str, pattern: str, name: str = "decoded") -> DataFrame:
     """`docs` with a column of the bytes that its token ids stand for; null ids stand for none."""
-    def raw(part: pa.RecordBatch) -> pa.Array:
-        own = codec(path, pattern, 0)
-        return pa.array([own.decode(x.values.to_pylist() if x.is_valid else []) for x in part.column(ids)], pa.binary())
+    return _sliced(docs, {name: T.BinaryType()}, lambda part: [_decoded(codec(path, pattern, 0), part.column(ids))])
+
+
+def round_trip(docs: DataFrame, text: str, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded",
+               remembered: int = REMEMBERED) -> DataFrame:
+    """Token ids and the bytes that they decode to, in one pass: a task has one Python worker and one codec, not two of each."""
+    def both(part: pa.RecordBatch) -> list[pa.Array]:
+        own = codec(path, pattern, remembered)
+        coded = _encoded(own, part.column(text))
+        return [coded, _decoded(own, coded)]
 
-    return _sliced(docs, name, T.BinaryType(), raw)
+    return _sliced(docs, {ids: T.ArrayType(T.IntegerType()), decoded: T.BinaryType()}, both)

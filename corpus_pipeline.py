@@ -42,8 +42,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, their number, and the text that they decode to. Other columns stay, but for those named like a result."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("text", "ids", "n_tokens", "decoded")]
-    coded = bpe.encode(docs.select(*kept, text_or_empty("text").alias("text")), "text", path, pattern, remembered=REMEMBERED)
-    back = bpe.decode(coded.drop("text"), "ids", path, pattern)
+    back = bpe.round_trip(docs.select(*kept, text_or_empty("text").alias("text")), "text", path, pattern, remembered=REMEMBERED)
     return back.select(*kept, F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.col("decoded").cast("string").alias("text"))
 
 
