@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import consolidate as C
 from ..operators import incremental as I
 from ..operators import rounds as R
+from ..operators import shared_vectors as shared
 from ..operators import stateful as S
 from ..operators.gaze_tables import fixation_summary as summary
 from ..operators.intervals import tolerance_join
@@ -269,7 +270,7 @@ def retrieval_rounds(t: Tables) -> DataFrame:
     """All asks, each one its own question. Rule for the agent: clips first, then facts, then further clips; a quarter of
     the asks answers after each of the first two rounds."""
     asks = ask_vectors(t).select((F.col("qid") * 1000003 + F.col("qno")).alias("qid"), "qt", "qvec")
-    clips = arm_clips(t).where("arm = 'full'").select(F.col("clip").alias("item"), "ce", "vec")
+    clips = arm_clips(t).where("arm = 'full'").select(F.col("clip").alias("item"), "ce", "vec_id")
     vecs = V.vecs(t).select(F.col("vec_id").alias("item"), "vec")
 
     def decide(open_, history, i):
@@ -278,7 +279,7 @@ def retrieval_rounds(t: Tables) -> DataFrame:
         return open_.withColumn("action", action).withColumn("memory", F.lit(memory)).withColumn("search", F.lit("question"))
 
     def visual(q, n):
-        return topk(q, clips, n, ["qid"], "item", before=("qt", "ce"))
+        return shared.topk(q, clips, V.vecs(t).select("vec_id", "vec"), n, ["qid"], "item", before=("qt", "ce"))
 
     def semantic(q, n):
         return topk(q, vecs, n, ["qid"], "item")
