@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import entity_normalize, hash_id
+from ..session import cut, small_side
 
 
 def normalized(triples: DataFrame) -> DataFrame:
@@ -45,10 +46,11 @@ def facts(triples: DataFrame) -> DataFrame:
 def phrase_weights(top_facts: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """Per query the k phrases of largest mean (fact score / number of documents of the phrase).
 
-    top_facts: qid, s, o, score; nodes: entity, n_docs. Phrases that are no node drop out.
+    top_facts: qid, s, o, score; nodes: entity, n_docs. Phrases that are no node drop out. A few entities may hold most phrases,
+    so the nodes are broadcast if a count shows that they are few, and the phrases stay where they are.
     """
     phrases = top_facts.select("qid", F.explode(F.array("s", "o")).alias("entity"), "score")
-    scored = phrases.join(nodes.select("entity", "n_docs"), "entity")
+    scored = phrases.join(small_side(cut(nodes.select("entity", "n_docs")), 128), "entity")
     means = scored.groupBy("qid", "entity").agg(F.avg(F.col("score") / F.col("n_docs")).alias("weight"))
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("weight", 9)), "entity")
     return means.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
