@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import hooks
 from ..session import cut, scratch
-from .neighbours import RELEVANT_SCORE, RELEVANT_TOP, relevant_pairs
+from .neighbours import RELEVANT_SCORE, RELEVANT_TOP, relevant_by_vector
 from .ordered import row_numbers
 
 KEY = ["s", "p", "o", "evidence"]
@@ -22,7 +22,7 @@ KEY = ["s", "p", "o", "evidence"]
 def same_subject_rule(pairs: DataFrame) -> DataFrame:
     """Default decision: a relevant older triple with the same subject and predicate is superseded.
 
-    In: new_id, old_id and both triples. Out: the pairs to remove.
+    In: new_id, old_id and both triples, with the numbers `new_row` and `old_row`. Out: the pairs to remove.
     """
     return pairs.where((F.col("ns") == F.col("s")) & (F.col("np") == F.col("p")))
 
@@ -34,15 +34,16 @@ def consolidate_versions(triples: DataFrame, decide: Callable[[DataFrame], DataF
 
     Stamps are taken in string order; the driver knows one at a time. A new triple takes over the evidence of what it
     replaces. Every equal copy goes. Equal new triples of one stamp enter once, with the smallest of their evidence lists.
-    Triples are written once in stamp order, so that a stamp reads its own files only.
+    Triples are written once in stamp order, so that a stamp reads its own files only. Neighbours are looked for once per
+    different vector, and evidence is gathered once per different set of replaced triples.
     """
     spark, text = triples.sparkSession, F.concat_ws(" ", "s", "p", "o")
-    by_stamp, opened, closed = (scratch(spark, f"triples-{n}") for n in ("by-stamp", "opened", "closed"))
+    by_stamp, opened, closed, vectors = (scratch(spark, f"triples-{n}") for n in ("by-stamp", "opened", "closed", "vectors"))
     triples.select("ts", *KEY).repartitionByRange("ts").sortWithinPartitions("ts").write.parquet(by_stamp)
     waiting = spark.read.parquet(by_stamp)
-    nothing = hooks.encode(waiting.limit(0).withColumn("old_id", text), "old_id", "vec", encoder)
-    nothing.select("old_id", *KEY, "vec", F.col("ts").alias("valid_from")).write.parquet(opened)
-    waiting.limit(0).select(*KEY, "ts", F.col("ts").alias("valid_to")).withColumnRenamed("ts", "valid_from").write.parquet(closed)
+    keyless = waiting.limit(0).select(text.alias("old_id"), *KEY, text.alias("key"))
+    keyless.withColumn("valid_from", F.lit("")).write.parquet(opened)
+    keyless.select(*KEY, F.col("key").alias("valid_from"), F.col("key").alias("valid_to")).write.parquet(closed)
 
     def versions() -> DataFrame:
         return spark.read.parquet(opened).join(spark.read.parquet(closed), [*KEY, "valid_from"], "left")
@@ -51,21 +52,29 @@ def consolidate_versions(triples: DataFrame, decide: Callable[[DataFrame], DataF
     first = True
     while ts is not None:
         fresh = waiting.where(F.col("ts") == ts).groupBy("s", "p", "o").agg(F.min("evidence").alias("evidence"))
-        new = cut(hooks.encode(fresh.withColumn("new_id", text), "new_id", "qvec", encoder))
+        coded = cut(hooks.encode(fresh.withColumn("new_id", text), "new_id", "vec", encoder))
+        # A vector is known by a hash of its numbers, so that rows do not carry it through the joins.
+        key = F.md5(F.array_join(F.col("vec").cast("array<string>"), ",", "null"))
+        new = cut(coded.select("new_id", *KEY, key.alias("key"), F.monotonically_increasing_id().alias("new_row")))
+        own = cut(coded.select(key.alias("key"), "vec").dropDuplicates(["key"]))
+        own.write.mode("append").parquet(vectors)
         merged = new
         if not first:
-            old = cut(versions().where("valid_to IS NULL").drop("valid_to"))
-            vectors = old.select("old_id", "vec").dropDuplicates(["old_id"])
-            near = relevant_pairs(new, vectors, "new_id", "old_id", top, least).select("new_id", "old_id")
-            pairs = (near.join(new.select("new_id", F.col("s").alias("ns"), F.col("p").alias("np"), F.col("o").alias("no")), "new_id")
-                     .join(old.drop("vec", "valid_from"), "old_id"))
-            gone = cut(decide(pairs).select("new_id", *KEY))
-            carried = gone.select("new_id", F.explode_outer("evidence").alias("e")).groupBy("new_id").agg(F.collect_set("e").alias("more"))
+            old = cut(versions().where("valid_to IS NULL").drop("valid_to").withColumn("old_row", F.monotonically_increasing_id()))
+            known = spark.read.parquet(vectors).dropDuplicates(["key"])
+            near = relevant_by_vector(own.select(F.col("key").alias("query"), F.col("vec").alias("qvec")), known, old, "old_id", top, least)
+            listed = near.select(F.col("query").alias("key"), "old_id").join(old.drop("key", "valid_from"), "old_id")
+            pairs = (new.select("key", "new_id", "new_row", F.col("s").alias("ns"), F.col("p").alias("np"), F.col("o").alias("no"))
+                     .join(listed, "key").drop("key"))
+            gone = cut(decide(pairs).groupBy("new_row").agg(F.sort_array(F.collect_set("old_row")).alias("rows")))
+            sets = cut(gone.select("rows").distinct().select("rows", F.explode("rows").alias("old_row")).join(old.drop("key"), "old_row"))
+            carried = sets.select("rows", F.explode("evidence").alias("e")).groupBy("rows").agg(F.collect_set("e").alias("more"))
             both = F.concat("evidence", F.coalesce("more", F.array().cast("array<string>")))
-            merged = cut(new.join(carried, "new_id", "left").withColumn("evidence", F.array_sort(F.array_distinct(both))))
-            (old.join(gone.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "valid_from").distinct()
+            merged = cut(new.join(gone, "new_row", "left").join(carried, "rows", "left")
+                         .withColumn("evidence", F.array_sort(F.array_distinct(both))))
+            (old.join(sets.select(*KEY).distinct(), KEY, "left_semi").select(*KEY, "valid_from").distinct()
              .withColumn("valid_to", F.lit(ts)).write.mode("append").parquet(closed))
-        (merged.select(F.md5("new_id").alias("old_id"), *KEY, F.col("qvec").alias("vec"), F.lit(ts).alias("valid_from"))
+        (merged.select(F.md5("new_id").alias("old_id"), *KEY, "key", F.lit(ts).alias("valid_from"))
          .write.mode("append").parquet(opened))
         ts, first = waiting.where(F.col("ts") > ts).agg(F.min("ts")).first()[0], False
     return versions().select(*KEY, "valid_from", "valid_to")

@@ -27,6 +27,24 @@ def relevant_pairs(new: DataFrame, old: DataFrame, new_id: str, old_id: str, top
     return nearest_above(new, old, top, least, [new_id], old_id)
 
 
+def relevant_by_vector(queries: DataFrame, vectors: DataFrame, members: DataFrame, old_id: str, top: int = RELEVANT_TOP,
+                       least: float = RELEVANT_SCORE) -> DataFrame:
+    """(query, old_id, score, rank): `relevant_pairs` where many rows share a vector.
+
+    queries: query, qvec; vectors: key, vec, each different vector once; members: key, old_id. Equal vectors are multiplied once,
+    and only the `top` smallest ids of each can be listed. Of the vectors only those stay that fewer than `top` ids outrank.
+    """
+    of_key = Window.partitionBy("key").orderBy(old_id)
+    first = cut(members.select("key", old_id).withColumn("_r", F.dense_rank().over(of_key)).where(F.col("_r") <= top).drop("_r").distinct())
+    sizes = cut(first.groupBy("key").agg(F.count(F.lit(1)).alias("_n")))
+    near = nearest_above(queries, vectors.join(sizes.select("key"), "key"), top, least, ["query"], "key", ties=True).drop("rank").join(sizes, "key")
+    upto = F.sum("_n").over(Window.partitionBy("query").orderBy(F.desc("score")))
+    level = F.sum("_n").over(Window.partitionBy("query", "score"))
+    listed = near.withColumn("_ahead", upto - level).where(F.col("_ahead") < top).select("query", "key", "score").join(first, "key")
+    w = Window.partitionBy("query").orderBy(F.desc("score"), old_id)
+    return listed.drop("key").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
 def synonym_edges(entities: DataFrame, entity: str, vec: str = "vec", least: float = SYNONYM_SCORE) -> DataFrame:
     """Directed (src, dst, score): up to 101 neighbours of at least `least` for names of 3+ letters or digits.
 

@@ -122,10 +122,10 @@ def cell_pairs(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str], ro
 
 
 def nearest_above(queries: DataFrame, rows: DataFrame, k: int, least: float, query_ids: Sequence[str], row_id: str,
-                  query_vec: str = "qvec", row_vec: str = "vec", not_same: str | None = None) -> DataFrame:
+                  query_vec: str = "qvec", row_vec: str = "vec", not_same: str | None = None, ties: bool = False) -> DataFrame:
     """The k best rows per query by cosine among those of at least `least`, ties to the smaller row id.
 
-    Equal to `vectors.topk` filtered by score. Rows that fit one block, and bounds of 0 or less, take the full product: there is
+    Equal to `vectors.topk` filtered by score, also with `ties`. Rows that fit one block, and bounds of 0 or less, take the full product: there is
     nothing to leave out that would pay for the pivots.
     """
     qcols = list(dict.fromkeys([*query_ids, query_vec, *([not_same] if not_same else [])]))
@@ -138,6 +138,6 @@ def nearest_above(queries: DataFrame, rows: DataFrame, k: int, least: float, que
     else:
         blocks = V._cogrouped(*cell_pairs(q0, r0, ids, row_id, query_vec, row_vec, least, pivots), ())
     partial = blocks.applyInArrow(
-        lambda q, r: V.best_in_block(q, r, ids, row_id, k, query_vec, row_vec, True, None, not_same, least),
+        lambda q, r: V.best_in_block(q, r, ids, row_id, k, query_vec, row_vec, True, None, not_same, least, ties),
         f"{V._types(q0, ids)}, {V._types(r0, [row_id])}, score double")
-    return V._merged(partial, ids, row_id, k)
+    return V._merged(partial, ids, row_id, k, ties)
