@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .rank_blocks import MOST_QUERIES, block_ranks, numbered, undirected
 
 
 def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float, steps: int = 1000,
@@ -19,11 +20,20 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float, st
     reset: qid, node, mass; null, NaN and negative masses count as 0, the rest is scaled to sum 1.
     A node without edges sends its mass back to the reset vector. Power iteration from the reset vector;
     it stops when no query moved more than `tol` in total between two cuts. If that is not reached in `steps`
-    steps it raises; with `tol` 0 exactly `steps` steps are taken.
+    steps it raises; with `tol` 0 exactly `steps` steps are taken. Up to MOST_QUERIES queries on a graph that is undirected indeed
+    go by blocks of edges (`rank_blocks`), in fewer steps to the same ranks.
     """
     mass = F.when(F.col("mass").isNull() | F.isnan(F.col("mass").cast("double")) | (F.col("mass") < 0), 0.0
                   ).otherwise(F.col("mass").cast("double"))
     seeds = reset.groupBy("qid", "node").agg(F.sum(mass).alias("m")).where("m > 0")
+    if tol > 0 and 0 < damping < 1:
+        seeds = cut(seeds)
+        few = seeds.select("qid").distinct().limit(MOST_QUERIES + 1).count()
+        half = undirected(edges) if 0 < few <= MOST_QUERIES else None
+        names = None if half is None else numbered(edges, seeds)
+        if names is not None:
+            totals = seeds.groupBy("qid").agg(F.sum("m").alias("_t"))
+            return block_ranks(half, seeds.join(totals, "qid").select("qid", "node", (F.col("m") / F.col("_t")).alias("r")), names, damping, steps, tol)
     pairs = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     # The loop runs on numbers instead of node names.
     named = seeds.select("node").union(pairs.select("src")).union(pairs.select("dst")).distinct()
