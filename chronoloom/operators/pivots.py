@@ -29,6 +29,8 @@ CELLS = 4      # pivots for each block of rows
 DRAWN = 8
 SEED = 11
 SLACK = 1e-6   # radians; more than the rounding errors of angles and scores
+SURVEYED = 4096    # vectors of each side that tell what the bound leaves
+MOST_LEFT = 0.5    # of all pairs; beyond that, lists per pair of cells cost more than they spare
 
 
 def _directions(vectors: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -79,13 +81,32 @@ def cells(df: DataFrame, vec: str, pivots: np.ndarray) -> tuple[np.ndarray, np.n
     return radius, members
 
 
+def share_left(df: DataFrame, ids: Sequence[str], vec: str, pivots: np.ndarray, reach: float, open_cells: np.ndarray,
+               radius: np.ndarray, members: np.ndarray) -> float:
+    """The share of the other side's vectors that the bound leaves to a vector of `df`, from about SURVEYED of them by hash."""
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            angle = _angles(b.column(0), pivots)
+            meets = (angle - radius[None, :] <= reach) & open_cells[angle.argmin(axis=1)]
+            yield pa.RecordBatch.from_arrays([pa.array([int((meets @ members).sum())]), pa.array([b.num_rows])], names=["met", "n"])
+
+    every = max(1, df.count() // SURVEYED)
+    seen = df.where(F.pmod(F.xxhash64(F.lit(SEED), *ids), F.lit(every)) == 0).select(vec).mapInArrow(met, "met bigint, n bigint")
+    n_met, n = seen.agg(F.sum("met"), F.sum("n")).first()
+    return (n_met or 0) / max(1, (n or 0) * int(members.sum()))
+
+
 def cell_pairs(queries: DataFrame, rows: DataFrame, query_ids: Sequence[str], row_id: str, query_vec: str, row_vec: str,
-               least: float, pivots: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """Both sides listed once per pair of blocks that the bound leaves, as `_qb` and `_rb`."""
+               least: float, pivots: np.ndarray) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides listed once per pair of blocks that the bound leaves, as `_qb` and `_rb`; None if it leaves most pairs."""
     reach = math.acos(min(1.0, least)) + SLACK
     between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
     (radius_q, n_q), (radius_r, n_r) = cells(queries, query_vec, pivots), cells(rows, row_vec, pivots)
     possible = between - radius_q[:, None] - radius_r[None, :] <= reach
+    if all(share_left(*side) > MOST_LEFT for side in (
+            (queries, query_ids, query_vec, pivots, reach, possible, radius_r, n_r),
+            (rows, [row_id], row_vec, pivots, reach, possible.T, radius_q, n_q))):
+        return None
 
     def parts(n: np.ndarray, per_block: int) -> tuple[np.ndarray, np.ndarray]:
         own = np.maximum(1, -(-n // per_block))
@@ -125,18 +146,17 @@ def nearest_above(queries: DataFrame, rows: DataFrame, k: int, least: float, que
                   query_vec: str = "qvec", row_vec: str = "vec", not_same: str | None = None, ties: bool = False) -> DataFrame:
     """The k best rows per query by cosine among those of at least `least`, ties to the smaller row id.
 
-    Equal to `vectors.topk` filtered by score, also with `ties`. Rows that fit one block, and bounds of 0 or less, take the full product: there is
-    nothing to leave out that would pay for the pivots.
+    Equal to `vectors.topk` filtered by score, also with `ties`. Rows that fit one block, bounds of 0 or less, and vectors so far from
+    each other that the bound leaves most pairs, take the full product: there is nothing to leave out that would pay for the pivots. Its blocks
+    of rows are long, because what a block sends on is up to `k` rows per query, however many rows it has.
     """
     qcols = list(dict.fromkeys([*query_ids, query_vec, *([not_same] if not_same else [])]))
     q0, r0 = queries.select(*qcols), rows.select(row_id, row_vec)
     n = V._block_count(r0.count(), V.ROW_BLOCK)
     pivots = draw_pivots(r0, row_id, row_vec, min(PIVOTS, CELLS * n)) if n > 1 and least > 0 else np.zeros((0, 1))
     ids = list(query_ids)
-    if len(pivots) < 2:
-        blocks = V._pairs_of_blocks(q0, r0, ids, row_id, ())
-    else:
-        blocks = V._cogrouped(*cell_pairs(q0, r0, ids, row_id, query_vec, row_vec, least, pivots), ())
+    near = cell_pairs(q0, r0, ids, row_id, query_vec, row_vec, least, pivots) if len(pivots) > 1 else None
+    blocks = V._cogrouped(*near, ()) if near else V._pairs_of_blocks(q0, r0, ids, row_id, (), long=True)
     partial = blocks.applyInArrow(
         lambda q, r: V.best_in_block(q, r, ids, row_id, k, query_vec, row_vec, True, None, not_same, least, ties),
         f"{V._types(q0, ids)}, {V._types(r0, [row_id])}, score double")

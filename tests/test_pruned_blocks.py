@@ -91,6 +91,19 @@ def test_blocks_are_left_out(clustered):
     assert b.groupBy("_rb").agg(F.count_distinct("id").alias("n")).agg(F.max("n")).first()[0] < 100  # 160 equal vectors are dealt out
 
 
+@pytest.mark.parametrize("least,k", [(0.2, 30), (0.2, 3), (0.6, 500)])
+def test_vectors_far_from_each_other_meet_in_few_long_blocks(spark, monkeypatch, least, k):
+    monkeypatch.setattr(V, "LONG_BLOCK", 160)
+    v = np.random.default_rng(5).normal(size=(400, 24))
+    v[11], v[12] = 0.0, v[13]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, vec array<double>")
+    q = df.select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    pivots = P.draw_pivots(df, "id", "vec", 40)
+    assert P.cell_pairs(q, df, ["qid"], "id", "qvec", "vec", 0.2, pivots) is None      # 1,600 pairs of cells otherwise
+    full = V.topk(q, df, k, ["qid"], "id", not_same="qid").where(F.col("score") >= least)
+    assert sorted(map(tuple, P.nearest_above(q, df, k, least, ["qid"], "id", not_same="qid").collect())) == sorted(map(tuple, full.collect()))
+
+
 def test_pivots_of_nothing(spark, clustered):
     _, df = clustered
     none = df.where("id < 0")
