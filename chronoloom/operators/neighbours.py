@@ -68,7 +68,7 @@ def fact_links(queries: DataFrame, facts: DataFrame, k: int, keep: Column | None
 
 
 def maxsim(query_tokens: DataFrame, passage_tokens: DataFrame, k: int, qid: str = "qid", token: str = "token",
-           passage: str = "passage", row_id: str = "row_id", oversize: int = V.ROW_BLOCK // 8) -> DataFrame:
+           passage: str = "passage", row_id: str = "row_id", oversize: int = V.ROW_BLOCK) -> DataFrame:
     """Late interaction: per query token the best dot product in a passage, summed; k best passages.
 
     query_tokens: qid, token, qvec; passage_tokens: passage, row_id, vec. Blocks hold whole queries and whole passages, so
@@ -93,7 +93,7 @@ def maxsim(query_tokens: DataFrame, passage_tokens: DataFrame, k: int, qid: str
              .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(nr - 1)).cast("array<bigint>"))))
         r = (rows.withColumn("_rb", V._hashed(deal, nr))
              .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)).cast("array<bigint>"))))
-        return V._cogrouped(q, r, ())
+        return V._cogrouped(*V._dealt(q, r, nq * nr), ())
 
     whole = paired(small, [passage]).applyInArrow(
         lambda q, r: _best_passages(q, r, k, qid, token, passage), f"{V._types(q0, [qid])}, {V._types(r0, [passage])}, score double")
@@ -109,9 +109,7 @@ def maxsim(query_tokens: DataFrame, passage_tokens: DataFrame, k: int, qid: str
     reached = best.groupBy(qid).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_least"))
     hopeful = (_upper_bounds(q0, cut(bounds), qid, token, passage, nq).join(reached, qid, "left")
                .where(F.col("_least").isNull() | (F.col("upper") >= F.col("_least") - F.lit(V.BAND))).select(qid, passage))
-    maxima = (_piece_maxima(q0, pieces, cut(hopeful), qid, token, passage, nq)
-              .groupBy(qid, passage).applyInArrow(_summed_maxima, f"{V._types(q0, [qid])}, {V._types(r0, [passage])}, score double"))
-    both = best.drop("rank").unionByName(maxima)
+    both = best.drop("rank").unionByName(_summed_maxima(_piece_maxima(q0, pieces, cut(hopeful), qid, token, passage, nq), qid, passage))
     return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -134,17 +132,27 @@ def _whole_queries(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
     return out
 
 
+def _passage_maxima(left: np.ndarray, right: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """Best product of each row of `left` with the rows of `right` from each start in `names` on, in strips that stay in the processor's cache."""
+    best = np.full((len(left), len(names)), -np.inf)
+    for a in range(0, len(right), V.STRIP):
+        b = min(a + V.STRIP, len(right))
+        i, j = np.searchsorted(names, a, side="right") - 1, np.searchsorted(names, b)
+        s = np.maximum.reduceat(left @ right[a:b].T, np.maximum(names[i:j] - a, 0), axis=1)
+        np.maximum(best[:, i:j], s, out=best[:, i:j])
+    return best
+
+
 def _best_passages(q: pa.Table, r: pa.Table, k: int, qid: str, token: str, passage: str) -> pa.Table:
     """Sums of token maxima over the whole passages of a block, the k best of each query."""
     q, r = q.sort_by([(qid, "ascending"), (token, "ascending")]), r.sort_by(passage)
     picked, scores = [(np.empty(0, np.int64), np.empty(0, np.int64))], [np.empty(0)]
     firsts, names = _starts(q.column(qid)), _starts(r.column(passage))
     if len(firsts) and len(names):
-        left, right = V._matrix(q.column("qvec"), False), V._matrix(r.column("vec"), False).T
+        left, right = V._matrix(q.column("qvec"), False), V._matrix(r.column("vec"), False)
         for i, j in _whole_queries(firsts, len(q)):
             a, b = firsts[i], firsts[j] if j < len(firsts) else len(q)
-            s = np.concatenate([np.round(np.maximum.reduceat(left[x:min(x + V.SLICE, b)] @ right, names, axis=1), V.DIGITS) + 0.0
-                                for x in range(a, b, V.SLICE)])
+            s = np.concatenate([np.round(_passage_maxima(left[x:min(x + V.SLICE, b)], right, names), V.DIGITS) + 0.0 for x in range(a, b, V.SLICE)])
             s = np.round(np.add.reduceat(s, firsts[i:j] - a, axis=0), V.DIGITS)
             row, col = V._best_columns(s, k)
             picked.append((firsts[i + row], names[col]))
@@ -204,11 +212,11 @@ def _piece_maxima(queries: DataFrame, pieces: DataFrame, hopeful: DataFrame, qid
         block, f"{V._types(queries, [qid])}, {V._types(pieces, [passage])}, best array<double>")
 
 
-def _summed_maxima(parts: pa.Table) -> pa.Table:
-    """The score of one query and passage: element-wise maxima over the pieces' lists, summed."""
-    names = [c for c in parts.column_names if c != "best"]
-    score = round(float(np.max(V._matrix(parts.column("best"), False), axis=0).sum()), V.DIGITS)
-    return pa.table({c: parts.column(c).slice(0, 1) for c in names} | {"score": pa.array([score])})
+def _summed_maxima(parts: DataFrame, qid: str, passage: str) -> DataFrame:
+    """The score of each query and passage: element-wise maxima over the pieces' lists, summed."""
+    lists = parts.groupBy(qid, passage).agg(F.collect_list("best").alias("_all"))
+    best = F.aggregate("_all", F.get("_all", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    return lists.select(qid, passage, (F.round(F.aggregate(best, F.lit(0.0), lambda a, x: a + x), V.DIGITS) + 0.0).alias("score"))
 
 
 def rank_among_all(queries: DataFrame, rows: DataFrame, gold: DataFrame, qid: str = "qid", rid: str = "rid") -> DataFrame:

@@ -172,3 +172,25 @@ def test_hopeless_large_passages_are_not_multiplied(tokens, monkeypatch):
     # A large passage of short vectors cannot be among the best of a query with many good small ones.
     N.maxsim(dq, dp.where("passage = 'p03' or passage >= 'p05'"), 1, oversize=20).collect()
     assert len(asked[0]) < 40 * 0.6
+
+
+def test_sums_of_dealt_passages_start_no_python_per_group(spark):
+    rows = [(1, "a", [0.5, 3.0]), (1, "a", [2.0, -1.0]), (1, "b", [0.25, 0.25]), (2, "a", [-1.0])]
+    got = N._summed_maxima(spark.createDataFrame(rows, "qid int, passage string, best array<double>"), "qid", "passage")
+    assert "InArrow" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(1, "a", 5.0), (1, "b", 0.5), (2, "a", -1.0)]
+
+
+@pytest.mark.parametrize("strip", [1, 7, 64, 1000])
+def test_passages_cut_by_strips(monkeypatch, strip):
+    monkeypatch.setattr(V, "STRIP", strip)
+    rng = np.random.default_rng(8)
+    left, right, names = rng.normal(size=(9, 5)), rng.normal(size=(150, 5)), np.array([0, 1, 7, 8, 64, 140])
+    assert np.allclose(N._passage_maxima(left, right, names), np.maximum.reduceat(left @ right.T, names, axis=1))
+
+
+def test_passages_of_a_block_of_rows_are_not_dealt(spark, monkeypatch):
+    monkeypatch.setattr(N, "_piece_maxima", lambda *_: pytest.fail("dealt"))
+    p = spark.range(9000).selectExpr("'p' as passage", "id as row_id", "array(cast(id as double), -1.0D) as vec")
+    q = spark.createDataFrame([(1, 0, [1.0, 0.5]), (1, 1, [-1.0, 1.0])], "qid int, token int, qvec array<double>")
+    assert [tuple(r) for r in N.maxsim(q, p, 2).collect()] == [(1, "p", 8997.5, 1)]
