@@ -17,7 +17,7 @@ def test_names_normalized_before_the_join_are_those_after_it(spark):
     assert V.normal_triples(t).columns == V.triples(t).columns
 
 
-@pytest.mark.parametrize("name", ["graph_info"])
+@pytest.mark.parametrize("name", ["graph_info", "graph_edges", "entity_nodes", "fact_doc_index", "phrase_weights"])
 def test_no_pattern_is_matched_behind_a_join(spark, name):
     plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().optimizedPlan().toString().split("\n")
     depth = {i: len(line) - len(line.lstrip(" :+-")) for i, line in enumerate(plan)}
