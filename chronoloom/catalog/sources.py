@@ -113,7 +113,7 @@ def src_gaze_csv(t: Tables) -> DataFrame:
 @query("src_gaze_json", GAZE + """
 SELECT clip, row_number() OVER (PARTITION BY clip ORDER BY t, sid) - 1 AS pos, CASE WHEN clip % 4 = 2 THEN -1 ELSE t END AS t, x, y FROM gaze""")
 def src_gaze_json(t: Tables) -> DataFrame:
-    """Four shapes: object with objects, bare list of [t, x, y], object with [x, y] pairs, other field names."""
+    """Four shapes: object with objects, bare list of [t, x, y], object with [x, y] pairs, other field names. A file holds many clips."""
     g = V.gaze(t)
     pts = F.array_sort(F.collect_list(F.struct("t", "sid", "x", "y")))
     docs = g.groupBy("clip").agg(pts.alias("p"))
@@ -129,9 +129,10 @@ def src_gaze_json(t: Tables) -> DataFrame:
     for i in range(3):
         text = F.when(F.col("clip") % 4 == i, forms[i]).otherwise(text)
     path = scratch(t.spark, "gaze-json")
-    docs.select("clip", text.alias("value")).write.partitionBy("clip").text(path)
-    out = Z.points_from_json(t.spark.read.text(path), 960, 720)
-    return out.select(F.col("clip").cast("bigint").alias("clip"), "pos", "t", "x", "y")
+    key = F.coalesce(F.col("clip").cast("string"), F.lit(""))
+    docs.select(F.concat(key, F.lit("\t"), text).alias("value")).write.text(path)
+    out = Z.read_keyed_json(t.spark, path, 960, 720)
+    return out.select(F.col("clip").try_cast("bigint").alias("clip"), "pos", "t", "x", "y")
 
 
 @query("src_gaze_vendor", GAZE + """
