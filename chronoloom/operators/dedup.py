@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut, spread
 from .graph import connected_components
@@ -64,22 +65,27 @@ def signature(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, block: int = 128
     return low
 
 
-def band_keys(hashes: Column, bands: int = BANDS, rows: int = BAND_ROWS,
-              permutations: int = PERMUTATIONS):
-    """Column of band hashes of `token_hashes`; an empty array where a text has none."""
+def band_keys(hashed: DataFrame, bands: int = BANDS, rows: int = BAND_ROWS, permutations: int = PERMUTATIONS, at_once: int = 256) -> DataFrame:
+    """(id, keys): the band hashes of every text with `token_hashes`. hashed: id, hashes.
+
+    A few texts at a time leave the task, and their hashes are read where Arrow holds them, so that Python keeps one batch and a slice.
+    """
     a, b = coefficients(permutations)
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def keys(packed: pd.Series) -> pd.Series:
-        def one(hashes):
-            if not hashes:
-                return []
-            low = signature(np.unique(np.frombuffer(hashes, dtype="<u4")).astype(np.uint64), a, b)
-            return [hashlib.md5(low[i * rows:(i + 1) * rows].tobytes()).hexdigest() for i in range(bands)]
-        return packed.map(one)
+    def one(hashes: pa.BinaryScalar) -> list[str]:
+        low = signature(np.unique(np.frombuffer(hashes.as_buffer(), dtype="<u4")).astype(np.uint64), a, b)
+        return [hashlib.md5(low[i * rows:(i + 1) * rows].tobytes()).hexdigest() for i in range(bands)]
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, at_once):
+                part = batch.slice(i, at_once)
+                part = part.filter(pc.greater(pc.binary_length(part.column("hashes")), 0))      # null is not greater
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([one(h) for h in part.column("hashes")], pa.list_(pa.string()))],
+                                                 names=["id", "keys"])
 
-    # The mark keeps the optimizer from evaluating the function once per use of its result.
-    return keys.asNondeterministic()(hashes)
+    kind = hashed.schema["id"].dataType.simpleString()
+    return hashed.select("id", "hashes").mapInArrow(keys, f"id {kind}, keys array<string>")
 
 
 def duplicate_edges(docs: DataFrame, key: str, text: str, ngram: int = NGRAM, **bands) -> DataFrame:
@@ -89,10 +95,8 @@ def duplicate_edges(docs: DataFrame, key: str, text: str, ngram: int = NGRAM, **
     member links to the smallest id only, never to all others.
     """
     texts = spread(docs.select(F.col(key).alias("id"), F.col(text).alias("_text")))
-    # The generator keeps the hashes a column of their own, outside the arguments of the Python function.
-    hashed = texts.select("id", F.explode(F.array(token_hashes(F.col("_text"), ngram))).alias("hashes"))
-    signed = cut(hashed.select("id", band_keys(F.col("hashes"), **bands).alias("keys"))
-                 .where(F.size("keys") > 0).withColumn("sig", F.md5(F.array_join("keys", ""))))
+    hashed = texts.select("id", token_hashes(F.col("_text"), ngram).alias("hashes"))
+    signed = cut(band_keys(hashed, **bands).withColumn("sig", F.md5(F.array_join("keys", ""))))
     heads = cut(signed.groupBy("sig").agg(F.min("id").alias("head"), F.first("keys").alias("keys")))
     same = signed.select("id", "sig").join(heads.select("sig", "head"), "sig").where("id <> head").select(
         F.col("id").alias("u"), F.col("head").alias("v"))
