@@ -12,12 +12,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
 from .ordered import island_ids, lagged, row_numbers, running
-from .successors import BLOCK, find_successors, reached_from_first
+from .successors import BLOCK, by_length, find_successors, reached_from_first, walk_short
 from .vectors import _matrix, dot
 
 
@@ -134,7 +134,7 @@ def consecutive_dedupe(episodes: DataFrame, by: str, least: float, block: int =
         # What equals the episode before it is kept only if that one is no neighbour of itself, a null vector.
         rows = lagged(rows, [by], order, {"_before": F.col("vec")})
         rows = rows.where(~F.col("vec").eqNullSafe(F.col("_before")) | (dot("vec", "vec") == 0)).drop("_before")
-    rows = cut(row_numbers(rows, [by], order))
+    short, long = by_length(cut(rows), [by], block)
 
     def unlike(a: pa.Table, b: pa.Table) -> np.ndarray:
         left, right = _matrix(a.column("vec"), False), _matrix(b.column("vec"), False)
@@ -142,8 +142,12 @@ def consecutive_dedupe(episodes: DataFrame, by: str, least: float, block: int =
         cosine = np.divide(left @ right.T, size, out=np.full(size.shape, -np.inf), where=size > 0)
         return ~(cosine >= least)
 
-    kept = reached_from_first(find_successors(rows.select(by, "rn", "vec"), [by], unlike, block), [by], block)
-    return rows.select(by, "rn", "episode_id").join(kept, [by, "rn"]).drop("rn")
+    kept = walk_short(short, [by], order, unlike).where("kept").select(by, "episode_id")
+    if long is None:
+        return kept
+    rows = cut(row_numbers(long, [by], order))
+    reached = reached_from_first(find_successors(rows.select(by, "rn", "vec"), [by], unlike, block), [by], block)
+    return kept.unionByName(rows.select(by, "rn", "episode_id").join(reached, [by, "rn"]).drop("rn"))
 
 
 #: Short episodes pass; longer ones must not be black and must stay similar.
@@ -168,17 +172,25 @@ def path_straightness(samples: DataFrame, by: Sequence[str], key: str, bin_secon
     A bin opens with the first sample that is more than `bin_seconds` behind the opening one of the bin before it. The path
     runs over the bins' mean points.
     """
-    by = list(by)
-    rows = cut(row_numbers(samples.select(*by, key, "t", "x", "y"), by, ["t", key]))
+    by, order = list(by), ["t", key]
+    short, long = by_length(cut(samples.select(*by, key, "t", "x", "y")), by, block)
 
     def later(a: pa.Table, b: pa.Table) -> np.ndarray:
         return b.column("t").to_numpy()[None, :] - a.column("t").to_numpy()[:, None] > bin_seconds
 
-    opened = reached_from_first(find_successors(rows.select(*by, "rn", "t"), by, later, block), by, block)
-    marked = rows.join(opened.withColumn("_opens", F.lit(1)), [*by, "rn"], "left").fillna(0, ["_opens"])
-    binned = running(marked, by, ["rn"], {"bin": ("sum", F.col("_opens"))})
-    centres = binned.groupBy(*by, "bin").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
-    steps = lagged(centres, by, ["bin"], {"px": F.col("cx"), "py": F.col("cy")})
+    def centres(binned: DataFrame) -> DataFrame:
+        return binned.groupBy(*by, "bin").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+
+    # A short fixation has few bins, so a plain window meets a bounded group.
+    binned = walk_short(short, by, order, later).withColumnRenamed("step", "bin")
+    behind = Window.partitionBy(*by).orderBy("bin")
+    steps = centres(binned).withColumns({"px": F.lag("cx").over(behind), "py": F.lag("cy").over(behind)})
+    if long is not None:
+        rows = cut(row_numbers(long, by, order))
+        opened = reached_from_first(find_successors(rows.select(*by, "rn", "t"), by, later, block), by, block)
+        marked = rows.join(opened.withColumn("_opens", F.lit(1)), [*by, "rn"], "left").fillna(0, ["_opens"])
+        binned = running(marked, by, ["rn"], {"bin": ("sum", F.col("_opens"))})
+        steps = steps.unionByName(lagged(centres(binned), by, ["bin"], {"px": F.col("cx"), "py": F.col("cy")}).select(steps.columns))
 
     def distance(x0, y0, x1, y1) -> Column:
         return F.hypot(F.col(x1) - F.col(x0), F.col(y1) - F.col(y0))

@@ -6,21 +6,26 @@ stream and cut into blocks. `find_successors` looks for that next row in the own
 after it, always with all rows of a block at once. `reached_from_first` finds which rows the walk from the first row passes:
 inside a block every row's way out is found at once, the ways out of rows that are entered from another block are squared
 until the walk's end is reached, and the blocks on the way are walked again from where they were entered.
+
+Streams of up to one block (`by_length`) need none of this: `walk_short` walks many of them in one call.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, small_side
 from .vectors import SLICE, _types
 
 BLOCK = 2048
+SHORT_SLICE = 128     # rows matched at once where streams are short
+KEY_BYTES = 64        # a stream's key as a broadcast row, about
 
 #: (rows, later rows) -> matrix of bool: whether the later row would be the next one kept.
 Match = Callable[[pa.Table, pa.Table], np.ndarray]
@@ -127,3 +132,72 @@ def reached_from_first(successors: DataFrame, by: Sequence[str], block: int = BL
 
     entries = reached.withColumn("_b", _block(block)).withColumnRenamed("rn", "_entry")
     return placed.join(entries, [*by, "_b"]).groupBy(*by, "_b").applyInArrow(walk, schema)
+
+
+def by_length(rows: DataFrame, by: Sequence[str], block: int = BLOCK) -> tuple[DataFrame, DataFrame | None]:
+    """Streams of up to `block` rows, and the longer ones, or None if there are none. `rows` is read more than once."""
+    by = list(by)
+    long = cut(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block).select(*by))
+    if long.isEmpty():
+        return rows, None
+    long = small_side(long, KEY_BYTES)
+    return rows.join(long, by, "left_anti"), rows.join(long, by, "left_semi")
+
+
+def _stream_numbers(part: pa.Table, by: Sequence[str]) -> np.ndarray:
+    """0 for the rows of the first stream, 1 for those of the next, and so on. Rows are sorted by stream."""
+    opens = np.zeros(len(part), bool)
+    for c in by:
+        values = part.column(c)
+        here, before = values.slice(1), values.slice(0, len(part) - 1)
+        differs = pc.not_equal(here, before)
+        if pa.types.is_floating(values.type):
+            differs = pc.and_(differs, pc.invert(pc.and_(pc.is_nan(here), pc.is_nan(before))))
+        opens[1:] |= differs.to_numpy()
+    return np.cumsum(opens)
+
+
+def _walked(part: pa.Table, by: Sequence[str], match: Match) -> pa.Table:
+    """Whole streams, sorted, with `step` and `kept` (see `walk_short`)."""
+    part = part.combine_chunks()
+    stream, at = _stream_numbers(part, by), np.arange(len(part))
+    ends = np.searchsorted(stream, stream, side="right")
+    following = np.full(len(part), -1)
+    for i in range(0, len(part), SHORT_SLICE):
+        own, ahead = at[i:i + SHORT_SLICE, None], at[None, i:ends[min(i + SHORT_SLICE, len(part)) - 1]]
+        hits = match(part.slice(i, len(own)), part.slice(i, ahead.size)) & (ahead > own) & (ahead < ends[own])
+        following[i:i + SHORT_SLICE] = np.where(hits.any(axis=1), i + hits.argmax(axis=1), -1)
+    first = np.searchsorted(stream, np.arange(stream[-1] + 1))
+    kept, now = np.zeros(len(part), bool), first
+    while now.size:
+        kept[now] = True
+        now = following[now]
+        now = now[now >= 0]
+    so_far = np.cumsum(kept)
+    return part.append_column("step", pa.array(so_far - so_far[first][stream] + 1)).append_column("kept", pa.array(kept))
+
+
+def walk_short(rows: DataFrame, by: Sequence[str], order: Sequence[str], match: Match) -> DataFrame:
+    """`rows` with `kept`: whether the walk from its stream's first row passes a row, and `step`: how many rows it has kept up to there.
+
+    Streams lie whole and sorted in a partition. A task holds one batch and the stream that goes on behind it, so this is for
+    streams of bounded length (`by_length`); `match` is called once for all short streams of a slice. Keys must not be null.
+    """
+    by, schema = list(by), f"{_types(rows, rows.columns)}, step bigint, kept boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            held = part if held is None else pa.concat_tables([held, part])
+            if len(held):
+                stream = _stream_numbers(held, by)
+                whole = int(np.searchsorted(stream, stream[-1]))
+                if whole:
+                    yield from _walked(held.slice(0, whole), by, match).to_batches()
+                held = held.slice(whole)
+        if held is not None and len(held):
+            yield from _walked(held, by, match).to_batches()
+
+    known = rows.where(" AND ".join(f"`{c}` IS NOT NULL" for c in by))
+    return known.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)

@@ -82,3 +82,51 @@ def test_successors_are_looked_for_in_later_blocks_only_if_needed(spark):
 
     got = {r["rn"]: r["next"] for r in G.find_successors(df, ["k"], match, 20).collect()}
     assert got == {i: 470 if i < 470 else i + 1 if i < 500 else None for i in range(1, 501)}
+
+
+def test_only_long_streams_go_through_the_graph(spark, monkeypatch):
+    """Streams of up to a block share calls; the one of 41 rows is all that the successor search is given."""
+    given = []
+
+    def search(rows, by, match, block):
+        given.append(sorted(r[by[0]] for r in rows.select(*by).distinct().collect()))
+        return G.find_successors(rows, by, match, block)
+
+    monkeypatch.setattr(S, "find_successors", search)
+    sizes = {f"s{i}": 1 + i % 7 for i in range(60)} | {"edge": 40, "long": 41}
+    rows = [(k, i, i * 0.1, float(i % 3), float(i % 2)) for k, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, sid int, t double, x double, y double")
+    bins = {r["k"]: r["n_bins"] for r in S.path_straightness(df, ["k"], "sid", 0.25, 40).collect()}
+    assert bins == {k: (n + 2) // 3 for k, n in sizes.items()}          # a bin holds 0, 0.1 and 0.2 s
+    e = df.select("k", F.col("sid").alias("episode_id"), F.col("t").alias("start"), F.array("x", "y", F.lit(1.0)).alias("vec"))
+    kept = S.consecutive_dedupe(e, "k", 0.999999, 40).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in kept} == sizes
+    assert given == [["long"], ["long"]]
+
+
+def test_short_streams_share_calls(spark):
+    """2,000 streams of 1 to 5 rows, keyed by a text and a number, over batches that cut them: values below, and few calls."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def match(a, b):
+        calls.add(1)
+        return b.column("v").to_numpy()[None, :] > a.column("v").to_numpy()[:, None]
+
+    rng = np.random.default_rng(11)
+    streams = {(f"t{i % 50}", float(i // 50)): rng.integers(0, 6, 1 + i % 5).tolist() for i in range(2000)}
+    rows = [(*k, n, v) for k, vs in streams.items() for n, v in enumerate(vs)] + [(None, 1.0, 0, 3)]
+    df = spark.createDataFrame(rows, "a string, b double, n int, v int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "333")
+    try:
+        got = {(r["a"], r["b"], r["n"]): (r["step"], r["kept"]) for r in G.walk_short(df, ["a", "b"], ["n"], match).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {}
+    for k, vs in streams.items():
+        last, step = -1, 0
+        for n, v in enumerate(vs):
+            kept = v > last
+            last, step = (v, step + 1) if kept else (last, step)
+            want[*k, n] = step, kept
+    assert got == want and 0 < calls.value < 100
