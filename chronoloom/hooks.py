@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,15 +20,18 @@ DIMENSIONS = 64
 
 def hashed_words(texts: pd.Series) -> list:
     """Default encoder: a hashed bag of lower-cased words, scaled to length one."""
-    out = []
-    for text in texts:
-        v = np.zeros(DIMENSIONS, dtype=np.float32)
-        for word in re.findall(r"\w+", (text or "").lower()):
-            h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
-            v[h % DIMENSIONS] += 1.0 if (h >> 32) & 1 else -1.0
-        size = float(np.sqrt((v * v).sum()))
-        out.append(v / size if size else v)
-    return out
+    rows = [[_place_and_sign(w) for w in re.findall(r"\w+", (text or "").lower())] for text in texts]
+    m = np.zeros((len(rows), DIMENSIONS), dtype=np.float32)
+    found = np.array([x for row in rows for x in row], np.int64).reshape(-1, 2)
+    np.add.at(m, (np.repeat(np.arange(len(rows)), [len(row) for row in rows]), found[:, 0]), found[:, 1].astype(np.float32))
+    size = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return list(np.divide(m, size, out=m, where=size > 0))
+
+
+@lru_cache(maxsize=1 << 16)
+def _place_and_sign(word: str) -> tuple[int, int]:
+    h = int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "little")
+    return h % DIMENSIONS, 1 if (h >> 32) & 1 else -1
 
 
 def encode(df: DataFrame, text: str, into: str = "vec", encoder: Encoder = hashed_words) -> DataFrame:
