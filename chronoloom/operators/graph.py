@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, saved, shuffles_dropped, small_side
 from .rank_blocks import MOST_QUERIES, block_ranks, numbered, undirected
 
 
@@ -27,13 +27,15 @@ def personalized_pagerank(edges: DataFrame, reset: DataFrame, damping: float, st
                   ).otherwise(F.col("mass").cast("double"))
     seeds = reset.groupBy("qid", "node").agg(F.sum(mass).alias("m")).where("m > 0")
     if tol > 0 and 0 < damping < 1:
-        seeds = cut(seeds)
-        few = seeds.select("qid").distinct().limit(MOST_QUERIES + 1).count()
-        half = undirected(edges) if 0 < few <= MOST_QUERIES else None
-        names = None if half is None else numbered(edges, seeds)
-        if names is not None:
-            totals = seeds.groupBy("qid").agg(F.sum("m").alias("_t"))
-            return block_ranks(half, seeds.join(totals, "qid").select("qid", "node", (F.col("m") / F.col("_t")).alias("r")), names, damping, steps, tol)
+        with shuffles_dropped(edges.sparkSession):
+            seeds, _ = saved(seeds, "rank-masses")
+            few = seeds.select("qid").distinct().limit(MOST_QUERIES + 1).count()
+            half = undirected(edges) if 0 < few <= MOST_QUERIES else None
+            names = None if half is None else numbered(edges, seeds)
+            if names is not None:
+                totals = seeds.groupBy("qid").agg(F.sum("m").alias("_t"))
+                shares = seeds.join(small_side(totals, 64), "qid").select("qid", "node", (F.col("m") / F.col("_t")).alias("r"))
+                return block_ranks(half, shares, names, damping, steps, tol)
     pairs = edges.groupBy("src", "dst").agg(F.sum("weight").alias("w"))
     # The loop runs on numbers instead of node names.
     named = seeds.select("node").union(pairs.select("src")).union(pairs.select("dst")).distinct()
@@ -95,22 +97,20 @@ def triples_by_ppr(triples: DataFrame, similar: DataFrame, k: int, damping: floa
     triples: tid, s, o; similar: qid, tid, score (top similar triples, which seed the walk uniformly).
     Parallel edges count, self loops do not. Queries whose triples name no entity keep the similar triples.
     """
-    named = triples.where("s <> '' AND o <> '' AND s <> o")
+    spark = triples.sparkSession
     ways = F.array(F.struct(F.col("s").alias("src"), F.col("o").alias("dst")),
                    F.struct(F.col("o").alias("src"), F.col("s").alias("dst")))
-    edges = named.groupBy("s", "o").agg(F.count(F.lit(1)).cast("double").alias("weight")).select(
-        F.explode(ways).alias("e"), "weight").select("e.src", "e.dst", "weight")
-    seeds = (similar.join(triples, "tid").select("qid", F.explode(F.array("s", "o")).alias("node"))
-             .where("node <> ''").distinct().withColumn("mass", F.lit(1.0)))
-    ranks = cut(personalized_pagerank(edges, seeds, damping, **loop))
-    # Triples with equal ends score alike, so scores are summed once per pair of ends, not per triple.
-    pairs = triples.groupBy("s", "o").agg(F.count(F.lit(1)).alias("n"))
-    scored = (pairs.select("s", "o", F.explode(F.array(F.col("s"), F.col("o"))).alias("node"))
-              .join(ranks, "node").groupBy("qid", "s", "o").agg(F.sum("score").alias("score")))
-    by_score = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)))
-    top_pairs = scored.withColumn("_r", F.dense_rank().over(by_score)).where(F.col("_r") <= k)
+    with shuffles_dropped(spark):
+        similar, _ = saved(similar, "similar-triples")
+        pairs, _ = saved(triples.groupBy("s", "o").agg(F.count(F.lit(1)).alias("n")), "triple-ends")
+        seeds, _ = saved(triples.join(small_side(similar.select("qid", "tid"), 64), "tid").select("qid", F.explode(F.array("s", "o")).alias("node"))
+                         .where("node <> ''").distinct().withColumn("mass", F.lit(1.0)), "triple-seeds")
+        edges = pairs.where("s <> '' AND o <> '' AND s <> o").select(F.explode(ways).alias("e"), F.col("n").cast("double").alias("weight"))
+        ranks, _ = saved(personalized_pagerank(edges.select("e.src", "e.dst", "weight"), seeds, damping, **loop), "triple-ranks")
+        # Triples with equal ends score alike, so scores are summed once per pair of ends, not per triple.
+        top_pairs, _ = saved(_best_pairs(pairs.select("s", "o"), ranks, k), "triple-top")
     w = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "tid")
-    walked = triples.join(top_pairs, ["s", "o"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    walked = triples.join(small_side(top_pairs, 256), ["s", "o"]).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     walked = walked.select("qid", "tid", "score", "rank", F.lit("walk").alias("source"))
     plain = similar.join(seeds.select("qid").distinct(), "qid", "left_anti")
     ws = Window.partitionBy("qid").orderBy(F.desc("score"), "tid")
@@ -118,6 +118,29 @@ def triples_by_ppr(triples: DataFrame, similar: DataFrame, k: int, damping: floa
     return walked.unionByName(plain.select("qid", "tid", "score", "rank", F.lit("similar").alias("source")))
 
 
+def _best_pairs(pairs: DataFrame, ranks: DataFrame, k: int) -> DataFrame:
+    """(qid, s, o, score): the pairs of the k best summed scores of each query, with all that tie.
+
+    A node's scores are lists with a place per query, MOST_QUERIES of them to a list, so that the sums are made within a row and
+    only the best pairs of each task are shuffled.
+    """
+    numbers, _ = saved(ranks.select("qid").distinct().withColumn("_n", F.row_number().over(Window.orderBy("qid")) - 1), "rank-queries")
+    held = MOST_QUERIES
+    slots = small_side(numbers.select("qid", F.floor(F.col("_n") / held).alias("_g"), (F.col("_n") % held).alias("_at")), 64)
+    entries = ranks.where("node IS NOT NULL").join(slots, "qid").groupBy("node", "_g").agg(F.map_from_entries(F.collect_list(F.struct("_at", "score"))).alias("_m"))
+    width = min(held, numbers.count())
+    lists, _ = saved(entries.select("node", "_g", F.transform(F.sequence(F.lit(0), F.lit(max(width, 1) - 1)), lambda i: F.try_element_at("_m", i)).alias("_p")), "rank-lists")
+    few = small_side(lists, 64 + 16 * width)
+    at = [few.select(F.col("node").alias(c), "_g", F.col("_p").alias(f"_p{c}")) for c in "so"]
+    asked = pairs.crossJoin(small_side(lists.select("_g").distinct(), 64))
+    both = asked.join(at[0], ["s", "_g"], "left").join(at[1], ["o", "_g"], "left").where("_ps IS NOT NULL OR _po IS NOT NULL")
+    none = F.array_repeat(F.lit(None).cast("double"), width)
+    total = F.zip_with(F.coalesce("_ps", none), F.coalesce("_po", none), lambda a, b: F.coalesce(a + b, a, b))
+    scored = both.select("s", "o", "_g", F.posexplode(total).alias("_at", "score")).where("score IS NOT NULL").join(slots, ["_g", "_at"])
+    by_score = Window.partitionBy("qid").orderBy(F.desc(F.round("score", 9)))
+    return scored.select("qid", "s", "o", "score").withColumn("_r", F.dense_rank().over(by_score)).where(F.col("_r") <= k).drop("_r")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component): component is the smallest node id reachable.
 
